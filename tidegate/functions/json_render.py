@@ -54,7 +54,7 @@ class _Template:
         marked = _SLOT.sub(self._mark, text)
         # A mark outside of a string becomes a string of its own, so that the skeleton parses.
         pieces = re.split(r'("(?:[^"\\]|\\.)*")', marked)
-        pieces[::2] = [_MARKED.sub(lambda m: f'"{m.group(1)}"', piece) for piece in pieces[::2]]
+        pieces[::2] = [_MARKED.sub(lambda m: f'"{_WHOLE}{m.group(1)}"', piece) for piece in pieces[::2]]
         try:
             self.skeleton = json.loads("".join(pieces))
         except json.JSONDecodeError as error:

@@ -111,6 +111,11 @@ def _quoted_list(names: Column) -> Column:
     return F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
 
 
+def _after(items: Column, start: int) -> Column:
+    """The items from index ``start`` on."""
+    return F.slice(items, start + 1, F.greatest(F.size(items) - start, F.lit(0))) if start else items
+
+
 class _Compiler:
     def __init__(self, root: dict):
         self.root = root
@@ -221,9 +226,7 @@ class _Compiler:
         return spot.error(spot.is_a("array") & repeated, spot.text(), " has non-unique elements")
 
     def each_item(self, rule, spot, refs, start: int = 0):
-        items = variant_items(spot.value)
-        if start:
-            items = F.slice(items, start + 1, F.greatest(F.size(items) - start, F.lit(0)))
+        items = _after(variant_items(spot.value), start)
 
         def errors(item, i):
             return self.errors(rule, spot.at(item, (i + start).cast("string"), "~items"), refs)
@@ -240,7 +243,7 @@ class _Compiler:
             found.append((inner.sort, self.present(item_rule, inner, refs)))
         more = schema.get("additionalItems", True)
         if more is False:
-            extra = F.transform(F.slice(items, len(rule) + 1, F.greatest(F.size(items) - len(rule), F.lit(0))), F.to_json)
+            extra = F.transform(_after(items, len(rule)), lambda item: F.to_json(item))
             were = F.when(F.size(extra) == 1, " was unexpected)").otherwise(" were unexpected)")
             found.append((spot.sort, spot.error(
                 spot.is_a("array") & (F.size(items) > len(rule)),

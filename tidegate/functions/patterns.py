@@ -32,7 +32,7 @@ def java_pattern(pattern: str, anchored: bool) -> str:
     inside_sets = re.findall(r"\[\^?\]?([^\]]*)\]", plain)
     if any("[" in chars for chars in inside_sets):
         raise ValueError(f"Pattern {pattern!r} has an unescaped '[' inside a set; write '\\['.")
-    text = re.sub(r"(\\\\)|\\Z", lambda m: m.group(1) or r"\\z", pattern)
+    text = re.sub(r"(\\\\)|\\Z", lambda m: m.group(1) or r"\z", pattern)
     return f"(?Ud)^(?:{text})" if anchored else f"(?Ud)(?:{text})"
 
 
@@ -45,7 +45,7 @@ def matches_anywhere(text: Column, pattern: str) -> Column:
 
 
 def _python_float(value: Column) -> Column:
-    """Shortest decimal text of a double, as Python prints it."""
+    """Decimal text of a double, written as Python writes it."""
     size = F.abs(value)
     fixed = F.regexp_replace(value.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
     java = value.cast("string")

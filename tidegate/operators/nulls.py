@@ -24,7 +24,7 @@ FEW_ROWS = 100_000
 def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Drop rows in which any of the columns is missing."""
     names = require_columns(df, subset or data_columns(df))
-    return df.na.drop("any", [quoted(name) for name in names])
+    return df.na.drop(subset=[quoted(name) for name in names])
 
 
 def _filled(df: DataFrame, name: str, value) -> Column | None:

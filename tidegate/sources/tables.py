@@ -80,7 +80,7 @@ def _infer_csv_types(texts: DataFrame) -> dict[str, str]:
     checks = []
     for i, name in enumerate(texts.columns):
         cell = column(name)
-        integer = cell.rlike(_INTEGER) & cell.try_cast("bigint").isNotNull()
+        integer = F.when(cell.isNotNull(), cell.rlike(_INTEGER) & cell.try_cast("bigint").isNotNull())
         checks += [
             F.count(cell).alias(f"n{i}"),
             F.bool_and(integer).alias(f"bigint{i}"),
