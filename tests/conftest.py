@@ -1,10 +1,16 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+TESTS = Path(__file__).resolve().parent
+sys.path.insert(0, str(TESTS.parent))
+# Python workers import the package and the helpers of the tests.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(TESTS.parent), str(TESTS), os.environ.get("PYTHONPATH", "")]
+)
 
 SF_DIR = "/root/testdata/sf0.001"
 

@@ -1,0 +1,185 @@
+import gzip
+import io
+import json
+import tarfile
+import zipfile
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tidegate.errors import DataQualityError
+from tidegate.operators import file_jobs
+from tidegate.operators.file_jobs import (
+    archive_gate, convert_encoding, decode_text, detect_charset, detect_format, encode_text,
+    expand_archive_files, expand_archives, member_target, sniff,
+)
+from tidegate.sources.files import file_catalog
+
+FILES = "path string, content binary"
+
+
+def files(spark, contents):
+    return spark.createDataFrame([(k, bytearray(v)) for k, v in contents.items()], FILES)
+
+
+def test_decode_with_a_known_charset(spark):
+    texts = {"utf-8": "é日", "utf-16": "é日", "utf-8-sig": "é日", "cp932": "日本①", "latin-1": "é", "shift_jis": "日本"}
+    for name, text in texts.items():
+        df = files(spark, {"f": text.encode(name)})
+        assert df.select(decode_text(F.col("content"), name)).first()[0] == text
+        back = df.select(encode_text(F.lit(text), name).alias("b")).first().b
+        assert bytes(back).decode(name) == text
+
+
+@pytest.mark.parametrize("name", ["utf-8", "cp932", "utf-16", "ascii"])
+def test_bad_bytes_become_replacement_characters(spark, name):
+    raw = [b"a\xff\xfeb", b"\xe6\x97", b"ok\x80", b"\xf0\x9f\x98x", b"\xed\xa0\x80"]
+    df = files(spark, {str(i): r for i, r in enumerate(raw)})
+    found = dict(rows(df.select("path", decode_text(F.col("content"), name))))
+    assert found == {str(i): r.decode(name, "replace") for i, r in enumerate(raw)}
+
+
+def test_charset_per_file(spark):
+    df = files(spark, {"a": "日本".encode("cp932"), "b": "é".encode("latin-1")})
+    df = df.withColumn("enc", F.when(F.col("path") == "a", "cp932").otherwise("latin-1"))
+    assert rows(df.select("path", decode_text(F.col("content"), F.col("enc")))) == [("a", "日本"), ("b", "é")]
+
+
+def test_detect_charset(spark):
+    text = "これは日本語の文章です。文字コードを判定します。" * 20
+    df = files(
+        spark,
+        {
+            "ascii": b"plain", "utf-8": text.encode(), "utf-8-sig": text.encode("utf-8-sig"),
+            "utf-16": text.encode("utf-16"), "cp932": text.encode("cp932"),
+        },
+    )
+    found = dict(rows(df.select("path", detect_charset(F.col("content"), 100))))
+    assert found.pop("cp932") in ("cp932", "shift_jis", "shift_jis_2004", "shift_jisx0213")
+    assert all(name == guess for name, guess in found.items())
+
+
+def test_convert_encoding(spark):
+    df = files(spark, {"a": "x\r\né\r日".encode("utf-16")})
+    row = convert_encoding(df, target_encoding="cp932").first()
+    assert (row.source_encoding, row.text) == ("utf-16", "x\né\n日")
+    assert bytes(row.converted).decode("cp932") == "x\n?\n日"
+    assert convert_encoding(df, "utf-16").first().text == "x\né\n日"
+
+
+LONG = "x" * 5000
+SNIFF = [
+    (b"", "unknown"),
+    (b"\xff\x00\x01", "binary"),
+    (b'{"a": 1}', "json"),
+    (b'{"a": 1}\n{"a": 2}\n', "json"),
+    (b'  [1,\n 2]\n', "json"),
+    (b"{not json}", "text"),
+    (b"<a><b/></a>", "xml"),
+    (b"<p>broken", "text"),
+    (("a,b,c\n" + "1,2,3\n" * 40).encode(), "csv"),
+    (b"a,b\n1,2\n", "text"),
+    (("word " * 60).encode(), "text"),
+    (("日" * 3000).encode(), "text"),
+    (json.dumps({"k": LONG, "l": [1, 2]}).encode(), "json"),
+    (json.dumps([{"k": i, "text": "é"} for i in range(900)], indent=2).encode(), "json"),
+    (f"<r>{'<i>x</i>' * 900}</r>".encode(), "xml"),
+]
+
+
+def test_detect_format(spark):
+    df = files(spark, {str(i): raw for i, (raw, _) in enumerate(SNIFF)})
+    expected = {str(i): name for i, (_, name) in enumerate(SNIFF)}
+    assert dict(rows(df.select("path", detect_format(F.col("content"))))) == expected
+    assert dict(rows(df.select("path", detect_format(F.col("content"), None)))) == expected
+
+
+def test_every_cut_of_a_json_text_is_json():
+    text = json.dumps({"a": [1, -2.5e3, True, None, "x\\nyé"], "b": {"c": "日"}}, indent=1)
+    raw = text.encode()
+    assert [i for i in range(1, len(raw)) if sniff(raw[:i], cut=True) != "json"] == []
+    assert sniff(b'{"a": 1} trailing', cut=True) == "text"
+
+
+def zip_bytes(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, content in members.items():
+            archive.writestr(name, content)
+    return out.getvalue()
+
+
+def tar_bytes(members, mode="w"):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode=mode) as archive:
+        for name, content in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            if name.endswith("/"):
+                info.type = tarfile.DIRTYPE
+            archive.addfile(info, io.BytesIO(content))
+    return out.getvalue()
+
+
+MEMBERS = {"top.txt": b"t", "d/": b"", "d/one.txt": b"1", "d/e/two.txt": b"22", "../evil": b"!"}
+
+
+def members(df):
+    return {
+        (r.archive, r.member): bytes(r.content) if r.content is not None else r.error
+        for r in df.collect()
+    }
+
+
+@pytest.mark.parametrize("mode", ["zip", "w", "w:gz", "w:bz2", "w:xz"])
+def test_expand_archives(spark, mode):
+    raw = zip_bytes(MEMBERS) if mode == "zip" else tar_bytes(MEMBERS, mode)
+    df = files(spark, {"x": raw})
+    evil = "Member path leaves the target folder."
+    assert members(expand_archives(df)) == {
+        ("x", "top.txt"): b"t", ("x", "d/one.txt"): b"1", ("x", "d/e/two.txt"): b"22", ("x", "../evil"): evil,
+    }
+    assert members(expand_archives(df, 1)) == {
+        ("x", "top.txt"): b"t", ("x", "one.txt"): b"1", ("x", "e/two.txt"): b"22", ("x", "../evil"): evil,
+    }
+
+
+def test_bad_archives(spark):
+    good = zip_bytes({"a": b"1"})
+    df = files(spark, {"none": b"no archive", "empty": zip_bytes({}), "empty.tar": tar_bytes({}), "good": good, "cut": good[:40], "gz": gzip.compress(b"text")})
+    found = members(expand_archives(df))
+    assert found[("good", "a")] == b"1"
+    assert found[("empty", None)] == found[("empty.tar", None)] == "No files extracted from archive."
+    assert found[("none", None)] == "Unsupported archive format (not zip or tar)."
+    assert ("cut", None) in found and ("gz", None) in found
+    with pytest.raises(DataQualityError, match="none"):
+        archive_gate(expand_archives(df.where("path = 'none'")))
+    with pytest.raises(Exception, match="Unsupported archive"):
+        expand_archives(df, strict=True).collect()
+
+
+def test_member_target():
+    assert [member_target("a/b/c", n) for n in (0, 1, 2, 3, 9)] == ["a/b/c", "b/c", "c", "c", "c"]
+
+
+def test_archive_files_in_parts(spark, tmp_path):
+    many = {f"d/{i}.txt": str(i).encode() * 50 for i in range(100)}
+    (tmp_path / "a.zip").write_bytes(zip_bytes(many))
+    (tmp_path / "b.tar.gz").write_bytes(tar_bytes(many, "w:gz"))
+    (tmp_path / "c.tar").write_bytes(tar_bytes(many))
+    (tmp_path / "e.zip").write_bytes(zip_bytes({}))
+    catalog = file_catalog(spark, str(tmp_path))
+    found = expand_archive_files(catalog, strip_components=1, part_bytes=1000)
+    by_archive = {}
+    for (archive, member), content in members(found).items():
+        by_archive.setdefault(archive.rsplit("/", 1)[-1], {})[member] = content
+    expected = {name[2:]: content for name, content in many.items()}
+    assert by_archive.pop("e.zip") == {None: "No files extracted from archive."}
+    assert by_archive == dict.fromkeys(("a.zip", "b.tar.gz", "c.tar"), expected)
+
+
+def test_batches_stay_small(monkeypatch):
+    monkeypatch.setattr(file_jobs, "_BATCH_BYTES", 1000)
+    batches = list(file_jobs._arrow_rows(("a", str(i), b"x" * 400, None) for i in range(10)))
+    assert [b.num_rows for b in batches] == [3, 3, 3, 1]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegate.errors import DataQualityError
 
@@ -58,12 +59,12 @@ def _guess_charset(raw: bytes) -> str:
     return best.encoding if best else "latin-1"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _charset_of(content: pd.Series) -> pd.Series:
     return content.map(_guess_charset, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decoded(content: pd.Series, encoding: pd.Series) -> pd.Series:
     def decode(raw, name):
         return None if raw is None or name is None else raw.decode(name, "replace")
@@ -71,7 +72,7 @@ def _decoded(content: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([decode(raw, name) for raw, name in zip(content, encoding)], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _encoded(text: pd.Series, encoding: pd.Series) -> pd.Series:
     def encode(value, name):
         return None if value is None or name is None else value.encode(name, "replace")
@@ -136,9 +137,10 @@ def _is_json(text: str, cut: bool) -> bool:
             return True
         except json.JSONDecodeError as error:
             # The start of a longer document fails only at its end.
+            if not cut or candidate is not text or error.msg == "Extra data":
+                continue
             rest = candidate[error.pos :]
-            unfinished = not rest.strip() or error.msg.startswith(("Unterminated", "Invalid \\"))
-            if cut and candidate is text and (unfinished or re.fullmatch(r"[\w.+-]*", rest)):
+            if error.msg.startswith(("Unterminated", "Invalid \\")) or re.fullmatch(r"[\w.+\s-]*", rest):
                 return True
     return False
 
@@ -175,7 +177,7 @@ def sniff(raw: bytes, cut: bool) -> str:
     return "text"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _sniffed(content: pd.Series, cut: pd.Series) -> pd.Series:
     formats = [None if raw is None else sniff(raw, short) for raw, short in zip(content, cut)]
     return pd.Series(formats, dtype=object)
@@ -303,7 +305,9 @@ def expand_archive_files(
             for batch in batches:
                 for row in batch.to_pylist():
                     system, path = fs.FileSystem.from_uri(row["path"])
-                    with system.open_input_file(path) as handle:
+                    with system.open_input_file(path) as file:
+                        small = file.size() <= _BATCH_BYTES
+                        handle = io.BytesIO(file.read()) if small else file
                         yield from _read_archive(
                             row["path"], handle, strip_components, row["part"], row["parts"]
                         )

@@ -171,7 +171,7 @@ def _apply(spark, run: Run, step_id: str, step: dict, upstream: DataFrame | None
     if df is None:
         raise ValueError(f"Step '{step_id}' has no input: give it an upstream step or input_path.")
     arguments = {name: value for name, value in params.items() if name not in _PATHS}
-    output = df.transform(function, **arguments)
+    output = function(df, **arguments)
     if not isinstance(output, DataFrame):
         raise TypeError(f"Step '{step_id}' returned {type(output).__name__}, not a DataFrame.")
     run.outputs[step_id] = output
