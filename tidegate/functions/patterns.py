@@ -44,6 +44,15 @@ def matches_anywhere(text: Column, pattern: str) -> Column:
     return text.rlike(java_pattern(pattern, anchored=False))
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(r"(?U)\S")
+
+
 def _python_float(value: Column) -> Column:
     """Decimal text of a double, written as Python writes it."""
     size = F.abs(value)

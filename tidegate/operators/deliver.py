@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidegate.errors import DeliveryError
 from tidegate.functions.missing import column
+from tidegate.functions.patterns import stripped
 
 Send = Callable[[str, str], int]
 
@@ -64,7 +65,7 @@ def deliver(
     repeats by ``key``. With ``resume``, payloads that an earlier run delivered are left out.
     """
     spark = df.sparkSession
-    text = F.trim(column(payload))
+    text = stripped(column(payload))
     keep = keep or []
     rows = df.select(*map(column, keep), text.alias("_payload")).where("_payload != ''")
     rows = rows.withColumn("key", payload_key(F.col("_payload")))

@@ -87,7 +87,10 @@ def _span(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.DateType):
         return F.unix_date(col).cast("double")
     if isinstance(dtype, T.TimestampNTZType):
-        return col.cast("timestamp").cast("double")
+        # Not by way of a time zone, where clock changes would break the order.
+        days = F.unix_date(col.cast("date")).cast("double")
+        seconds = F.extract(F.lit("SECOND"), col).cast("double")
+        return ((days * 24 + F.hour(col)) * 60 + F.minute(col)) * 60 + seconds
     return col.cast("double")
 
 

@@ -11,6 +11,7 @@ from tidegate.functions.json_schema import schema_errors
 from tidegate.functions.json_text import parse_json_strict
 from tidegate.functions.missing import ORDER_COLUMN, column, require_columns, row_order, without_nan
 from tidegate.functions.ngsi import ngsi_errors
+from tidegate.functions.patterns import is_blank
 
 ERRORS = "_errors"
 
@@ -49,7 +50,7 @@ def schema_violations(df: DataFrame, target_column: str, schema: dict | str) ->
 def with_ngsi_errors(df: DataFrame, line_column: str = "value", ngsi_version: str = "ld") -> DataFrame:
     """Add ``_errors`` to entity lines; blank lines hold no entity and have no errors."""
     line = column(line_column)
-    blank = F.coalesce(F.trim(line) == "", F.lit(True))
+    blank = F.coalesce(is_blank(line), F.lit(True))
     none = F.array().cast("array<string>")
     return df.withColumn(ERRORS, F.when(blank, none).otherwise(ngsi_errors(line, ngsi_version)))
 

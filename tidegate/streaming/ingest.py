@@ -19,7 +19,7 @@ def read_landing(
     fmt: str,
     schema: str | T.StructType,
     files_per_batch: int | None = None,
-    max_bytes_per_batch: str | None = None,
+    max_bytes_per_batch: int | None = None,
     **options,
 ) -> DataFrame:
     """A stream of the files that arrive in a folder; ``_body`` names the file of each row."""
