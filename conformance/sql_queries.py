@@ -24,7 +24,7 @@ QUERIES = {
     "sql_self_join": sql_query(
         "conversations",
         """SELECT a.conv_id, a.turn, a.role, b.role AS next_role,
-               length(b.text) - length(a.text) AS longer_by, c.turn AS previous_turn
+               CAST(length(b.text) - length(a.text) AS INT) AS longer_by, c.turn AS previous_turn
            FROM source_data a
            LEFT JOIN source_data b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
            LEFT JOIN source_data c
@@ -39,7 +39,7 @@ QUERIES = {
     ),
     "sql_join_views": sql_query(
         "lineitem",
-        """SELECT n_name, year(o_orderdate) AS year, count(*) AS lines,
+        """SELECT n_name, CAST(year(o_orderdate) AS INT) AS year, count(*) AS lines,
                round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
            FROM source_data JOIN orders ON o_orderkey = l_orderkey
            JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
@@ -68,8 +68,8 @@ QUERIES = {
     ),
     "sql_cube": sql_query(
         "orders",
-        """SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS no_status,
-               grouping(o_orderpriority) AS no_priority, count(*) AS orders, round(sum(o_totalprice), 2) AS total
+        """SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS INT) AS no_status,
+               CAST(grouping(o_orderpriority) AS INT) AS no_priority, count(*) AS orders, round(sum(o_totalprice), 2) AS total
            FROM source_data GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
     ),
     "sql_rollup": sql_query(
@@ -79,12 +79,12 @@ QUERIES = {
     ),
     "sql_grouping_sets": sql_query(
         "events",
-        """SELECT event_type, hour(ts) AS hour, count(*) AS events, max(value) AS top
+        """SELECT event_type, CAST(hour(ts) AS INT) AS hour, count(*) AS events, max(value) AS top
            FROM source_data GROUP BY GROUPING SETS ((event_type, hour(ts)), (event_type), ())""",
     ),
     "sql_window_rank": sql_query(
         "orders",
-        """SELECT o_custkey, o_orderkey, place, dense, quarter FROM (
+        """SELECT o_custkey, o_orderkey, CAST(place AS INT) AS place, CAST(dense AS INT) AS dense, CAST(quarter AS INT) AS quarter FROM (
                SELECT o_custkey, o_orderkey,
                    row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place,
                    dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dense,
@@ -92,9 +92,9 @@ QUERIES = {
                FROM source_data) ranked
            WHERE place <= 3""",
         """SELECT o_custkey, o_orderkey,
-               row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place,
-               dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dense,
-               ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS quarter
+               CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place,
+               CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INT) AS dense,
+               CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS quarter
            FROM source_data QUALIFY place <= 3""",
     ),
     "sql_window_frame": sql_query(
@@ -132,29 +132,29 @@ QUERIES = {
     "sql_string": sql_query(
         "customer",
         """SELECT c_custkey, upper(c_mktsegment) AS up, lower(substring(c_name, 1, 4)) AS low,
-               concat_ws('/', c_mktsegment, c_name) AS path, length(c_name) AS name_length,
+               concat_ws('/', c_mktsegment, c_name) AS path, CAST(length(c_name) AS INT) AS name_length,
                replace(c_name, '#', '-') AS dashed, regexp_replace(c_name, '0+', '0') AS short_name,
                lpad(CAST(c_nationkey AS STRING), 3, '0') AS padded, reverse(c_mktsegment) AS backwards,
-               trim(split_part(c_name, '#', 2)) AS number_text, instr(c_name, '#') AS hash_at
+               trim(split_part(c_name, '#', 2)) AS number_text, CAST(instr(c_name, '#') AS INT) AS hash_at
            FROM source_data""",
         """SELECT c_custkey, upper(c_mktsegment) AS up, lower(substring(c_name, 1, 4)) AS low,
-               concat_ws('/', c_mktsegment, c_name) AS path, length(c_name) AS name_length,
+               concat_ws('/', c_mktsegment, c_name) AS path, CAST(length(c_name) AS INT) AS name_length,
                replace(c_name, '#', '-') AS dashed, regexp_replace(c_name, '0+', '0', 'g') AS short_name,
                lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS padded, reverse(c_mktsegment) AS backwards,
-               trim(split_part(c_name, '#', 2)) AS number_text, instr(c_name, '#') AS hash_at
+               trim(split_part(c_name, '#', 2)) AS number_text, CAST(instr(c_name, '#') AS INT) AS hash_at
            FROM source_data""",
     ),
     "sql_date": sql_query(
         "orders",
-        """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, year(o_orderdate) AS year,
-               quarter(o_orderdate) AS quarter, date_format(o_orderdate, 'yyyy/MM/dd') AS day_text,
-               CAST(o_orderdate + INTERVAL 90 DAY AS DATE) AS due, dayofyear(o_orderdate) AS day_no,
+        """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(year(o_orderdate) AS INT) AS year,
+               CAST(quarter(o_orderdate) AS INT) AS quarter, date_format(o_orderdate, 'yyyy/MM/dd') AS day_text,
+               CAST(o_orderdate + INTERVAL 90 DAY AS DATE) AS due, CAST(dayofyear(o_orderdate) AS INT) AS day_no,
                datediff(DATE '2000-01-01', CAST(o_orderdate AS DATE)) AS days_left, last_day(o_orderdate) AS month_end
            FROM source_data""",
-        """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, year(o_orderdate) AS year,
-               quarter(o_orderdate) AS quarter, strftime(o_orderdate, '%Y/%m/%d') AS day_text,
-               CAST(o_orderdate + INTERVAL 90 DAY AS DATE) AS due, dayofyear(o_orderdate) AS day_no,
-               date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS days_left, last_day(o_orderdate) AS month_end
+        """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(year(o_orderdate) AS INT) AS year,
+               CAST(quarter(o_orderdate) AS INT) AS quarter, strftime(o_orderdate, '%Y/%m/%d') AS day_text,
+               CAST(o_orderdate + INTERVAL 90 DAY AS DATE) AS due, CAST(dayofyear(o_orderdate) AS INT) AS day_no,
+               CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS INT) AS days_left, last_day(o_orderdate) AS month_end
            FROM source_data""",
     ),
     "sql_math": sql_query(
@@ -162,7 +162,7 @@ QUERIES = {
         """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity AS unit_price,
                CAST(floor(l_extendedprice) AS BIGINT) AS whole, CAST(ceil(l_discount * 10) AS BIGINT) AS tenths,
                abs(l_quantity - 25) AS off, l_orderkey % 7 AS weekday, round(power(l_quantity, 2), 2) AS squared,
-               round(sqrt(l_quantity), 6) AS root, sign(l_quantity - 25) AS side, round(ln(l_quantity), 6) AS logarithm,
+               round(sqrt(l_quantity), 6) AS root, CAST(sign(l_quantity - 25) AS INT) AS side, round(ln(l_quantity), 6) AS logarithm,
                greatest(l_tax, l_discount) AS larger
            FROM source_data""",
     ),
@@ -174,9 +174,9 @@ QUERIES = {
                array_join(map_keys(map('lang', lang, 'source', source)), ',') AS keys,
                element_at(map('lang', lang, 'source', source), 'lang') AS lang_value
            FROM (SELECT doc_id, lang, source, split(text, ' ') AS words FROM source_data) d""",
-        """SELECT doc_id, words[1] AS first_word, words[5] AS fifth_word, len(words) AS n_words,
-               array_to_string(words[1:3], '-') AS opening, len(list_filter(words, lambda w: length(w) > 6)) AS long_words,
-               len(list_distinct(words)) AS different, list_sum(list_transform(words, lambda w: length(w))) AS letters,
+        """SELECT doc_id, words[1] AS first_word, words[5] AS fifth_word, CAST(len(words) AS INT) AS n_words,
+               array_to_string(words[1:3], '-') AS opening, CAST(len(list_filter(words, lambda w: length(w) > 6)) AS INT) AS long_words,
+               CAST(len(list_distinct(words)) AS INT) AS different, CAST(list_sum(list_transform(words, lambda w: length(w))) AS INT) AS letters,
                'lang,source' AS keys, lang AS lang_value
            FROM (SELECT doc_id, lang, source, string_split(text, ' ') AS words FROM source_data) d""",
     ),
@@ -189,7 +189,7 @@ QUERIES = {
            FROM source_data""",
         """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k,
                CAST(json_extract_string(props, '$.missing') AS INT) AS missing,
-               json_array_length('[' || props || ',' || props || ']') AS items,
+               CAST(json_array_length('[' || props || ',' || props || ']') AS INT) AS items,
                CAST(to_json({'id': event_id, 'type': event_type}) AS VARCHAR) AS packed
            FROM source_data""",
     ),

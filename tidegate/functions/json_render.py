@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.functions.json_text import parse_json_strict
+from tidegate.functions.json_text import with_json_values
 from tidegate.functions.missing import column, data_columns, without_nan
 from tidegate.functions.patterns import python_text
 
@@ -48,6 +48,8 @@ class _Template:
     def __init__(self, df: DataFrame, template: str):
         self.df = df
         self.slots: list[tuple[str, list[str]]] = []
+        # Texts to be parsed as JSON before rendering, by the name of the column they become.
+        self.parsed: dict[str, Column] = {}
         text = re.sub(r"\{#.*?#\}", "", template, flags=re.DOTALL)
         if "{%" in text:
             raise ValueError("Template statements ({% ... %}) are not supported.")
@@ -96,10 +98,15 @@ class _Template:
                 missing = missing.when(endless, F.lit(f"Slot '{name}' is not a JSON number."))
             return _Part(value, missing)
         # Anything else prints as text, and that text has to be JSON.
-        parsed = parse_json_strict(self._text(name, filters))
+        parsed = self._parse(F.when(value.isNotNull(), self._text(name, filters)))
         wrong = missing.when(parsed.isNull(), F.lit(f"Slot '{name}' is not valid JSON."))
         return _Part(parsed, wrong)
 
+    def _parse(self, text: Column) -> Column:
+        name = f"_slot{len(self.parsed)}"
+        self.parsed[name] = text
+        return F.col(name)
+
     def string(self, text: str) -> _Part:
         """A JSON string with slots inside."""
         pieces, wrong = [], []
@@ -113,14 +120,11 @@ class _Template:
                 raise ValueError(f"tojson cannot stand inside a string (slot '{name}').")
             shown = self._text(name, filters)
             # Text that is not plain is read as JSON reads it: escapes count, bare quotes fail.
-            read = F.try_variant_get(
-                parse_json_strict(F.concat(F.lit('"'), shown, F.lit('"'))), "$", "string"
-            )
             careful = shown.rlike(_NEEDS_CARE)
-            pieces.append(F.when(careful, read).otherwise(shown))
-            wrong.append(
-                F.when(careful & read.isNull(), F.lit(f"Slot '{name}' breaks the JSON string."))
-            )
+            parsed = self._parse(F.when(careful, F.concat(F.lit('"'), shown, F.lit('"'))))
+            pieces.append(F.coalesce(F.try_variant_get(parsed, "$", "string"), shown))
+            broken = parsed.isNull() & careful
+            wrong.append(F.when(broken, F.lit(f"Slot '{name}' breaks the JSON string.")))
         return _Part(F.concat(*pieces), F.coalesce(*wrong))
 
     def build(self, node, errors: list[Column]) -> Column:
@@ -146,7 +150,8 @@ class _Template:
         if not items:
             return F.array().cast("array<string>")
         built = [self.build(item, errors) for item in items]
-        types = {field.dataType for field in self.df.limit(0).select(*built).schema.fields}
+        values = [F.parse_json(F.lit("null")).alias(name) for name in self.parsed]
+        types = {f.dataType for f in self.df.select("*", *values).select(*built).schema.fields}
         if len(types) == 1:
             return F.array(*built)
         # Items of several types become VARIANT values.
@@ -171,12 +176,14 @@ def render_json(df: DataFrame, template: str, name: str = "json", keep: list[str
     else:
         wrapped = F.to_json(F.struct(root.alias("v")), options)
         text = F.substring(wrapped, 6, F.length(wrapped) - 6)
+    record = F.struct(*[column(n).alias(n) for n in data_columns(df)])
+    rows = with_json_values(df, compiled.parsed) if compiled.parsed else df
     if errors:
-        error = F.coalesce(*errors)
-        record = F.struct(*[column(n).alias(n) for n in data_columns(df)])
+        error = F.col("_error")
+        rows = rows.withColumn("_error", F.coalesce(*errors))
         envelope = F.to_json(F.struct(error.alias("error"), record.alias("source_record")), options)
         text = F.when(error.isNull(), text).otherwise(envelope)
-    return df.select(*[column(n) for n in keep or []], text.alias(name))
+    return rows.select(*[column(n) for n in keep or []], text.alias(name))
 
 
 def is_error_record(text: Column) -> Column:

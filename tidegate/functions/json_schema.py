@@ -4,12 +4,12 @@ The schema is read once on the driver; what runs on the rows are built-in functi
 """
 
 import json
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.json_text import json_literal, variant_entries, variant_items, variant_kind
+from tidegate.functions.json_text import computed_once, json_literal, variant_entries, variant_items
 from tidegate.functions.patterns import matches_anywhere
 
 # Keywords that say nothing about validity ("format" is not checked by default).
@@ -32,37 +32,99 @@ def _join(parts: list[Column]) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none()
 
 
-@dataclass(frozen=True)
+class _Stages:
+    """Columns that are computed before the checks, so that all checks share them.
+
+    Stage *n* holds the values at depth *n* and what is known about the values at depth *n-1*.
+    """
+
+    def __init__(self):
+        self.stages: list[dict[str, Column]] = []
+        self.names: dict[tuple, str] = {}
+
+    def add(self, stage: int, key: tuple, value: Column) -> Column:
+        if key not in self.names:
+            self.names[key] = f"_json{len(self.names)}"
+            while len(self.stages) <= stage:
+                self.stages.append({})
+            self.stages[stage][self.names[key]] = value
+        return F.col(self.names[key])
+
+    def compute(self, df: DataFrame) -> DataFrame:
+        for stage in self.stages:
+            df = df.withColumns(stage) if stage else df
+        return df
+
+
 class _Spot:
-    """A place in the document: its value, its printed path, and its path for sorting."""
+    """A place in the document: its value and type, its printed path, its path for sorting.
+
+    With ``stages``, what the checks need of the value is computed beforehand; values inside of
+    arrays and of objects with unknown keys are computed in place.
+    """
 
-    value: Column
-    path: Column
-    sort: tuple = ()
+    def __init__(self, value: Column, path: Column, sort=(), stages=None, schema=None):
+        self.value, self.path, self.sort, self.stages = value, path, sort, stages
+        self._schema = F.schema_of_variant(value) if schema is None else schema
+
+    def _known(self, what: str, value: Column) -> Column:
+        if self.stages is None:
+            return value
+        return self.stages.add(len(self.sort) + 1, (*self.sort, what), value)
 
     @property
-    def kind(self) -> Column:
-        return variant_kind(self.value)
+    def schema(self) -> Column:
+        """Type of the value as Spark names it."""
+        return self._known(".schema", self._schema)
+
+    @property
+    def number(self) -> Column:
+        return self._known(".number", F.try_variant_get(self.value, "$", "double"))
+
+    @property
+    def entries(self) -> Column:
+        return self._known(".entries", variant_entries(self.value))
+
+    @property
+    def items(self) -> Column:
+        return self._known(".items", variant_items(self.value))
 
     def is_a(self, *kinds: str) -> Column:
-        return self.kind.isin(*kinds)
+        """Whether the value is of one of the JSON types; 1.0 is an integer."""
+        schema = self.schema
+        numeric = (schema == "BIGINT") | (schema == "DOUBLE") | schema.startswith("DECIMAL")
+        tests = {
+            "null": schema == "VOID",
+            "boolean": schema == "BOOLEAN",
+            "string": schema == "STRING",
+            "array": schema.startswith("ARRAY"),
+            "object": schema.startswith("OBJECT"),
+            "number": numeric,
+            "integer": (schema == "BIGINT") | (numeric & (self.number == F.floor(self.number))),
+        }
+        chosen = [tests[kind] for kind in kinds if kind != "integer" or "number" not in kinds]
+        return reduce(Column.__or__, chosen)
 
     def child(self, name: str) -> "_Spot":
         if '"' in name or "\\" in name:
             value = F.element_at(variant_entries(self.value), name)
         else:
             value = F.try_variant_get(self.value, f'$["{name}"]', "variant")
-        return self.at(value, F.lit(name), name)
+        spot = self.at(value, F.lit(name), name)
+        if self.stages is not None:
+            spot.value = self.stages.add(len(spot.sort), (*spot.sort, ".value"), value)
+            spot.stages, spot._schema = self.stages, F.schema_of_variant(spot.value)
+        return spot
 
-    def at(self, value: Column, step: Column, sort: str) -> "_Spot":
+    def at(self, value: Column, step: Column, sort: str, schema: Column | None = None) -> "_Spot":
         path = F.concat(self.path, F.lit("/"), step) if self.sort else step
-        return _Spot(value, path, (*self.sort, sort))
+        return _Spot(value, path, (*self.sort, sort), schema=schema)
 
     def text(self) -> Column:
         """The value as it is printed in messages."""
         raw = F.to_json(self.value)
         return (
-            F.when(self.is_a("string"), F.concat(F.lit("'"), self.string(), F.lit("'")))
+            F.when(self.schema == "STRING", F.concat(F.lit("'"), self.string(), F.lit("'")))
             .when(raw == "null", "None")
             .when(raw == "true", "True")
             .when(raw == "false", "False")
@@ -82,29 +144,25 @@ def _has_kind(spot: _Spot, names: list[str]) -> Column:
     unknown = set(names) - TYPES
     if unknown:
         raise ValueError(f"Unknown types in the schema: {sorted(unknown)}")
-    return spot.is_a(*names, *(["integer"] if "number" in names else []))
+    return spot.is_a(*names)
 
 
 def _compare(spot: _Spot, bound, test) -> Column:
     """Compare exactly where both sides are integers, else as doubles."""
-    number = F.try_variant_get(spot.value, "$", "double")
-    broken = test(number, F.lit(float(bound)))
+    broken = test(spot.number, F.lit(float(bound)))
     if isinstance(bound, int) and abs(bound) < 2**63:
         exact = F.try_variant_get(spot.value, "$", "bigint")
-        whole = F.schema_of_variant(spot.value) == "BIGINT"
-        broken = F.when(whole, test(exact, F.lit(bound))).otherwise(broken)
-    return spot.is_a("integer", "number") & broken
+        broken = F.when(spot.schema == "BIGINT", test(exact, F.lit(bound))).otherwise(broken)
+    return spot.is_a("number") & broken
 
 
 def _not_multiple(spot: _Spot, factor) -> Column:
-    number = F.try_variant_get(spot.value, "$", "double")
-    quotient = number / F.lit(float(factor))
+    quotient = spot.number / F.lit(float(factor))
     broken = quotient != F.floor(quotient)
     if isinstance(factor, int):
-        whole = F.schema_of_variant(spot.value) == "BIGINT"
         exact = F.try_variant_get(spot.value, "$", "bigint")
-        broken = F.when(whole, exact % F.lit(factor) != 0).otherwise(broken)
-    return spot.is_a("integer", "number") & broken
+        broken = F.when(spot.schema == "BIGINT", exact % F.lit(factor) != 0).otherwise(broken)
+    return spot.is_a("number") & broken
 
 
 def _quoted_list(names: Column) -> Column:
@@ -116,6 +174,11 @@ def _after(items: Column, start: int) -> Column:
     return F.slice(items, start + 1, F.greatest(F.size(items) - start, F.lit(0))) if start else items
 
 
+def _typed(value: Column, key: Column | None = None) -> Column:
+    fields = [value.alias("value"), F.schema_of_variant(value).alias("schema")]
+    return F.struct(*fields, *([] if key is None else [key.alias("key")]))
+
+
 class _Compiler:
     def __init__(self, root: dict):
         self.root = root
@@ -205,14 +268,14 @@ class _Compiler:
     # Arrays.
 
     def kw_minItems(self, rule, spot, schema, refs):
-        broken = F.size(variant_items(spot.value)) < rule
+        broken = F.size(spot.items) < rule
         return spot.error(
             spot.is_a("array") & broken, spot.text(),
             " should be non-empty" if rule == 1 else " is too short",
         )
 
     def kw_maxItems(self, rule, spot, schema, refs):
-        broken = F.size(variant_items(spot.value)) > rule
+        broken = F.size(spot.items) > rule
         return spot.error(
             spot.is_a("array") & broken, spot.text(),
             " is expected to be empty" if rule == 0 else " is too long",
@@ -221,23 +284,24 @@ class _Compiler:
     def kw_uniqueItems(self, rule, spot, schema, refs):
         if not rule:
             return []
-        texts = F.transform(variant_items(spot.value), lambda item: F.to_json(item))
+        texts = F.transform(spot.items, lambda item: F.to_json(item))
         repeated = F.size(F.array_distinct(texts)) < F.size(texts)
         return spot.error(spot.is_a("array") & repeated, spot.text(), " has non-unique elements")
 
     def each_item(self, rule, spot, refs, start: int = 0):
-        items = _after(variant_items(spot.value), start)
+        typed = F.transform(_after(spot.items, start), _typed)
 
         def errors(item, i):
-            return self.errors(rule, spot.at(item, (i + start).cast("string"), "~items"), refs)
+            step = (i + start).cast("string")
+            return self.errors(rule, spot.at(item["value"], step, "~items", item["schema"]), refs)
 
-        found = F.flatten(F.transform(items, errors))
+        found = F.flatten(F.transform(typed, errors))
         return ((*spot.sort, "~items"), F.when(spot.is_a("array"), found).otherwise(_none()))
 
     def kw_items(self, rule, spot, schema, refs):
         if not isinstance(rule, list):
             return [self.each_item(rule, spot, refs)] if rule is not True else []
-        found, items = [], variant_items(spot.value)
+        found, items = [], spot.items
         for i, item_rule in enumerate(rule):
             inner = spot.at(F.get(items, F.lit(i)), F.lit(str(i)), f"{i:09d}")
             found.append((inner.sort, self.present(item_rule, inner, refs)))
@@ -254,7 +318,7 @@ class _Compiler:
         return found
 
     def kw_contains(self, rule, spot, schema, refs):
-        items = variant_items(spot.value)
+        items = spot.items
         some = F.exists(items, lambda item: self.valid(rule, spot.at(item, F.lit(""), "~item"), refs))
         return spot.error(
             spot.is_a("array") & ~some, "None of ", spot.text(), " are valid under the given schema"
@@ -283,22 +347,24 @@ class _Compiler:
         ]
 
     def kw_minProperties(self, rule, spot, schema, refs):
-        broken = F.size(variant_entries(spot.value)) < rule
+        broken = F.size(spot.entries) < rule
         text = " should be non-empty" if rule == 1 else " does not have enough properties"
         return spot.error(spot.is_a("object") & broken, spot.text(), text)
 
     def kw_maxProperties(self, rule, spot, schema, refs):
-        broken = F.size(variant_entries(spot.value)) > rule
+        broken = F.size(spot.entries) > rule
         text = " is expected to be empty" if rule == 0 else " has too many properties"
         return spot.error(spot.is_a("object") & broken, spot.text(), text)
 
     def each_entry(self, rule, spot, refs, wanted) -> tuple:
-        entries = F.filter(F.map_entries(variant_entries(spot.value)), lambda e: wanted(e["key"]))
+        entries = F.filter(F.map_entries(spot.entries), lambda e: wanted(e["key"]))
+        typed = F.transform(entries, lambda e: _typed(e["value"], e["key"]))
 
         def errors(entry):
-            return self.errors(rule, spot.at(entry["value"], entry["key"], "~entries"), refs)
+            inner = spot.at(entry["value"], entry["key"], "~entries", entry["schema"])
+            return self.errors(rule, inner, refs)
 
-        found = F.flatten(F.transform(entries, errors))
+        found = F.flatten(F.transform(typed, errors))
         return ((*spot.sort, "~entries"), F.when(spot.is_a("object"), found).otherwise(_none()))
 
     @staticmethod
@@ -320,7 +386,7 @@ class _Compiler:
         other = self._other_names(schema)
         if rule is not False:
             return [self.each_entry(rule, spot, refs, other)]
-        extra = F.filter(F.map_keys(variant_entries(spot.value)), other)
+        extra = F.filter(F.map_keys(spot.entries), other)
         were = F.when(F.size(extra) == 1, " was unexpected)").otherwise(" were unexpected)")
         return spot.error(
             spot.is_a("object") & (F.size(extra) > 0),
@@ -334,7 +400,7 @@ class _Compiler:
         ]
 
     def kw_propertyNames(self, rule, spot, schema, refs):
-        names = F.map_keys(variant_entries(spot.value))
+        names = F.map_keys(spot.entries)
 
         def errors(name):
             text = F.parse_json(F.concat(F.lit("["), F.to_json(F.array(name)), F.lit("]")))
@@ -394,6 +460,12 @@ class _Compiler:
         )
 
 
-def schema_errors(value: Column, schema: dict | bool) -> Column:
-    """``array<string>`` of ``path: message`` for each violation in a VARIANT value."""
-    return _Compiler(schema).errors(schema, _Spot(value, F.lit("")))
+def add_schema_errors(df: DataFrame, value: str, schema: dict | bool, name: str, unless: Column) -> DataFrame:
+    """Add ``array<string>`` of ``path: message`` for each violation in a VARIANT column.
+
+    ``unless`` gives the errors of rows that have no value to check, and NULL for the others.
+    """
+    stages = _Stages()
+    errors = _Compiler(schema).errors(schema, _Spot(F.col(value), F.lit(""), stages=stages))
+    checked = computed_once(stages.compute(df), name, F.coalesce(unless, errors))
+    return checked.drop(*stages.names.values())

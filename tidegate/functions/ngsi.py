@@ -3,8 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegate.functions.json_text import parse_json_strict, variant_entries, variant_kind
-
 # Attribute types of NGSI-LD, and the keys that are not attributes.
 LD_TYPES = ("Property", "Relationship", "GeoProperty")
 RESERVED = {"ld": ("id", "type", "@context"), "v2": ("id", "type")}
@@ -20,17 +18,17 @@ def _member(value: Column, name: str) -> Column:
 
 
 def _ld_errors(name: Column, value: Column) -> Column:
-    member = _member(value, "type")
-    kind = F.when(variant_kind(member) == "string", F.try_variant_get(member, "$", "string"))
-    relationship = F.coalesce(kind == "Relationship", F.lit(False))
-    needed = F.when(relationship, "object").otherwise("value")
-    lacks = F.when(relationship, _member(value, "object").isNull()).otherwise(
-        _member(value, "value").isNull()
-    )
+    kind = _member(value, "type")
+    text = F.try_variant_get(kind, "$", "string")
+    known = text.isin(*LD_TYPES) & (F.schema_of_variant(kind) == "STRING")
+    relationship = F.coalesce(text == "Relationship", F.lit(False))
     return F.array(
-        F.when(~F.coalesce(kind.isin(*LD_TYPES), F.lit(False)),
+        F.when(~F.coalesce(known, F.lit(False)),
                _text("NGSI-LD attribute '", name, "' has invalid 'type'.")),
-        F.when(lacks, _text("NGSI-LD attribute '", name, "' missing '", needed, "'.")),
+        F.when(relationship & _member(value, "object").isNull(),
+               _text("NGSI-LD attribute '", name, "' missing 'object'.")),
+        F.when(~relationship & _member(value, "value").isNull(),
+               _text("NGSI-LD attribute '", name, "' missing 'value'.")),
     )
 
 
@@ -44,27 +42,22 @@ def _v2_errors(name: Column, value: Column) -> Column:
     )
 
 
-def ngsi_errors(line: Column, version: str = "ld") -> Column:
-    """``array<string>`` of what is wrong with the entity in one JSON text; empty if valid."""
+def entity_errors(entries: Column, version: str = "ld") -> Column:
+    """``array<string>`` of what is wrong with an entity, given as ``map<string, variant>``."""
     version = version.lower()
     if version not in RESERVED:
         raise ValueError(f"ngsi_version must be 'ld' or 'v2', not '{version}'.")
-    entity = parse_json_strict(line)
-    entries = variant_entries(entity)
-    attributes = F.filter(F.map_entries(entries), lambda e: ~e["key"].isin(*RESERVED[version]))
     rules = _ld_errors if version == "ld" else _v2_errors
 
     def attribute_errors(entry: Column) -> Column:
         name, value = entry["key"], entry["value"]
         not_object = F.array(_text("Attribute '", name, "' must be a dictionary."))
-        return F.when(variant_kind(value) == "object", rules(name, value)).otherwise(not_object)
+        is_object = F.schema_of_variant(value).startswith("OBJECT")
+        errors = F.when(is_object, rules(name, value)).otherwise(not_object)
+        return F.when(~name.isin(*RESERVED[version]), errors).otherwise(F.array(F.lit(None).cast("string")))
 
     missing = [
-        F.when(_member(entity, key).isNull(), F.lit(f"Missing '{key}'.")) for key in ("id", "type")
+        F.when(~F.map_contains_key(entries, key), F.lit(f"Missing '{key}'.")) for key in ("id", "type")
     ]
-    errors = F.concat(F.array(*missing), F.flatten(F.transform(attributes, attribute_errors)))
-    return (
-        F.when(entity.isNull(), F.array(F.lit("Invalid JSON format.")))
-        .when(entries.isNull(), F.array(F.lit("Entity must be a JSON object.")))
-        .otherwise(F.array_compact(errors))
-    )
+    attributes = F.flatten(F.transform(F.map_entries(entries), attribute_errors))
+    return F.array_compact(F.concat(F.array(*missing), attributes))

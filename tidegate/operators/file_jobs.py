@@ -12,7 +12,7 @@ import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -146,13 +146,10 @@ def _is_json(text: str, cut: bool) -> bool:
 
 
 def _is_xml(text: str, cut: bool) -> bool:
-    parser = ElementTree.XMLPullParser()
     try:
-        parser.feed(text)
-        if not cut:
-            parser.close()
+        expat.ParserCreate("utf-8").Parse(text.encode(), not cut)
         return True
-    except ElementTree.ParseError:
+    except expat.ExpatError:
         return False
 
 

@@ -180,7 +180,7 @@ def carry(
         heavy = df.groupBy(*[column(g).alias(f"_heavy{i}") for i, g in enumerate(groups)])
         heavy = heavy.agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
         if heavy.isEmpty():
-            return _carry_within(df, method, names, W.partitionBy(*groups).orderBy(*order))
+            return _carry_within(df, method, names, groups, order)
         bucketed = _bucketed(df, order_by, buckets)
         same = [F.col(f"_heavy{i}").eqNullSafe(column(g)) for i, g in enumerate(groups)]
         cut = F.when(F.col("_n").isNotNull(), F.col("_bucket")).alias("_bucket")
@@ -190,23 +190,23 @@ def carry(
     return _carry_across(source, df.columns, method, names, groups, order)
 
 
-def _step(method: str):
-    """The aggregate and frame that look back (ffill) or ahead (bfill), own row included."""
-    if method in FORWARD:
-        return F.last, (W.unboundedPreceding, W.currentRow)
-    return F.first, (W.currentRow, W.unboundedFollowing)
+def _facing(method: str, order: list[Column]) -> list[Column]:
+    """The order in which the last known value is the one to carry.
+
+    Carrying backward is carrying forward through the reversed order; a frame that looks ahead
+    would be evaluated anew for every row.
+    """
+    return order if method in FORWARD else [col.desc() for col in order]
 
 
-def _carry_within(df, method, names, window) -> DataFrame:
-    pick, frame = _step(method)
-    window = window.rowsBetween(*frame)
-    return df.withColumns({n: pick(without_nan(df, n), True).over(window) for n in names})
+def _carry_within(df, method, names, keys, order) -> DataFrame:
+    window = W.partitionBy(*keys).orderBy(*_facing(method, order))
+    window = window.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return df.withColumns({n: F.last(without_nan(df, n), True).over(window) for n in names})
 
 
 def _carry_across(source, output, method, names, groups, order) -> DataFrame:
-    pick, _ = _step(method)
     edge = F.max_by if method in FORWARD else F.min_by
-    outside = (W.unboundedPreceding, -1) if method in FORWARD else (1, W.unboundedFollowing)
     position = F.struct(*order)
 
     # The known value nearest to the edge of each bucket; partial aggregates go over the network.
@@ -218,13 +218,14 @@ def _carry_across(source, output, method, names, groups, order) -> DataFrame:
     )
     # One row per bucket, so this window stays small also when it has no partitions.
     over_buckets = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
-    over_buckets = over_buckets.orderBy("_bucket").rowsBetween(*outside)
+    over_buckets = over_buckets.orderBy(*_facing(method, [F.col("_bucket")]))
+    over_buckets = over_buckets.rowsBetween(W.unboundedPreceding, -1)
     carried = known.select(
         *[column(g).alias(f"_group{i}") for i, g in enumerate(groups)],
         F.col("_bucket").alias("_at"),
-        *[pick(f"_edge{i}", True).over(over_buckets).alias(f"_carry{i}") for i in range(len(names))],
+        *[F.last(f"_edge{i}", True).over(over_buckets).alias(f"_carry{i}") for i in range(len(names))],
     )
-    inside = _carry_within(source, method, names, W.partitionBy(*groups, "_bucket").orderBy(*order))
+    inside = _carry_within(source, method, names, [*groups, "_bucket"], order)
     same = [F.col(f"_group{i}").eqNullSafe(column(g)) for i, g in enumerate(groups)]
     filled = inside.join(carried, [*same, F.col("_at").eqNullSafe(F.col("_bucket"))], "left")
     at = {name: i for i, name in enumerate(names)}

@@ -2,44 +2,46 @@
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.errors import DataQualityError
-from tidegate.functions.json_schema import schema_errors
-from tidegate.functions.json_text import parse_json_strict
+from tidegate.functions.json_schema import add_schema_errors
+from tidegate.functions.json_text import computed_once, variant_entries, with_json_values
 from tidegate.functions.missing import ORDER_COLUMN, column, require_columns, row_order, without_nan
-from tidegate.functions.ngsi import ngsi_errors
+from tidegate.functions.ngsi import entity_errors
 from tidegate.functions.patterns import is_blank
 
 ERRORS = "_errors"
 
 
-def _as_variant(df: DataFrame, name: str) -> Column:
-    """The JSON value of a cell; a missing cell is JSON null."""
+_VALUE = "_value"
+
+
+def _with_value(df: DataFrame, name: str) -> DataFrame:
+    """Add the JSON value of a cell; a missing cell is JSON null, a malformed one is NULL."""
     dtype = df.schema[name].dataType
-    if isinstance(dtype, T.VariantType):
+    if isinstance(dtype, T.StringType):
+        df = with_json_values(df, {_VALUE: column(name)})
+        value = F.col(_VALUE)
+    elif isinstance(dtype, T.VariantType):
         value = column(name)
-    elif isinstance(dtype, T.StringType):
-        value = parse_json_strict(column(name))
     elif isinstance(dtype, (T.StructType, T.MapType, T.ArrayType)):
         value = F.try_parse_json(F.to_json(column(name), {"ignoreNullFields": "false"}))
     else:
         value = without_nan(df, name).cast("variant")
     missing = without_nan(df, name).isNull()
-    return F.when(missing, F.parse_json(F.lit("null"))).otherwise(value)
+    return df.withColumn(_VALUE, F.when(missing, F.parse_json(F.lit("null"))).otherwise(value))
 
 
 def with_schema_errors(df: DataFrame, target_column: str, schema: dict | str) -> DataFrame:
     """Add ``_errors``, the list of violations of a JSON Schema in each cell of the column."""
     require_columns(df, [target_column])
     schema = json.loads(schema) if isinstance(schema, str) else schema
-    parsed = df.withColumn("_value", _as_variant(df, target_column))
-    errors = F.when(F.col("_value").isNull(), F.array(F.lit("Invalid JSON string."))).otherwise(
-        schema_errors(F.col("_value"), schema)
-    )
-    return parsed.withColumn(ERRORS, errors).drop("_value")
+    malformed = F.when(F.col(_VALUE).isNull(), F.array(F.lit("Invalid JSON string.")))
+    checked = add_schema_errors(_with_value(df, target_column), _VALUE, schema, ERRORS, malformed)
+    return checked.drop(_VALUE)
 
 
 def schema_violations(df: DataFrame, target_column: str, schema: dict | str) -> DataFrame:
@@ -50,9 +52,16 @@ def schema_violations(df: DataFrame, target_column: str, schema: dict | str) ->
 def with_ngsi_errors(df: DataFrame, line_column: str = "value", ngsi_version: str = "ld") -> DataFrame:
     """Add ``_errors`` to entity lines; blank lines hold no entity and have no errors."""
     line = column(line_column)
+    entity, entries = F.col("_entity"), F.col("_entries")
+    staged = with_json_values(df, {"_entity": line}).withColumn("_entries", variant_entries(entity))
     blank = F.coalesce(is_blank(line), F.lit(True))
-    none = F.array().cast("array<string>")
-    return df.withColumn(ERRORS, F.when(blank, none).otherwise(ngsi_errors(line, ngsi_version)))
+    errors = (
+        F.when(blank, F.array().cast("array<string>"))
+        .when(entity.isNull(), F.array(F.lit("Invalid JSON format.")))
+        .when(entries.isNull(), F.array(F.lit("Entity must be a JSON object.")))
+        .otherwise(entity_errors(entries, ngsi_version))
+    )
+    return computed_once(staged, ERRORS, errors).drop("_entity", "_entries")
 
 
 def ngsi_violations(df: DataFrame, line_column: str = "value", ngsi_version: str = "ld") -> DataFrame:

@@ -182,11 +182,21 @@ def read_table(
         df = reader.options(
             multiLine=whole_document, mode="FAILFAST", encoding=java_charset(spark, encoding)
         ).json(path)
+        if schema is None and not whole_document:
+            df = _in_written_order(df, path)
     if row_order:
         df = _with_file_order(df)
     return nan_to_null(df) if nan_as_null else df
 
 
+def _in_written_order(df: DataFrame, path: str) -> DataFrame:
+    """Columns in the order of the first record; inference alone sorts them by name."""
+    first = df.sparkSession.read.text(path).limit(1).select(F.json_object_keys("value")).first()
+    written = [name for name in (first[0] if first else None) or [] if name in df.columns]
+    rest = [name for name in df.columns if name not in written]
+    return df.select(*map(column, dict.fromkeys(written + rest)))
+
+
 def write_table(
     df: DataFrame,
     path: str,
