@@ -78,6 +78,15 @@ def test_carry_over_range_partitions(spark, monkeypatch):
     assert rows(found.drop("t"), "ord") == plain(frame(data).bfill())
 
 
+def test_bounds_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(nulls, "SAMPLE_PER_BUCKET", 5)
+    monkeypatch.setattr(nulls, "ROWS_PER_BUCKET", 20)
+    data = random_rows(9)
+    df = spark.createDataFrame(data, SCHEMA)
+    assert rows(carry(df, "ffill", "ord"), "ord") == plain(frame(data).ffill())
+    assert nulls._bucketed(df, ["ord"], None).select("_bucket").distinct().count() > 8
+
+
 def test_carry_over_time(spark):
     data = random_rows(6)
     df = spark.createDataFrame(data, SCHEMA).withColumn(

@@ -96,6 +96,9 @@ def test_graph(spark, chain, tmp_path):
     assert rows(spark.read.parquet(run.written["c"])) == [(4,)]
     assert spark.read.csv(run.written["d"], header=True).count() == 3
     assert [step for step, _ in run.history][0] == "a"
+    for share in ("write", "recompute"):
+        again = run_graph(spark, spec, own=own, share=share)
+        assert rows(spark.read.parquet(again.written["c"])) == [(4,)]
 
 
 def test_graph_checks():

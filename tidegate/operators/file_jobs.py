@@ -288,13 +288,18 @@ def expand_archives(files: DataFrame, strip_components: int = 0, strict: bool =
 
 
 def expand_archive_files(
-    catalog: DataFrame, strip_components: int = 0, part_bytes: int = 256 << 20, strict: bool = False
+    catalog: DataFrame,
+    strip_components: int = 0,
+    part_bytes: int = 256 << 20,
+    tasks: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """:func:`expand_archives` for files opened by their path in the tasks.
 
     ``catalog`` has ``path`` and ``length``. Archives may be larger than memory: only one batch
     of members is held at a time. A large zip file is cut into parts that several tasks read;
-    a tar file can only be read from front to back.
+    a tar file can only be read from front to back. The work is spread over ``tasks`` tasks (as
+    many as there are shuffle partitions by default).
     """
 
     def expand(batches):
@@ -316,7 +321,9 @@ def expand_archive_files(
     work = catalog.select("path", parts.cast("int").alias("parts")).select(
         "path", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    spread = work.repartition("path", "part")
+    # A fixed number: by their size, these few bytes would all be joined into one task.
+    tasks = tasks or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = work.repartition(tasks, "path", "part")
     members = spread.mapInArrow(expand, _MEMBERS)
     return _checked(members) if strict else members
 

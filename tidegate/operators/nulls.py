@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import math
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ BACKWARD = ("bfill", "backfill")
 
 # Up to here an overfull bucket does no harm.
 FEW_ROWS = 100_000
+ROWS_PER_BUCKET = 5_000_000
+SAMPLE_PER_BUCKET = 100
 
 
 def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -94,24 +97,26 @@ def _span(df: DataFrame, name: str) -> Column:
     return col.cast("double")
 
 
-def _by_quantiles(df: DataFrame, name: str, buckets: int) -> DataFrame | None:
+def _by_quantiles(df: DataFrame, name: str, buckets: int, rows: int) -> DataFrame | None:
     """Add ``_bucket`` by equally filled ranges of one numeric or time column.
 
-    Returns None if a single value, or NULL, would overfill a bucket. The ranges are fixed
-    numbers in the plan, so a recomputed task puts every row in the same bucket again.
+    The bounds come from a sample and become fixed numbers in the plan, so a recomputed task
+    puts every row in the same bucket again. Returns None if a single value, or NULL, covers so
+    many rows that its bucket would be overfull.
     """
-    shares = [i / buckets for i in range(1, buckets)] or [0.5]
     span = _span(df, name)
-    found = df.agg(
-        F.percentile_approx(span, F.array(*map(F.lit, shares)), max(10_000, 20 * buckets)).alias("splits"),
-        F.count("*").alias("rows"),
-        F.count(span).alias("known"),
+    spans = df.select(span.alias("_span"))
+    if rows > SAMPLE_PER_BUCKET * buckets:
+        spans = spans.sample(SAMPLE_PER_BUCKET * buckets / rows, seed=1)
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    found = spans.agg(
+        F.percentile_approx("_span", F.array(*map(F.lit, shares)), 20 * buckets).alias("splits"),
+        (F.count("_span") / F.count("*")).alias("known"),
     ).first()
     splits = found["splits"] or [0.0]
     finite = sorted({split for split in splits if abs(split) < float("inf")})
-    unknown = found["rows"] - found["known"]
-    crowded = len(finite) < len(splits) or unknown > found["rows"] / buckets
-    if not finite or (crowded and found["rows"] > FEW_ROWS):
+    crowded = len(finite) < len(splits) or (found["known"] or 0) < 1 - 1 / buckets
+    if not finite or (crowded and rows > FEW_ROWS):
         return None
     ranges = Bucketizer(
         splits=[float("-inf"), *finite, float("inf")],
@@ -135,13 +140,18 @@ def _by_range_partitions(df: DataFrame, order: list[Column], buckets: int) -> Da
     return ranged.withColumn("_bucket", F.struct(F.spark_partition_id().alias("range"))).checkpoint()
 
 
-def _bucketed(df: DataFrame, order_by: list[str] | None, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, order_by: list[str] | None, buckets: int | None) -> DataFrame:
+    """Add ``_bucket``: ranges of the row order, each of a size that one task can sort."""
     if order_by is None:
         position = F.col(ORDER_COLUMN)
         return df.withColumn("_bucket", F.struct(position["file"], position["block"]))
+    rows = df.count()
+    if buckets is None:
+        at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(at_least, math.ceil(rows / ROWS_PER_BUCKET))
     lead = df.schema[order_by[0]].dataType
     if isinstance(lead, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        ranged = _by_quantiles(df, order_by[0], buckets)
+        ranged = _by_quantiles(df, order_by[0], buckets, rows)
         if ranged is not None:
             return ranged
     return _by_range_partitions(df, [column(name) for name in order_by], buckets)
@@ -159,9 +169,9 @@ def carry(
     """Fill each gap with the last known value before it (ffill) or after it (bfill).
 
     ``order_by`` must name a total order. Rows are cut into ``buckets`` ranges of that order
-    (as many as there are shuffle partitions by default); the last known values of the ranges
-    are carried from range to range, and within a range a window does the rest. So a fill over
-    the whole table runs in parallel. With ``partition_by``, only groups of more than
+    (by default as many as there are shuffle partitions, and more for large tables); the last
+    known values of the ranges are carried from range to range, and within a range a window does
+    the rest. So a fill over the whole table runs in parallel. With ``partition_by``, only groups of more than
     ``hot_rows`` rows are cut; smaller ones are one window each.
     """
     if method not in FORWARD + BACKWARD:
@@ -173,7 +183,6 @@ def carry(
     names = require_columns(df, columns or [n for n in data_columns(df) if n not in fixed])
     if not names:
         raise ValueError("There is no column to fill.")
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     source = df
     if groups:
@@ -207,7 +216,7 @@ def _carry_within(df, method, names, keys, order) -> DataFrame:
 
 def _carry_across(source, output, method, names, groups, order) -> DataFrame:
     edge = F.max_by if method in FORWARD else F.min_by
-    position = F.struct(*order)
+    position = order[0] if len(order) == 1 else F.struct(*order)
 
     # The known value nearest to the edge of each bucket; partial aggregates go over the network.
     known = source.groupBy(*groups, "_bucket").agg(

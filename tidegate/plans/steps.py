@@ -234,17 +234,22 @@ def run_graph(
     df: DataFrame | None = None,
     own: dict[str, Step] | None = None,
     write: str = "sinks",
-    persist_shared: bool = True,
+    share: str = "persist",
 ) -> Run:
     """Run ``{"nodes": [{id, plugin, params}], "edges": [{source_node_id, target_node_id}]}``.
 
     Each node is planned once and has at most one upstream node; ``df`` is the input of nodes
-    without upstream and ``input_path``. An output that several nodes use is kept
-    (``persist_shared``) while the sinks are written. ``write`` says which ``output_path`` are
-    written: ``sinks``, ``all`` or ``none``.
+    without upstream and ``input_path``. ``write`` says which ``output_path`` are written:
+    ``sinks``, ``all`` or ``none``.
+
+    ``share`` says what becomes of an output that several nodes use: ``persist`` keeps it in
+    the executors while the sinks are written, ``write`` puts it in a table in the checkpoint
+    folder, which also outlives lost executors, and ``recompute`` leaves it alone.
     """
     if write not in ("sinks", "all", "none"):
         raise ValueError(f"write must be 'sinks', 'all' or 'none', not {write!r}.")
+    if share not in ("persist", "write", "recompute"):
+        raise ValueError(f"share must be 'persist', 'write' or 'recompute', not {share!r}.")
     nodes = {node["id"]: node for node in spec["nodes"]}
     edges = spec.get("edges") or []
     order = check_graph(spec["nodes"], edges)
@@ -255,7 +260,11 @@ def run_graph(
         for node_id in order:
             source = run.outputs[upstream[node_id]] if node_id in upstream else df
             output = _apply(spark, run, node_id, nodes[node_id], source, own or {}, paths)
-            if uses[node_id] > 1 and persist_shared and write != "none":
+            if uses[node_id] > 1 and share == "write":
+                path = scratch_path(spark, "shared")
+                output.write.parquet(path)
+                run.outputs[node_id] = spark.read.parquet(path)
+            elif uses[node_id] > 1 and share == "persist" and write != "none":
                 kept.append(output.persist())
         for node_id in order:
             path = (nodes[node_id].get("params") or {}).get("output_path")
