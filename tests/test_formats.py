@@ -8,34 +8,34 @@ from tidegate.functions.formats import (
 )
 
 PATHS = {
-    "data/file.csv": "csv",
-    "data/file.parquet": "parquet",
-    "data/file.xls": "excel",
-    "data/file.xlsx": "excel",
-    "data/file.json": "json",
-    "data/file.jsonl": "jsonl",
-    "data/file.xml": "xml",
-    "data/file.shp": "shapefile",
-    "data/file.geojson": "geojson",
-    "data/file.txt": "text",
-    "data/file.zip": "zip",
-    "data/file.tar": "tar",
-    "data/file.pb": "gtfs-rt",
-    "data/file.tar.gz": "tar",
-    "data/file.tar.bz2": "tar",
-    "data/file.tar.xz": "tar",
-    "data/file.csv.gz": "unknown",
-    "data/file.unknownext": "unknown",
-    "data/file": "unknown",
-    "data.csv/file": "unknown",
-    "data/.csv": "unknown",
-    "data/.tar.gz": "unknown",
-    "data/.hidden.csv": "csv",
+    "in/t.csv": "csv",
+    "in/t.parquet": "parquet",
+    "in/t.xls": "excel",
+    "in/t.xlsx": "excel",
+    "in/t.json": "json",
+    "in/t.jsonl": "jsonl",
+    "in/t.xml": "xml",
+    "in/t.shp": "shapefile",
+    "in/t.geojson": "geojson",
+    "in/t.txt": "text",
+    "in/t.zip": "zip",
+    "in/t.tar": "tar",
+    "in/t.pb": "gtfs-rt",
+    "in/t.tar.gz": "tar",
+    "in/t.tar.bz2": "tar",
+    "in/t.tar.xz": "tar",
+    "in/t.csv.gz": "unknown",
+    "in/t.docx": "unknown",
+    "in/t": "unknown",
+    "in.csv/t": "unknown",
+    "in/.csv": "unknown",
+    "in/.tar.gz": "unknown",
+    "in/.hidden.csv": "csv",
     "s3://bucket/a.b.c.json": "json",
-    "data/file.CSV": "csv",
-    "data/file.XLSX": "excel",
-    "data/file.PB": "gtfs-rt",
-    "data/file.TAR.GZ": "tar",
+    "in/t.CSV": "csv",
+    "in/t.XLSX": "excel",
+    "in/t.PB": "gtfs-rt",
+    "in/t.TAR.GZ": "tar",
 }
 
 

@@ -192,20 +192,20 @@ def test_ngsi(spark):
 
 TEMPLATE = """{# a comment #}
 {
-    "id": "urn:ngsi-ld:Device:{{ device_id }}",
-    "temperature": {"type": "Property", "value": {{ temperature }}, "observedAt": "{{ measured_at }}"},
-    "location": {"coordinates": [ {{ longitude }}, {{latitude}} ], "fixed": [1, "a", null, true]},
+    "id": "urn:gadget:{{ gadget }}",
+    "warmth": {"type": "Property", "value": {{ warmth }}, "at": "{{ seen_at }}"},
+    "place": {"coordinates": [ {{ east }}, {{north}} ], "fixed": [1, "a", null, true]},
     "empty": {}, "none": [],
     "@context": ["https://one.example/context", "two"]
 }"""
-DEVICES = "device_id string, temperature double, longitude double, latitude double, measured_at string"
+GADGETS = "gadget string, warmth double, east double, north double, seen_at string"
 
 
-def expected_entity(device, temperature, longitude, latitude, at):
+def expected_entity(device, warmth, east, north, at):
     return {
-        "id": f"urn:ngsi-ld:Device:{device}",
-        "temperature": {"type": "Property", "value": temperature, "observedAt": at},
-        "location": {"coordinates": [longitude, latitude], "fixed": [1, "a", None, True]},
+        "id": f"urn:gadget:{device}",
+        "warmth": {"type": "Property", "value": warmth, "at": at},
+        "place": {"coordinates": [east, north], "fixed": [1, "a", None, True]},
         "empty": {},
         "none": [],
         "@context": ["https://one.example/context", "two"],
@@ -213,8 +213,8 @@ def expected_entity(device, temperature, longitude, latitude, at):
 
 
 def test_render(spark):
-    data = [("DEV-001", 19.95, 2.35, 48.85, "2025-08-16T02:12:03Z"), ("日本", 1e10, -74.0, 0.0, "x")]
-    found = [r.json for r in render_json(spark.createDataFrame(data, DEVICES), TEMPLATE).collect()]
+    data = [("G-1", 19.5, 2.35, 48.85, "2024-01-02T03:04:05Z"), ("日本", 1e10, -74.0, 0.0, "x")]
+    found = [r.json for r in render_json(spark.createDataFrame(data, GADGETS), TEMPLATE).collect()]
     assert [json.loads(text) for text in found] == [expected_entity(*row) for row in data]
     assert list(json.loads(found[0])) == list(expected_entity(*data[0]))
 
@@ -228,14 +228,14 @@ def test_render_errors(spark):
         ("tab\\tA", 1.0, 1.0, 1.0, "two\nlines"),
         ("esc\\tA", 1.0, 1.0, 1.0, "t"),
     ]
-    df = render_json(spark.createDataFrame(data, DEVICES), TEMPLATE, keep=["device_id"])
+    df = render_json(spark.createDataFrame(data, GADGETS), TEMPLATE, keep=["gadget"])
     found = df.select("*", is_error_record(F.col("json")).alias("bad")).collect()
     assert [r.bad for r in found] == [True, True, True, False, True, False]
     record = json.loads(found[2].json)
-    assert record["error"] == "Slot 'device_id' breaks the JSON string."
-    assert record["source_record"]["device_id"] == 'say "x"'
-    assert json.loads(found[0].json)["source_record"]["temperature"] is None
-    assert json.loads(found[3].json)["temperature"]["observedAt"] == "None"
+    assert record["error"] == "Slot 'gadget' breaks the JSON string."
+    assert record["source_record"]["gadget"] == 'say "x"'
+    assert json.loads(found[0].json)["source_record"]["warmth"] is None
+    assert json.loads(found[3].json)["warmth"]["at"] == "None"
     assert json.loads(found[5].json)["id"].endswith("esc\tA")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.operators.dedupe import drop_duplicates
 from tidegate.operators.nulls import carry
-from tidegate.sources.files import file_catalog, read_files
+from tidegate.sources.files import file_catalog, read_files, write_files
 from tidegate.sources.named import clear_named, get_named, list_named, put_named
 from tidegate.sources.tables import convert, read_table, write_table
 from tidegate.sources.text import number_lines, read_lines, write_lines
@@ -154,6 +154,24 @@ def test_file_catalog(spark, tmp_path):
     assert [bytes(r.content) for r in contents] == [b"a\n1\n"]
 
 
+def test_write_files(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("a/b.txt", bytearray(b"1")), ("c.bin", bytearray(b"\x00\xff")), ("empty", bytearray())],
+        "member string, content binary",
+    )
+    done = write_files(df, str(tmp_path / "out"), "member", "content")
+    assert (done.files, done.bytes) == (3, 3)
+    assert (tmp_path / "out" / "a" / "b.txt").read_bytes() == b"1"
+    assert (tmp_path / "out" / "c.bin").read_bytes() == b"\x00\xff"
+    write_files(df, (tmp_path / "uri").as_uri(), "member", "content")
+    assert (tmp_path / "uri" / "empty").read_bytes() == b""
+    for bad in ("../x", "/x", "a/../../x", "", None):
+        with pytest.raises(Exception, match="leaves the target folder|has no path"):
+            write_files(spark.createDataFrame([(bad, bytearray())], df.schema), str(tmp_path / "no"), "member", "content")
+    with pytest.raises(ValueError, match="same path"):
+        write_files(df.union(df), str(tmp_path / "twice"), "member", "content")
+
+
 def test_named_tables(spark):
     put_named(spark.range(3), "memory://stage/a.parquet")
     put_named(spark.range(4), "memory://stage/b-c.parquet", persist=True)
@@ -163,4 +181,4 @@ def test_named_tables(spark):
     assert clear_named(spark, "memory://stage/") == 2
     with pytest.raises(KeyError):
         get_named(spark, "memory://stage/a.parquet")
-    assert clear_named(spark) == 1
+    assert clear_named(spark, "memory://other") == 1

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.errors import DataQualityError
+from tidegate.sources.files import leaves_folder
 
 # Charsets, most specific first, for content that is not UTF-8 when no detector is installed.
 _GUESSES = ("cp932", "euc_jp")
@@ -200,10 +201,6 @@ def member_target(name: str, strip_components: int) -> str:
     return "/".join(parts[strip_components:]) if len(parts) > strip_components else parts[-1]
 
 
-def _is_unsafe(name: str) -> bool:
-    return name.startswith("/") or ".." in name.split("/")
-
-
 def _zip_members(archive: zipfile.ZipFile, part: int, parts: int):
     for info in archive.infolist()[part::parts]:
         if not info.filename.endswith("/"):
@@ -231,7 +228,7 @@ def _read_archive(name: str, handle, strip: int, part: int, parts: int):
         found = 0
         for member, size, read in members:
             found += 1
-            if _is_unsafe(member):
+            if leaves_folder(member):
                 yield name, member, None, "Member path leaves the target folder."
             elif size > _MEMBER_LIMIT:
                 yield name, member, None, f"Member of {size} bytes does not fit a row."

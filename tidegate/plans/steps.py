@@ -19,7 +19,7 @@ from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.operators import dedupe, deliver, file_jobs, nulls, quality, sql, validate_json
 from tidegate.scratch import scratch_path
 from tidegate.sources import named, tables, text
-from tidegate.sources.files import read_files
+from tidegate.sources.files import read_files, write_files
 
 Step = Callable[..., DataFrame]
 
@@ -137,8 +137,13 @@ def _read_input(spark: SparkSession, plugin: str, params: dict) -> DataFrame:
     )
 
 
-def _write_output(df: DataFrame, path: str) -> None:
-    if path.startswith(named.MEMORY_SCHEME):
+def _write_output(df: DataFrame, plugin: str, path: str) -> None:
+    if plugin in _FILE_READERS:
+        # Files stay files: members by their path, other files by their name.
+        name = F.substring_index("path", "/", -1) if "path" in df.columns else F.col("member")
+        content = "converted" if "converted" in df.columns else "content"
+        write_files(df.select(name.alias("name"), content), path, "name", content)
+    elif path.startswith(named.MEMORY_SCHEME):
         named.put_named(df, path)
     elif df.drop(ORDER_COLUMN).dtypes == [("value", "string")]:
         text.write_lines(df, "value", path)
@@ -269,7 +274,7 @@ def run_graph(
         for node_id in order:
             path = (nodes[node_id].get("params") or {}).get("output_path")
             if path and (write == "all" or (write == "sinks" and not uses[node_id])):
-                _write_output(run.outputs[node_id], path)
+                _write_output(run.outputs[node_id], nodes[node_id]["plugin"], path)
                 run.written[node_id] = path
     finally:
         for output in kept:

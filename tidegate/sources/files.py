@@ -1,9 +1,15 @@
 """Whole files as rows, and catalogs of files."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions.formats import format_of_path
+from tidegate.functions.missing import column
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -25,3 +31,40 @@ def file_catalog(spark: SparkSession, path: str, glob: str | None = None) -> Dat
         F.col("modificationTime").alias("modified"),
         format_of_path(F.col("path")).alias("format"),
     )
+
+
+def leaves_folder(path: str) -> bool:
+    """Whether a relative path points outside of the folder it is joined to."""
+    return path.startswith("/") or ".." in path.split("/")
+
+
+def write_files(df: DataFrame, target: str, path: str = "path", content: str = "content") -> Row:
+    """Write one file per row below ``target``, from the tasks; returns ``(files, bytes)``.
+
+    ``path`` holds paths relative to ``target``, each at most once. A task that is run again
+    writes the same files again.
+    """
+    rows = df.select(column(path).alias("path"), column(content).cast("binary").alias("content"))
+    twice = rows.groupBy("path").count().where("count > 1").select("path").limit(5).collect()
+    if twice:
+        raise ValueError(f"Several rows have the same path, such as: {[row.path for row in twice]}")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            for name, data in zip(batch["path"].to_pylist(), batch["content"]):
+                if not name:
+                    raise ValueError("A row has no path.")
+                if leaves_folder(name):
+                    raise ValueError(f"Path leaves the target folder: {name}")
+                full = f"{folder.rstrip('/')}/{name}"
+                system.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(full) as stream:
+                    stream.write(data.as_buffer() or b"")
+            sizes = pc.binary_length(batch["content"]).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([sizes], ["bytes"])
+
+    written = rows.mapInArrow(write, "bytes long")
+    return written.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")
+    ).first()
