@@ -22,6 +22,8 @@ BACKWARD = ("bfill", "backfill")
 FEW_ROWS = 100_000
 ROWS_PER_BUCKET = 5_000_000
 SAMPLE_PER_BUCKET = 100
+# A heavy group is one of at most rows / hot_rows; this many keys may be broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -140,12 +142,14 @@ def _by_range_partitions(df: DataFrame, order: list[Column], buckets: int) -> Da
     return ranged.withColumn("_bucket", F.struct(F.spark_partition_id().alias("range"))).checkpoint()
 
 
-def _bucketed(df: DataFrame, order_by: list[str] | None, buckets: int | None) -> DataFrame:
+def _bucketed(
+    df: DataFrame, order_by: list[str] | None, buckets: int | None, rows: int | None = None
+) -> DataFrame:
     """Add ``_bucket``: ranges of the row order, each of a size that one task can sort."""
     if order_by is None:
         position = F.col(ORDER_COLUMN)
         return df.withColumn("_bucket", F.struct(position["file"], position["block"]))
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if buckets is None:
         at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(at_least, math.ceil(rows / ROWS_PER_BUCKET))
@@ -164,7 +168,7 @@ def carry(
     columns: list[str] | None = None,
     partition_by: list[str] | None = None,
     buckets: int | None = None,
-    hot_rows: int = 5_000_000,
+    hot_rows: int = 20_000_000,
 ) -> DataFrame:
     """Fill each gap with the last known value before it (ffill) or after it (bfill).
 
@@ -184,19 +188,19 @@ def carry(
     if not names:
         raise ValueError("There is no column to fill.")
 
-    source = df
-    if groups:
-        heavy = df.groupBy(*[column(g).alias(f"_heavy{i}") for i, g in enumerate(groups)])
-        heavy = heavy.agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-        if heavy.isEmpty():
-            return _carry_within(df, method, names, groups, order)
-        bucketed = _bucketed(df, order_by, buckets)
-        same = [F.col(f"_heavy{i}").eqNullSafe(column(g)) for i, g in enumerate(groups)]
-        cut = F.when(F.col("_n").isNotNull(), F.col("_bucket")).alias("_bucket")
-        source = bucketed.join(heavy, same, "left").select(*map(column, df.columns), cut)
-    else:
-        source = _bucketed(df, order_by, buckets)
-    return _carry_across(source, df.columns, method, names, groups, order)
+    if not groups:
+        return _carry_across(_bucketed(df, order_by, buckets), df.columns, method, names, [], order)
+    heavy = df.groupBy(*[column(g).alias(f"_heavy{i}") for i, g in enumerate(groups)])
+    checkpoint_dir(df.sparkSession)
+    heavy = heavy.agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).checkpoint()
+    found = heavy.agg(F.count("*").alias("groups"), F.sum("_n").alias("rows")).first()
+    if not found.groups:
+        return _carry_within(df, method, names, groups, order)
+    heavy = F.broadcast(heavy.drop("_n")) if found.groups <= BROADCAST_GROUPS else heavy.drop("_n")
+    same = [F.col(f"_heavy{i}").eqNullSafe(column(g)) for i, g in enumerate(groups)]
+    light = _carry_within(df.join(heavy, same, "left_anti"), method, names, groups, order)
+    rest = _bucketed(df.join(heavy, same, "left_semi"), order_by, buckets, found.rows)
+    return light.unionByName(_carry_across(rest, df.columns, method, names, groups, order))
 
 
 def _facing(method: str, order: list[Column]) -> list[Column]:
