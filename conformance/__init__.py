@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.operators.sql import sql_transform
+from tidegate.sources.tables import spread
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for steps that cost much per row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_query(name: str, sql: str, oracle: str | None = None, views: tuple[str, ...] = ()) -> Query:
     """A query that runs SQL text over one registered table, and over ``views`` if given."""
 

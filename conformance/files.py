@@ -7,7 +7,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conformance import Query, table
+from conformance import Query, spread_table, table
 from tidegate.functions.formats import format_of_content_type, format_of_path, suffix_of_content_type
 from tidegate.operators.file_jobs import (
     convert_encoding, decode_text, detect_charset, detect_format, encode_text, expand_archives,
@@ -134,7 +134,7 @@ _CHARSETS = ["utf-8", "utf-16", "utf-32", "latin-1", "cp1252", "gb18030"]
 def _charset_rows(spark, sf_dir):
     """Documents as files, each in one of several charsets."""
     charsets = F.array(*map(F.lit, _CHARSETS))
-    df = table(spark, sf_dir, "documents").withColumn(
+    df = spread_table(spark, sf_dir, "documents").withColumn(
         "charset", F.get(charsets, (F.col("n_chars") % len(_CHARSETS)).cast("int"))
     )
     latin = F.col("text").rlike("^[\\x00-\\x7f\\xa0-\\xff]*$")
@@ -151,11 +151,11 @@ def _decoded(spark, sf_dir):
 def _damaged(spark, sf_dir):
     """UTF-8 texts with an invalid byte at both ends."""
     bad = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("80")))
-    return table(spark, sf_dir, "documents").select("doc_id", decode_text(bad, "utf-8").alias("text"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", decode_text(bad, "utf-8").alias("text"))
 
 
 def _reencoded(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select(
+    files = spread_table(spark, sf_dir, "documents").select(
         "doc_id", encode_text(F.col("text"), "utf-16").alias("content")
     )
     done = convert_encoding(files, target_encoding="utf-8", sample_size=None)
@@ -181,7 +181,7 @@ def _sniffed(spark, sf_dir):
         "unknown": F.unhex(F.lit("")),
     }
     rows = [F.struct(F.lit(k).alias("made"), v.alias("content")) for k, v in kinds.items()]
-    files = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(*rows)))
+    files = spread_table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(*rows)))
     return files.select("doc_id", "made", detect_format(F.col("content"), None).alias("found"))
 
 
@@ -205,7 +205,7 @@ def _packed(batches):
 
 
 def _expanded(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     archives = docs.mapInPandas(_packed, "path string, content binary")
     members = expand_archives(archives, strip_components=1)
     return members.select(

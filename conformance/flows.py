@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conformance import Query, table
+from conformance import Query, spread_table, table
 from conformance.cleansing import GAPPY, _gappy
 from conformance.json_queries import ENTITY, ENTITY_SQL
 from tidegate.functions.masking import mask_sensitive
@@ -28,7 +28,7 @@ CHAIN = [
 
 
 def _chain(spark, sf_dir):
-    return run_steps(spark, CHAIN, table(spark, sf_dir, "events"), write="none").result
+    return run_steps(spark, CHAIN, spread_table(spark, sf_dir, "events"), write="none").result
 
 
 def _graph(spark, sf_dir):
@@ -85,7 +85,7 @@ def _landed(spark, sf_dir):
     landing = scratch_path(spark, "landing")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     events.repartition(4).write.option("ignoreNullFields", False).json(landing)
-    return read_landing(spark, landing, "jsonl", events.schema, max_bytes_per_batch=1 << 20)
+    return read_landing(spark, landing, "jsonl", events.schema, max_bytes_per_batch=4 << 20)
 
 
 def _stream(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conformance import Query, table
+from conformance import Query, spread_table
 from tidegate.functions.json_render import render_json
 from tidegate.operators.validate_json import (
     first_violation, ngsi_violations, schema_violations, with_ngsi_errors,
@@ -27,18 +27,18 @@ MESSAGE = '{"conversation": {{ conv_id }}, "role": "{{ role }}", "text": {{ text
 
 
 def _render(spark, sf_dir):
-    return render_json(table(spark, sf_dir, "events"), ENTITY, "entity", keep=["event_id"])
+    return render_json(spread_table(spark, sf_dir, "events"), ENTITY, "entity", keep=["event_id"])
 
 
 def _render_text(spark, sf_dir):
-    df = render_json(table(spark, sf_dir, "conversations"), MESSAGE, "message", keep=["conv_id", "turn"])
+    df = render_json(spread_table(spark, sf_dir, "conversations"), MESSAGE, "message", keep=["conv_id", "turn"])
     # Read back, so that the texts are compared and not the way their characters are escaped.
     fields = F.from_json("message", "conversation long, role string, text string").alias("m")
     return df.select("conv_id", "turn", fields).select("conv_id", "turn", "m.*")
 
 
 def _render_gaps(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(
+    df = spread_table(spark, sf_dir, "events").select(
         "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value")
     )
     return render_json(df, '{"id": {{ event_id }}, "value": {{ value }}}', "entity", keep=["event_id"])
@@ -61,12 +61,12 @@ PART_SCHEMA = {
 
 
 def _schema_props(spark, sf_dir):
-    bad = schema_violations(table(spark, sf_dir, "events"), "props", PROPS_SCHEMA)
+    bad = schema_violations(spread_table(spark, sf_dir, "events"), "props", PROPS_SCHEMA)
     return bad.select("event_id", F.array_join("_errors", "; ").alias("errors"))
 
 
 def _schema_nested(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select(
+    parts = spread_table(spark, sf_dir, "part").select(
         "p_partkey",
         F.struct(
             F.col("p_name").alias("name"),
@@ -92,7 +92,7 @@ def _entities(spark, sf_dir):
         F.lit(',"@context":[]'),
         F.when(F.col("value") > 90, "").otherwise("}"),
     )
-    return table(spark, sf_dir, "events").select("event_id", event.alias("value"))
+    return spread_table(spark, sf_dir, "events").select("event_id", event.alias("value"))
 
 
 _NO_TYPE = "CASE WHEN value < 2 THEN 'Missing ''type''.' END"

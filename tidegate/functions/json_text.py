@@ -40,7 +40,8 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     Spark pushes a filter below a projection by repeating the projected expression; it leaves
     the output of a generator alone.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    once = F.explode(F.array("_once")).alias(name)
+    return df.withColumn("_once", value).select("*", once).drop("_once")
 
 
 def variant_entries(value: Column) -> Column:
