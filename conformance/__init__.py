@@ -26,11 +26,18 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name))
 
 
-def sql_query(name: str, sql: str, oracle: str | None = None, views: tuple[str, ...] = ()) -> Query:
+def sql_query(
+    name: str,
+    sql: str,
+    oracle: str | None = None,
+    views: tuple[str, ...] = (),
+    costly: bool = False,
+) -> Query:
     """A query that runs SQL text over one registered table, and over ``views`` if given."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         more = {view: table(spark, sf_dir, view) for view in views}
-        return sql_transform(table(spark, sf_dir, name), sql, views=more)
+        source = (spread_table if costly else table)(spark, sf_dir, name)
+        return sql_transform(source, sql, views=more)
 
     return Query(build, (oracle or sql).replace("source_data", name))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from conformance import Query, spread_table, table
 from tidegate.functions.formats import format_of_content_type, format_of_path, suffix_of_content_type
+from tidegate.functions.missing import ORDER_COLUMN
+from tidegate.operators.dedupe import drop_duplicates
 from tidegate.operators.file_jobs import (
-    convert_encoding, decode_text, detect_charset, detect_format, encode_text, expand_archives,
+    convert_encoding, decode_text, detect_charset, detect_format, encode_text,
+    expand_archive_files, expand_archives,
 )
 from tidegate.scratch import scratch_path
-from tidegate.sources.files import file_catalog, read_files
+from tidegate.sources.files import file_catalog, read_files, write_files
 from tidegate.sources.tables import convert, read_table, write_table
 from tidegate.sources.text import number_lines, read_lines, write_lines
 
@@ -51,9 +54,6 @@ def _encoded_csv(spark, sf_dir):
 
 def _first_in_file(spark, sf_dir):
     """The first row of each key, by the order of rows in the file."""
-    from tidegate.functions.missing import ORDER_COLUMN
-    from tidegate.operators.dedupe import drop_duplicates
-
     lines = read_table(spark, f"{sf_dir}/lineitem.parquet", row_order=True)
     return drop_duplicates(lines, ["l_suppkey", "l_returnflag"], "first").drop(ORDER_COLUMN)
 
@@ -163,7 +163,10 @@ def _reencoded(spark, sf_dir):
 
 
 def _detected(spark, sf_dir):
-    files = _charset_rows(spark, sf_dir).where("charset in ('utf-8', 'utf-16', 'utf-32')")
+    """Documents in charsets that show by a byte-order mark or by valid UTF-8."""
+    charsets = F.array(*map(F.lit, ["utf-8", "utf-16", "utf-32"]))
+    chosen = F.get(charsets, (F.col("n_chars") % 3).cast("int"))
+    files = spread_table(spark, sf_dir, "documents").withColumn("content", encode_text(F.col("text"), chosen))
     return files.select("doc_id", detect_charset(F.col("content"), None).alias("found"))
 
 
@@ -201,18 +204,49 @@ def _packed(batches):
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
                     for name, content in members:
                         archive.writestr(name, content)
-            yield pd.DataFrame({"path": [f"a{i}"], "content": [out.getvalue()]})
+            name = f"{part.doc_id.iloc[0]}.{'tar.gz' if i % 2 else 'zip'}"
+            yield pd.DataFrame({"path": [name], "content": [out.getvalue()]})
 
 
-def _expanded(spark, sf_dir):
+def _archives(spark, sf_dir):
     docs = spread_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    archives = docs.mapInPandas(_packed, "path string, content binary")
-    members = expand_archives(archives, strip_components=1)
+    return docs.mapInPandas(_packed, "path string, content binary")
+
+
+def _expanded(spark, sf_dir):
+    return _members(expand_archives(_archives(spark, sf_dir), strip_components=1))
+
+
+def _expanded_files(spark, sf_dir):
+    """The archives as files, opened by their path and read in parts."""
+    path = scratch_path(spark, "archives")
+    write_files(_archives(spark, sf_dir), path)
+    members = expand_archive_files(file_catalog(spark, path), strip_components=1, part_bytes=10_000)
+    return _members(members)
+
+
+def _written_files(spark, sf_dir):
+    """One file per page, read back as bytes."""
+    path = scratch_path(spark, "pages")
+    pages = table(spark, sf_dir, "pages").select(
+        F.format_string("%d/%d.html", F.col("page_id") % 10, "page_id").alias("path"), "html"
+    )
+    write_files(pages, path, "path", "html")
+    return read_files(spark, path, glob="*.html").select(
+        F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long").alias("page_id"),
+        F.md5("content").alias("digest"),
+        "length",
+    )
+
+
+def _members(members):
     return members.select(
         "member", F.decode("content", "UTF-8").alias("text"), F.col("error").isNull().alias("fine")
     )
 
 
+MEMBERS_SQL = "SELECT lang || '/' || doc_id || '.txt' AS member, text, true AS fine FROM documents"
+
 QUERIES = {
     "roundtrip_csv": _round_trip("documents", "csv"),
     "roundtrip_json": _round_trip("orders", "json"),
@@ -266,13 +300,20 @@ QUERIES = {
         """SELECT doc_id, 'utf-16' AS source_encoding,
                replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents""",
     ),
-    "detect_charset": Query(_detected),
+    "detect_charset": Query(
+        _detected,
+        f"""SELECT doc_id, CASE n_chars % 3 WHEN 1 THEN 'utf-16' WHEN 2 THEN 'utf-32'
+                ELSE CASE WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'utf-8' END END AS found
+            FROM documents""",
+    ),
     "sniff_format": Query(
         _sniffed,
         """SELECT doc_id, made, made AS found FROM documents,
                (SELECT unnest(['json', 'xml', 'binary', 'csv', 'unknown']) AS made)""",
     ),
-    "expand_archives": Query(
-        _expanded, "SELECT lang || '/' || doc_id || '.txt' AS member, text, true AS fine FROM documents"
+    "expand_archives": Query(_expanded, MEMBERS_SQL),
+    "expand_archive_files": Query(_expanded_files, MEMBERS_SQL),
+    "write_files": Query(
+        _written_files, "SELECT page_id, md5(html) AS digest, strlen(html) AS length FROM pages"
     ),
 }

@@ -10,7 +10,7 @@ from conformance.json_queries import ENTITY, ENTITY_SQL
 from tidegate.functions.masking import mask_sensitive
 from tidegate.operators.deliver import deliver, delivery_gate
 from tidegate.operators.nulls import drop_nulls, fill_nulls
-from tidegate.plans.metrics import run_report
+from tidegate.plans.metrics import observed, observed_report, run_report
 from tidegate.plans.steps import run_graph, run_steps
 from tidegate.scratch import scratch_path
 from tidegate.sources.named import clear_named, get_named, put_named
@@ -60,6 +60,14 @@ def _run_report(spark, sf_dir):
     return run_report([("1", "read", events), ("2", "drop_row", dropped), ("3", "fill", filled)])
 
 
+def _observed(spark, sf_dir):
+    """Counts that fall out of a job that writes a table."""
+    events, read = observed(_gappy(spark, sf_dir), "read")
+    kept, dropped = observed(drop_nulls(events, ["event_type"]), "dropped")
+    kept.write.parquet(scratch_path(spark, "observed"))
+    return observed_report(spark, [("1", "read", read), ("2", "drop_row", dropped)])
+
+
 def _masked(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey",
@@ -151,6 +159,14 @@ QUERIES = {
             UNION ALL SELECT '3', 'fill', 'rows', count(*) FROM k
             UNION ALL SELECT '3', 'fill', 'nulls', 0""",
     ),
+    "run_metrics_observed": Query(
+        _observed,
+        f"""WITH e AS (SELECT * FROM {GAPPY}), k AS (SELECT * FROM e WHERE event_type IS NOT NULL)
+            SELECT '1' AS step, 'read' AS op, 'rows' AS metric, count(*) AS value FROM e
+            UNION ALL SELECT '1', 'read', 'nulls', 2 * count(*) - count(value) - count(event_type) FROM e
+            UNION ALL SELECT '2', 'drop_row', 'rows', count(*) FROM k
+            UNION ALL SELECT '2', 'drop_row', 'nulls', count(*) - count(value) FROM k""",
+    ),
     "mask_columns": Query(
         _masked,
         """SELECT c_custkey, '***REDACTED***' AS api_key, c_nationkey, '***REDACTED***' AS balance,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conformance import Query, spread_table
 from tidegate.functions.json_render import render_json
 from tidegate.operators.validate_json import (
-    first_violation, ngsi_violations, schema_violations, with_ngsi_errors,
+    first_violation, gate_rows, ngsi_violations, schema_violations, with_ngsi_errors,
 )
 
 ENTITY = """{# one reading #}
@@ -78,6 +78,12 @@ def _schema_nested(spark, sf_dir):
     return bad.select("p_partkey", F.size("_errors").cast("long").alias("n_errors"))
 
 
+def _schema_gate(spark, sf_dir):
+    events = spread_table(spark, sf_dir, "events")
+    schema = {"required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0}}}
+    return gate_rows(events, schema_violations(events, "props", schema), "JSON Schema validation failed")
+
+
 def _entities(spark, sf_dir):
     """One entity text per event, with faults that depend on the row's values."""
     event = F.concat(
@@ -158,6 +164,7 @@ QUERIES = {
                    + (p_size < 10)::INT AS BIGINT) AS n_errors
                FROM part) WHERE n_errors > 0""",
     ),
+    "jsonschema_gate": Query(_schema_gate, "SELECT * FROM events"),
     "ngsi_ld_report": Query(_ngsi("ld"), f"SELECT event_id, {_LD_ERRORS} AS errors FROM events"),
     "ngsi_v2_report": Query(_ngsi("v2"), f"SELECT event_id, {_V2_ERRORS} AS errors FROM events"),
     "ngsi_error_counts": Query(

@@ -179,6 +179,7 @@ QUERIES = {
                CAST(len(list_distinct(words)) AS INT) AS different, CAST(list_sum(list_transform(words, lambda w: length(w))) AS INT) AS letters,
                'lang,source' AS keys, lang AS lang_value
            FROM (SELECT doc_id, lang, source, string_split(text, ' ') AS words FROM source_data) d""",
+        costly=True,
     ),
     "sql_json": sql_query(
         "events",
