@@ -156,13 +156,13 @@ def test_file_catalog(spark, tmp_path):
 
 def test_write_files(spark, tmp_path):
     df = spark.createDataFrame(
-        [("a/b.txt", bytearray(b"1")), ("c.bin", bytearray(b"\x00\xff")), ("empty", bytearray())],
+        [("a/b.txt", bytearray(b"1")), ("c.bin.gz", bytearray(b"\x00\xff")), ("empty", bytearray())],
         "member string, content binary",
     )
     done = write_files(df, str(tmp_path / "out"), "member", "content")
     assert (done.files, done.bytes) == (3, 3)
     assert (tmp_path / "out" / "a" / "b.txt").read_bytes() == b"1"
-    assert (tmp_path / "out" / "c.bin").read_bytes() == b"\x00\xff"
+    assert (tmp_path / "out" / "c.bin.gz").read_bytes() == b"\x00\xff"
     write_files(df, (tmp_path / "uri").as_uri(), "member", "content")
     assert (tmp_path / "uri" / "empty").read_bytes() == b""
     for bad in ("../x", "/x", "a/../../x", "", None):

@@ -59,7 +59,8 @@ def write_files(df: DataFrame, target: str, path: str = "path", content: str = "
                     raise ValueError(f"Path leaves the target folder: {name}")
                 full = f"{folder.rstrip('/')}/{name}"
                 system.create_dir(full.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(full) as stream:
+                # The bytes as they are, also under names such as *.gz.
+                with system.open_output_stream(full, compression=None) as stream:
                     stream.write(data.as_buffer() or b"")
             sizes = pc.binary_length(batch["content"]).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([sizes], ["bytes"])
