@@ -89,10 +89,10 @@ def _named(spark, sf_dir):
 
 
 def _landed(spark, sf_dir):
-    """Events as JSON Lines in a landing folder, a few files per kind."""
+    """Events as JSON Lines files in a landing folder."""
     landing = scratch_path(spark, "landing")
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    events.repartition(4).write.option("ignoreNullFields", False).json(landing)
+    events = spread_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events.write.option("ignoreNullFields", False).json(landing)
     return read_landing(spark, landing, "jsonl", events.schema, max_bytes_per_batch=4 << 20)
 
 

@@ -96,6 +96,13 @@ def test_carry_over_time(spark):
     assert rows(found.drop("ts"), "ord") == plain(frame(data).ffill())
 
 
+def test_a_missing_order_key_comes_first(spark):
+    df = spark.createDataFrame([(None, "first"), *[(i, None) for i in range(9)]], "o long, `b.x` string")
+    assert carry(df, "ffill", "o", buckets=3).where("`b.x` = 'first'").count() == 10
+    grouped = carry(df.withColumn("g.h", F.lit(1)), "ffill", "o", ["b.x"], ["g.h"], 3, hot_rows=1)
+    assert grouped.where("`b.x` = 'first'").count() == 10
+
+
 def test_drop(spark):
     data = [(1, 1.0, "x", 1), (2, NAN, "x", 1), (3, 1.0, None, None), (4, None, "y", 2)]
     df = spark.createDataFrame(data, SCHEMA)

@@ -175,8 +175,8 @@ def carry(
     ``order_by`` must name a total order. Rows are cut into ``buckets`` ranges of that order
     (by default as many as there are shuffle partitions, and more for large tables); the last
     known values of the ranges are carried from range to range, and within a range a window does
-    the rest. So a fill over the whole table runs in parallel. With ``partition_by``, only groups of more than
-    ``hot_rows`` rows are cut; smaller ones are one window each.
+    the rest. So a fill over the whole table runs in parallel. With ``partition_by``, only
+    groups of more than ``hot_rows`` rows are cut; smaller ones are one window each.
     """
     if method not in FORWARD + BACKWARD:
         raise ValueError(f"method must be one of {FORWARD + BACKWARD}, not {method!r}.")
@@ -195,10 +195,11 @@ def carry(
     heavy = heavy.agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).checkpoint()
     found = heavy.agg(F.count("*").alias("groups"), F.sum("_n").alias("rows")).first()
     if not found.groups:
-        return _carry_within(df, method, names, groups, order)
+        return _carry_within(df, method, names, map(column, groups), order)
     heavy = F.broadcast(heavy.drop("_n")) if found.groups <= BROADCAST_GROUPS else heavy.drop("_n")
     same = [F.col(f"_heavy{i}").eqNullSafe(column(g)) for i, g in enumerate(groups)]
-    light = _carry_within(df.join(heavy, same, "left_anti"), method, names, groups, order)
+    light = df.join(heavy, same, "left_anti")
+    light = _carry_within(light, method, names, map(column, groups), order)
     rest = _bucketed(df.join(heavy, same, "left_semi"), order_by, buckets, found.rows)
     return light.unionByName(_carry_across(rest, df.columns, method, names, groups, order))
 
@@ -220,17 +221,18 @@ def _carry_within(df, method, names, keys, order) -> DataFrame:
 
 def _carry_across(source, output, method, names, groups, order) -> DataFrame:
     edge = F.max_by if method in FORWARD else F.min_by
-    position = order[0] if len(order) == 1 else F.struct(*order)
+    position = F.struct(*order)  # a NULL ordering key has a place, too
+    keys = [*map(column, groups), F.col("_bucket")]
 
     # The known value nearest to the edge of each bucket; partial aggregates go over the network.
-    known = source.groupBy(*groups, "_bucket").agg(
+    known = source.groupBy(*keys).agg(
         *[
             edge(value, F.when(value.isNotNull(), position)).alias(f"_edge{i}")
             for i, value in enumerate(without_nan(source, n) for n in names)
         ]
     )
     # One row per bucket, so this window stays small also when it has no partitions.
-    over_buckets = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+    over_buckets = W.partitionBy(*map(column, groups)) if groups else W.partitionBy(F.lit(0))
     over_buckets = over_buckets.orderBy(*_facing(method, [F.col("_bucket")]))
     over_buckets = over_buckets.rowsBetween(W.unboundedPreceding, -1)
     carried = known.select(
@@ -238,7 +240,7 @@ def _carry_across(source, output, method, names, groups, order) -> DataFrame:
         F.col("_bucket").alias("_at"),
         *[F.last(f"_edge{i}", True).over(over_buckets).alias(f"_carry{i}") for i in range(len(names))],
     )
-    inside = _carry_within(source, method, names, [*groups, "_bucket"], order)
+    inside = _carry_within(source, method, names, keys, order)
     same = [F.col(f"_group{i}").eqNullSafe(column(g)) for i, g in enumerate(groups)]
     filled = inside.join(carried, [*same, F.col("_at").eqNullSafe(F.col("_bucket"))], "left")
     at = {name: i for i, name in enumerate(names)}
@@ -250,7 +252,9 @@ def _carry_across(source, output, method, names, groups, order) -> DataFrame:
     )
 
 
-def handle_nulls(df: DataFrame, strategy: str, subset=None, value=None, method=None, **carry_options) -> DataFrame:
+def handle_nulls(
+    df: DataFrame, strategy: str, subset=None, value=None, method=None, **carry_options
+) -> DataFrame:
     """Drop rows with gaps, or fill gaps with a value or from neighbouring rows."""
     if strategy == "drop_row":
         return drop_nulls(df, subset)
