@@ -13,7 +13,7 @@ from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.operators.dedupe import drop_duplicates
 from tidegate.operators.file_jobs import (
     convert_encoding, decode_text, detect_charset, detect_format, encode_text,
-    expand_archive_files, expand_archives,
+    expand_archive_files, expand_archives, inspect_files,
 )
 from tidegate.scratch import scratch_path
 from tidegate.sources.files import file_catalog, read_files, write_files
@@ -236,6 +236,17 @@ def _expanded_files(spark, sf_dir):
     return _members(members)
 
 
+def _inspected(spark, sf_dir):
+    """Pages as JSON files, most of them longer than the bytes that are looked at."""
+    path = scratch_path(spark, "page-json")
+    pages = table(spark, sf_dir, "pages")
+    text = F.to_json(F.struct("page_id", "url", F.col("html"))).alias("content")
+    write_files(pages.select(F.concat("page_id", F.lit(".json")).alias("path"), text), path)
+    found = inspect_files(file_catalog(spark, path))
+    page = F.regexp_extract("path", r"(\d+)\.json$", 1).cast("long").alias("page_id")
+    return found.select(page, "detected_format")
+
+
 def _written_files(spark, sf_dir):
     """One file per page, read back as bytes."""
     path = scratch_path(spark, "pages")
@@ -322,6 +333,7 @@ QUERIES = {
     ),
     "expand_archives": Query(_expanded, MEMBERS_SQL),
     "expand_archive_files": Query(_expanded_files, MEMBERS_SQL),
+    "inspect_files": Query(_inspected, "SELECT page_id, 'json' AS detected_format FROM pages"),
     "write_files": Query(
         _written_files, "SELECT page_id, md5(html) AS digest, strlen(html) AS length FROM pages"
     ),

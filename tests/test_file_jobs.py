@@ -12,9 +12,9 @@ from tidegate.errors import DataQualityError
 from tidegate.operators import file_jobs
 from tidegate.operators.file_jobs import (
     archive_gate, convert_encoding, decode_text, detect_charset, detect_format, encode_text,
-    expand_archive_files, expand_archives, member_target, sniff,
+    expand_archive_files, expand_archives, inspect_files, member_target, sniff,
 )
-from tidegate.sources.files import file_catalog
+from tidegate.sources.files import file_catalog, read_heads
 
 FILES = "path string, content binary"
 
@@ -95,6 +95,20 @@ def test_detect_format(spark):
     assert dict(rows(df.select("path", detect_format(F.col("content"), None)))) == expected
 
 
+def test_inspect_files(spark, tmp_path):
+    for i, (raw, _) in enumerate(SNIFF):
+        (tmp_path / f"{i}.bin").write_bytes(raw)
+    found = inspect_files(file_catalog(spark, str(tmp_path)), tasks=3).collect()
+    by_name = {r.path.rsplit("/", 1)[-1]: r for r in found}
+    assert {n: r.detected_format for n, r in by_name.items()} == {
+        f"{i}.bin": name for i, (_, name) in enumerate(SNIFF)
+    }
+    assert by_name["11.bin"].detected_charset == "utf-8"
+    assert by_name["2.bin"].detected_charset == "ascii"
+    heads = read_heads(file_catalog(spark, str(tmp_path), glob="2.bin"), 3).first()
+    assert (bytes(heads["head"]), heads.cut) == (b'{"a', True)
+
+
 def test_every_cut_of_a_json_text_is_json():
     text = json.dumps({"a": [1, -2.5e3, True, None, "x\\nyé"], "b": {"c": "日"}}, indent=1)
     raw = text.encode()

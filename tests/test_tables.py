@@ -154,6 +154,24 @@ def test_file_catalog(spark, tmp_path):
     assert [bytes(r.content) for r in contents] == [b"a\n1\n"]
 
 
+def test_empty_files_are_listed(spark, tmp_path):
+    for name in ("e", "a/e.txt", "a/b/e.txt", "_hidden/e.txt", "a/.x", "full/f.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" if "full" in name else b"")
+    base = f"file:{tmp_path}/"
+    expected = [base + name for name in ("a/b/e.txt", "a/e.txt", "e", "full/f.txt")]
+    for path in (str(tmp_path), tmp_path.as_uri(), base):
+        found = file_catalog(spark, path).orderBy("path").collect()
+        assert [r.path for r in found] == expected
+        assert [r.length for r in found] == [0, 0, 0, 1]
+    assert file_catalog(spark, str(tmp_path), glob="*.txt").count() == 3
+    assert file_catalog(spark, str(tmp_path / "e")).count() == 1
+    assert file_catalog(spark, str(tmp_path), with_empty=False).count() == 1
+    assert [bytes(r.content) for r in read_files(spark, str(tmp_path / "a")).collect()] == [b"", b""]
+    with pytest.raises(ValueError):
+        file_catalog(spark, str(tmp_path / "*"))
+
+
 def test_write_files(spark, tmp_path):
     df = spark.createDataFrame(
         [("a/b.txt", bytearray(b"1")), ("c.bin.gz", bytearray(b"\x00\xff")), ("empty", bytearray())],

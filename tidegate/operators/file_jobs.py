@@ -16,13 +16,12 @@ from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.errors import DataQualityError
-from tidegate.sources.files import leaves_folder
+from tidegate.sources.files import file_system, leaves_folder, read_heads
 
 # Charsets, most specific first, for content that is not UTF-8 when no detector is installed.
 _GUESSES = ("cp932", "euc_jp")
@@ -188,6 +187,23 @@ def detect_format(content: Column, chunk_size: int | None = 4096) -> Column:
     return _sniffed(F.substring(content, 1, chunk_size), F.octet_length(content) > chunk_size)
 
 
+def inspect_files(
+    catalog: DataFrame, chunk_size: int = 4096, sample_size: int = 10_000, tasks: int | None = None
+) -> DataFrame:
+    """``(path, detected_format, detected_charset)`` of the files of a catalog, by their first bytes.
+
+    Reads nothing but these bytes, however large the files are.
+    """
+    heads = read_heads(catalog, max(chunk_size, sample_size), tasks)
+    chunk = F.substring("head", 1, chunk_size)
+    short = F.col("cut") | (F.octet_length("head") > chunk_size)
+    return heads.select(
+        "path",
+        _sniffed(chunk, short).alias("detected_format"),
+        detect_charset(F.col("head"), sample_size).alias("detected_charset"),
+    )
+
+
 # Archives.
 
 _MEMBERS = "archive string, member string, content binary, error string"
@@ -303,7 +319,7 @@ def expand_archive_files(
         def rows():
             for batch in batches:
                 for row in batch.to_pylist():
-                    system, path = fs.FileSystem.from_uri(row["path"])
+                    system, path = file_system(row["path"])
                     with system.open_input_file(path) as file:
                         small = file.size() <= _BATCH_BYTES
                         handle = io.BytesIO(file.read()) if small else file

@@ -1,7 +1,10 @@
 """Whole files as rows, and catalogs of files."""
 
+import fnmatch
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -12,20 +15,77 @@ from tidegate.functions.formats import format_of_path
 from tidegate.functions.missing import column
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+_FILE_ROW = "path string, modificationTime timestamp, length long, content binary"
+
+
+def read_files(
+    spark: SparkSession, path: str, glob: str | None = None, with_empty: bool = True
+) -> DataFrame:
     """Files below ``path`` as ``(path, modificationTime, length, content)``.
 
-    A column that is not selected is not read: without ``content`` only the listing runs.
+    A column that is not selected is not read: without ``content`` only the listing runs. Spark's
+    own reader leaves out empty files; they are listed apart, unless ``with_empty`` is off.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path)
+    files = reader.load(path)
+    return files.unionByName(_empty_files(spark, path, glob)) if with_empty else files
+
+
+def _empty_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """The empty files below ``path``; the folders in it are searched by as many tasks."""
+    if any(c in path for c in "*?[{"):
+        raise ValueError("Give a folder and glob=, or pass with_empty=False to match paths.")
+    system, root = file_system(path)
+    prefix = path[: path.rindex(root.strip("/"))].removesuffix("/") if "://" in path else "file:"
+    prefix = "file:" if prefix in ("file:", "file://") else prefix
+    if not root.startswith("/"):
+        prefix += "/"
+    whole = system.get_file_info(root)
+    top = [whole] if whole.is_file else system.get_file_info(fs.FileSelector(root))
+    folders = [(info.path,) for info in top if info.type == fs.FileType.Directory and _is_visible(info)]
+
+    def row(info: fs.FileInfo) -> tuple:
+        return prefix + info.path, info.mtime, 0, b""
+
+    def wanted(info: fs.FileInfo) -> bool:
+        named = not glob or fnmatch.fnmatchcase(info.base_name, glob)
+        return info.is_file and info.size == 0 and named and _is_visible(info)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "modificationTime", "length", "content"]
+        for batch in batches:
+            for folder in batch["folder"]:
+                infos = file_system(path)[0].get_file_info(fs.FileSelector(folder, recursive=True))
+                below = [i for i in infos if wanted(i) and _is_visible(i, len(folder))]
+                yield pd.DataFrame([row(i) for i in below], columns=names)
+
+    found = spark.createDataFrame([row(info) for info in top if wanted(info)], _FILE_ROW)
+    if not folders:
+        return found
+    spread = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 1000))
+    return found.unionByName(spread.mapInPandas(search, _FILE_ROW))
+
+
+def _is_visible(info: fs.FileInfo, start: int | None = None) -> bool:
+    """Whether no part of the path (from ``start`` on; else its last) is hidden, as Spark sees it."""
+    parts = [info.base_name] if start is None else info.path[start:].split("/")
+    return not any(part.startswith(("_", ".")) for part in parts)
 
 
-def file_catalog(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def file_catalog(
+    spark: SparkSession, path: str, glob: str | None = None, with_empty: bool = True
+) -> DataFrame:
     """Files below ``path`` as ``(path, length, modified, format)``, without their content."""
-    return read_files(spark, path, glob).select(
+    return read_files(spark, path, glob, with_empty).select(
         "path",
         "length",
         F.col("modificationTime").alias("modified"),
@@ -33,6 +93,39 @@ def file_catalog(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     )
 
 
+def read_heads(catalog: DataFrame, size: int, tasks: int | None = None) -> DataFrame:
+    """The first bytes of each file of a catalog, as ``(path, head, cut)``; the rest is not read.
+
+    ``cut`` says that the file goes on. The files are spread over ``tasks`` tasks (as many as
+    there are shuffle partitions by default).
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch["path"].to_pylist()
+            for start in range(0, len(paths), 1000):
+                part = paths[start : start + 1000]
+                heads = [_head(path, size + 1) for path in part]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "path": pa.array(part, pa.string()),
+                        "head": pa.array([head[:size] for head in heads], pa.binary()),
+                        "cut": pa.array([len(head) > size for head in heads]),
+                    }
+                )
+
+    # A fixed number: by their size, the paths would all be joined into one task.
+    tasks = tasks or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = catalog.select("path").repartition(tasks, "path")
+    return spread.mapInArrow(read, "path string, head binary, cut boolean")
+
+
+def _head(path: str, size: int) -> bytes:
+    system, name = file_system(path)
+    with system.open_input_file(name) as file:
+        return file.read(size)
+
+
 def leaves_folder(path: str) -> bool:
     """Whether a relative path points outside of the folder it is joined to."""
     return path.startswith("/") or ".." in path.split("/")
@@ -50,7 +143,7 @@ def write_files(df: DataFrame, target: str, path: str = "path", content: str = "
         raise ValueError(f"Several rows have the same path, such as: {[row.path for row in twice]}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = fs.FileSystem.from_uri(target)
+        system, folder = file_system(target)
         for batch in batches:
             for name, data in zip(batch["path"].to_pylist(), batch["content"]):
                 if not name:

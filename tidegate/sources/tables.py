@@ -127,14 +127,14 @@ def _read_csv(spark, path, schema, encoding, multiline, row_order, options) -> D
     if schema is None:
         types = _infer_csv_types(texts)
     if row_order:
-        texts = _with_file_order(raw).select(
+        texts = with_file_order(raw).select(
             *[_missing_to_null(name).alias(name) for name in raw.columns], ORDER_COLUMN
         )
     keep = [ORDER_COLUMN] if row_order else []
     return texts.select(*[_typed(name, types[name]) for name in raw.columns], *keep)
 
 
-def _with_file_order(scan: DataFrame) -> DataFrame:
+def with_file_order(scan: DataFrame) -> DataFrame:
     """Add the position of each row: file, block within the file, row within the block.
 
     Must follow the scan directly.
@@ -196,7 +196,7 @@ def read_table(
         if schema is None and not whole_document:
             df = _in_written_order(df, path)
     if row_order:
-        df = _with_file_order(df)
+        df = with_file_order(df)
     return nan_to_null(df) if nan_as_null else df
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.functions.patterns import is_blank
-from tidegate.sources.tables import _with_file_order
+from tidegate.sources.tables import with_file_order
 
 
 def read_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
     """The UTF-8 lines below ``path`` as ``value``, with their order; blank lines are skipped."""
-    lines = _with_file_order(spark.read.text(path))
+    lines = with_file_order(spark.read.text(path))
     return lines if keep_blank else lines.where(~is_blank(F.col("value")))
 
 
