@@ -37,12 +37,22 @@ def test_each_payload_is_sent_once(spark, tmp_path):
         return 422 if "bad" in payload else 200
 
     df = lines(spark, "one", "two", "bad")
-    sent = deliver(df, "value", record, str(tmp_path / "s"))
+    sent = deliver(df, "value", record, str(tmp_path / "s"), key="i")
     assert sent.count() == sent.count() == 3
     assert all(len(f.read_text().splitlines()) == 1 for f in log.iterdir())
-    again = deliver(lines(spark, "one", "bad", "new"), "value", record, str(tmp_path / "s"), resume=True)
-    assert sorted(len(f.read_text().splitlines()) for f in log.iterdir()) == [1, 1, 1, 2]
+    more = lines(spark, "one", "two", "bad", "two")
+    again = deliver(more, "value", record, str(tmp_path / "s"), key="i", resume=True)
+    assert {f.name: f.read_text().split() for f in log.iterdir()} == {
+        "0": ["one"], "1": ["two"], "2": ["bad", "bad"], "3": ["two"],
+    }
     assert again.count() == 5
+    with pytest.raises(ValueError, match="key"):
+        deliver(df, "value", record, str(tmp_path / "s"), resume=True)
+
+
+def test_equal_payloads_are_all_sent(spark, tmp_path):
+    sent = deliver(lines(spark, "same", "same", "same"), "value", send, str(tmp_path / "s"))
+    assert sent.count() == 3
 
 
 def test_nothing_to_send(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.operators.dedupe import drop_duplicates
 from tidegate.operators.nulls import carry
-from tidegate.sources.files import file_catalog, read_files, write_files
+from tidegate.sources.files import file_catalog, path_info, read_files, write_files
 from tidegate.sources.named import clear_named, get_named, list_named, put_named
 from tidegate.sources.tables import convert, read_table, write_table
 from tidegate.sources.text import number_lines, read_lines, write_lines
@@ -154,6 +154,14 @@ def test_file_catalog(spark, tmp_path):
     assert [bytes(r.content) for r in contents] == [b"a\n1\n"]
 
 
+def test_path_info(tmp_path):
+    write_text(tmp_path / "a.txt", "four")
+    info = path_info(str(tmp_path / "a.txt"))
+    assert (info.is_dir, info.length) == (False, 4) and info.modified.year > 2000
+    assert path_info(tmp_path.as_uri()).is_dir
+    assert path_info(str(tmp_path / "b.txt")) is None
+
+
 def test_empty_files_are_listed(spark, tmp_path):
     for name in ("e", "a/e.txt", "a/b/e.txt", "_hidden/e.txt", "a/.x", "full/f.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

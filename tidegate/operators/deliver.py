@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,9 @@ class HttpSender:
             raise ValueError(f"method must be POST or PUT, not '{self.method}'.")
 
     def __call__(self, payload: str, key: str) -> int:
-        headers = {"Content-Type": "application/json", "Idempotency-Key": key, **self.headers}
+        headers = {"Content-Type": "application/json", **self.headers}
+        if key:
+            headers.setdefault("Idempotency-Key", key)
         request = urllib.request.Request(
             self.url, data=payload.encode("utf-8"), headers=headers, method=self.method
         )
@@ -43,11 +45,6 @@ class HttpSender:
             return error.code
 
 
-def payload_key(payload: Column) -> Column:
-    """Stable key of a payload, for receivers that drop repeats."""
-    return F.sha2(payload, 256)
-
-
 def deliver(
     df: DataFrame,
     payload: str,
@@ -55,20 +52,25 @@ def deliver(
     status_path: str,
     concurrency: int = 10,
     keep: list[str] | None = None,
+    key: str | None = None,
     resume: bool = False,
 ) -> DataFrame:
     """Send each non-blank payload once and return ``(*keep, key, status, error)``.
 
     The table is spread over ``concurrency`` tasks, each of which has one request in flight.
     The outcome is written below ``status_path`` and read back, so using the result again does
-    not send again. A task that is run again repeats its requests: receivers should drop
-    repeats by ``key``. With ``resume``, payloads that an earlier run delivered are left out.
+    not send again. A task that is run again repeats its requests; name a column that identifies
+    rows as ``key``, and receivers can drop such repeats by it. With ``resume``, rows that an
+    earlier run delivered are left out; this needs a ``key``, as equal payloads are not one row.
     """
+    if resume and key is None:
+        raise ValueError("To resume, rows must be identified by a key column.")
     spark = df.sparkSession
-    text = stripped(column(payload))
     keep = keep or []
-    rows = df.select(*map(column, keep), text.alias("_payload")).where("_payload != ''")
-    rows = rows.withColumn("key", payload_key(F.col("_payload")))
+    identity = F.lit("") if key is None else column(key).cast("string")
+    rows = df.select(
+        *map(column, keep), identity.alias("key"), stripped(column(payload)).alias("_payload")
+    ).where("_payload != ''")
     fields = [df.schema[name] for name in keep] + [
         T.StructField("key", T.StringType()),
         T.StructField("status", T.IntegerType()),
@@ -78,7 +80,7 @@ def deliver(
         earlier = _statuses(spark, status_path, fields)
         if earlier is not None:
             done = earlier.where(F.col("error").isNull()).select("key").distinct()
-            rows = rows.join(done, "key", "left_anti").select(*map(column, keep), "_payload", "key")
+            rows = rows.join(done, "key", "left_anti").select(*map(column, keep), "key", "_payload")
 
     def attempt(payload: str, key: str) -> tuple[int | None, str | None]:
         try:

@@ -70,10 +70,10 @@ def _ngsi_step(df, ngsi_version="ld", stop_on_first_error=True, line_column="val
 
 
 def _http_step(df, url=None, method="POST", concurrency=10, headers=None, stop_on_fail=True,
-               send=None, status_path=None, payload="value"):
+               send=None, status_path=None, payload="value", key=None):
     sender = send or deliver.HttpSender(url, method, headers or {})
     path = status_path or scratch_path(df.sparkSession, "delivery")
-    statuses = deliver.deliver(df, payload, sender, path, concurrency)
+    statuses = deliver.deliver(df, payload, sender, path, concurrency, key=key)
     return deliver.delivery_gate(statuses, stop_on_fail)
 
 

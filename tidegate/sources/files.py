@@ -93,6 +93,16 @@ def file_catalog(
     )
 
 
+def path_info(path: str) -> Row | None:
+    """``(path, is_dir, length, modified)`` of one path, or None if there is nothing."""
+    system, name = file_system(path)
+    info = system.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        return None
+    is_dir = info.type == fs.FileType.Directory
+    return Row(path=path, is_dir=is_dir, length=0 if is_dir else info.size, modified=info.mtime)
+
+
 def read_heads(catalog: DataFrame, size: int, tasks: int | None = None) -> DataFrame:
     """The first bytes of each file of a catalog, as ``(path, head, cut)``; the rest is not read.
 

@@ -152,7 +152,8 @@ def with_file_order(scan: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for steps that cost much per row, where a small input has few splits.
 
-    A table with at least as many splits as there are cores stays as it is, without a shuffle.
+    For a table as it was read. One with at least as many splits as there are cores stays as it
+    is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
