@@ -71,6 +71,15 @@ def test_chain(spark, chain, tmp_path):
     assert spark.read.parquet(str(tmp_path / "mid.parquet")).columns[3] == "north"
 
 
+def test_lines_become_columns_for_a_table_step(spark, chain, tmp_path):
+    count = {"plugin": "with_spark", "params": {
+        "input_path": chain[1]["params"]["output_path"], "output_path": str(tmp_path / "n.csv"),
+        "query": "SELECT type AS value FROM source_data WHERE warmth.value > 12"}}
+    run = run_steps(spark, [*chain[:2], count])
+    assert rows(run.result) == [("Station",), ("Station",)]
+    assert spark.read.csv(run.written["step_2"], header=True).columns == ["value"]
+
+
 def test_chain_is_one_plan(spark, chain):
     result = run_steps(spark, chain[:2], write="none").result
     plan = result._jdf.queryExecution().executedPlan().toString()

@@ -84,4 +84,5 @@ def suffix_of_content_type(content_type: Column) -> Column:
 def format_of_content_type(content_type: Column) -> Column:
     """The format in which a body with this content type is stored."""
     suffix = suffix_of_content_type(content_type)
-    return F.when(suffix == ".bin", F.lit("binary")).otherwise(format_of_path(F.concat(F.lit("body"), suffix)))
+    known = format_of_path(F.concat(F.lit("body"), suffix))
+    return F.when(suffix == ".bin", F.lit("binary")).otherwise(known)

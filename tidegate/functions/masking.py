@@ -30,14 +30,15 @@ def _holds_sensitive(dtype: T.DataType) -> bool:
     return False
 
 
+def _masked_field(value: Column, field: T.StructField) -> Column:
+    return F.lit(MASK) if is_sensitive(field.name) else _masked(value, field.dataType)
+
+
 def _masked(value: Column, dtype: T.DataType) -> Column:
     if not _holds_sensitive(dtype):
         return value
     if isinstance(dtype, T.StructType):
-        fields = [
-            (F.lit(MASK) if is_sensitive(f.name) else _masked(value.getField(f.name), f.dataType)).alias(f.name)
-            for f in dtype.fields
-        ]
+        fields = [_masked_field(value.getField(f.name), f).alias(f.name) for f in dtype.fields]
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
         return F.transform(value, lambda item: _masked(item, dtype.elementType))
@@ -63,9 +64,4 @@ def mask_sensitive(df: DataFrame) -> DataFrame:
     A masked field becomes text. Maps with text keys are masked by key; their other values
     become text too unless they are text already.
     """
-    return df.select(
-        *[
-            (F.lit(MASK) if is_sensitive(f.name) else _masked(column(f.name), f.dataType)).alias(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    return df.select(*[_masked_field(column(f.name), f).alias(f.name) for f in df.schema.fields])

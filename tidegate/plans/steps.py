@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.errors import DataQualityError
+from tidegate.functions.formats import format_from_path
 from tidegate.functions.json_render import render_json
 from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.operators import dedupe, deliver, file_jobs, nulls, quality, sql, validate_json
@@ -137,6 +138,23 @@ def _read_input(spark: SparkSession, plugin: str, params: dict) -> DataFrame:
     )
 
 
+def _holds_lines(df: DataFrame) -> bool:
+    return df.drop(ORDER_COLUMN).dtypes == [("value", "string")]
+
+
+def _hand_over(df: DataFrame, producer: str, plugin, path: str) -> DataFrame:
+    """The output of an earlier step as the next one reads it from ``path``.
+
+    JSON lines that a step for tables reads become columns, and these are known only once the
+    lines are written.
+    """
+    makes_lines = producer in ("with_jinja2", "ngsi_validator") and _holds_lines(df)
+    if not makes_lines or plugin in _LINE_READERS or plugin not in STEPS:
+        return df
+    text.write_lines(df, "value", path)
+    return tables.read_table(df.sparkSession, path, "jsonl")
+
+
 def _write_output(df: DataFrame, plugin: str, path: str) -> None:
     if plugin in _FILE_READERS:
         # Files stay files: members by their path, other files by their name.
@@ -145,7 +163,7 @@ def _write_output(df: DataFrame, plugin: str, path: str) -> None:
         write_files(df.select(name.alias("name"), content), path, "name", content)
     elif path.startswith(named.MEMORY_SCHEME):
         named.put_named(df, path)
-    elif df.drop(ORDER_COLUMN).dtypes == [("value", "string")]:
+    elif _holds_lines(df) and format_from_path(path) not in ("csv", "parquet"):
         text.write_lines(df, "value", path)
     else:
         tables.write_table(df, path)
@@ -170,7 +188,7 @@ def _apply(spark, run: Run, step_id: str, step: dict, upstream: DataFrame | None
     df = upstream
     source = params.get("input_path")
     if source in paths:
-        df = run.outputs[paths[source]]
+        df = _hand_over(run.outputs[paths[source]], dict(run.history)[paths[source]], plugin, source)
     elif source is not None:
         df = _read_input(spark, plugin, params)
     if df is None:
