@@ -1,17 +1,48 @@
 """One query per operator, over whole tables; each derives its digest columns from the operator."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.llm.bpe import decode, encode
 from tidegate.llm.near_vectors import near_vectors
 from tidegate.llm.ngram_join import jaccard_components
 from tidegate.llm.substring_dedup import remove_repeats
+from tidegate.llm.token_counts import token_counts
+from tidegate.llm.toxicity import fit_toxicity, remainder, score_toxicity
+
+#: Rows of this remainder are never learned from.
+HELD_OUT = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labels = labels.filter(remainder() != HELD_OUT)
+    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return score_toxicity(docs, model, ["doc_id"]).select(
+        "doc_id",
+        F.coalesce(remainder() == HELD_OUT, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -25,9 +56,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts(_table(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {
+    "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op3_toxicity": op3_toxicity,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {}
