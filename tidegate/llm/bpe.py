@@ -12,7 +12,6 @@ The tokenizer file is read by the driver and broadcast (a vocabulary and its mer
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,9 @@ REMEMBERED = 600_000
 #: Characters of the documents that are encoded together.
 GROUP = 16_000_000
 
-_ID = Struct("<I")
+
+def packed_id(i: int) -> bytes:
+    return i.to_bytes(4, "little")
 
 
 def byte_characters() -> list[str]:
@@ -49,7 +50,7 @@ class BytePairs:
         self.ids: dict[str, int] = model["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(left, right): rank for rank, (left, right) in enumerate(merges)}
-        self.pack = {token: _ID.pack(i) for token, i in self.ids.items()}
+        self.pack = {token: packed_id(i) for token, i in self.ids.items()}
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         names = {i: t for t, i in (self.ids | self.special).items()}
         self.tokens = [names.get(i, "") for i in range(max(names) + 1)]
@@ -193,7 +194,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for part in groups(batch, GROUP):
                 cut = [model.chunks(text.decode()) for text in texts(part)]
                 known = memory.of({x for one in cut for x in one if type(x) is str})
-                known |= {i: _ID.pack(i) for i in model.special.values()}
+                known |= {i: packed_id(i) for i in model.special.values()}
                 ids = [b"".join(map(known.__getitem__, one)) for one in cut]
                 yield pa.RecordBatch.from_arrays(
                     [
