@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import decode, encode
+from tidegate.llm.hash_tree import assign_shards, layout, number_slots
+from tidegate.llm.line_dedup import remove_near_lines
 from tidegate.llm.near_vectors import near_vectors
 from tidegate.llm.ngram_join import jaccard_components
 from tidegate.llm.substring_dedup import remove_repeats
@@ -13,6 +15,7 @@ from tidegate.llm.toxicity import fit_toxicity, remainder, score_toxicity
 
 #: Rows of this remainder are never learned from.
 HELD_OUT = 2
+SHARDS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,13 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_near_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -43,6 +53,27 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
+    )
+    placed = assign_shards(docs, "doc_id", layout(SHARDS))
+    placed = assign_shards(placed, "doc_id", layout(SHARDS + 1), "grown_shard")
+    numbered = number_slots(placed, "shard", ["doc_id", "size", "text_crc32"])
+    return numbered.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("key").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        "grown_shard",
+    )
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +94,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_sharding": op4_sharding,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,

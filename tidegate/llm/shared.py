@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidegate.scratch import scratch_path
 
+#: Stands for a null doc_id within operators.
+NO_ID = -(2**63)
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table of the shared checkpoint folder and read again: cuts lineage."""

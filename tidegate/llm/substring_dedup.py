@@ -24,13 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.repeats import repeated_only
-from tidegate.llm.shared import batches, signed, stored, texts
+from tidegate.llm.shared import NO_ID, batches, signed, stored, texts
 from tidegate.llm.words import mix, span_hashes, window_hashes, word_hashes
 
 #: Words of an anchor.
 ANCHOR = 8
-#: Stands for a null doc_id within the operator.
-NO_ID = -(2**63)
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
