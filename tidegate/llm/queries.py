@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import decode, encode
+from tidegate.llm.decontamination import contaminated
 from tidegate.llm.hash_tree import assign_shards, layout, number_slots
 from tidegate.llm.line_dedup import remove_near_lines
 from tidegate.llm.near_vectors import near_vectors
@@ -82,6 +83,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -99,6 +104,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
 }
