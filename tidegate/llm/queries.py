@@ -1,7 +1,7 @@
 """One query per operator, over whole tables; each derives its digest columns from the operator."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import decode, encode
@@ -10,6 +10,7 @@ from tidegate.llm.hash_tree import assign_shards, layout, number_slots
 from tidegate.llm.line_dedup import remove_near_lines
 from tidegate.llm.near_vectors import near_vectors
 from tidegate.llm.ngram_join import jaccard_components
+from tidegate.llm.personal_data import KINDS, personal_data
 from tidegate.llm.substring_dedup import remove_repeats
 from tidegate.llm.token_counts import token_counts
 from tidegate.llm.toxicity import fit_toxicity, remainder, score_toxicity
@@ -97,6 +98,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), path)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, KINDS))
+
+    def joined(spans: str) -> Column:
+        one = F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"]))
+        return F.array_join(one, ",")
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return personal_data(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(number(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)),
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_line_dedup": op2_line_dedup,
@@ -107,5 +126,6 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
