@@ -90,11 +90,12 @@ def contaminated(
     are no placeholders. ``coverage`` is the share of the item's tokens in shared windows. Of the
     different pairs of values that stand for each other, ``agreement`` is the least share that one
     of each value makes. ``verbatim``: all values are the same but for case. One row per document
-    and item, for whole texts. Items of fewer than ``shortest`` tokens, null and empty texts and
-    items match nothing. A null doc_id is a document like any other; rows that repeat a document
+    and item, for whole texts. Items of fewer than ``shortest`` tokens or without an id, null and
+    empty texts match nothing. A null doc_id is a document like any other; rows that repeat a document
     or an item give no further rows. Other columns are not read.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    items = items.filter("item_id IS NOT NULL AND text IS NOT NULL")
     windows = stored(_items(items, width, shortest, literals).withColumnRenamed("at", "p"), "item_windows")
     widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most ``width`` values
     small = windows.count() <= BROADCAST_ROWS
