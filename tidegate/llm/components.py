@@ -1,9 +1,28 @@
 """Connected components of links, by alternating star operations on tables of links."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def forest(x: np.ndarray, y: np.ndarray, number: int) -> list[tuple[int, int]]:
+    """Links ``(x, y)`` between ``number`` nodes that connect what all of them connect."""
+    parent = list(range(number))
+    kept = []
+    for a, b in zip(x.tolist(), y.tolist()):
+        i, j = a, b
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        while parent[j] != j:
+            parent[j] = parent[parent[j]]
+            j = parent[j]
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+            kept.append((a, b))
+    return kept
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every end of the links ``(a, b)``: the smallest node it reaches.
 

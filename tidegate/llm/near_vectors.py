@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.components import connected_components
+from tidegate.llm.components import connected_components, forest
 from tidegate.llm.shared import stored
 
 #: Vectors of a bucket that are compared at once.
@@ -59,24 +59,6 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def forest(x: np.ndarray, y: np.ndarray, number: int) -> list[tuple[int, int]]:
-    """Links ``(x, y)`` between ``number`` nodes that connect what all of them connect."""
-    parent = list(range(number))
-    kept = []
-    for a, b in zip(x.tolist(), y.tolist()):
-        i, j = a, b
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        while parent[j] != j:
-            parent[j] = parent[parent[j]]
-            j = parent[j]
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-            kept.append((a, b))
-    return kept
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
