@@ -26,8 +26,7 @@ def _round_trip(name, fmt):
         df = table(spark, sf_dir, name)
         path = scratch_path(spark, f"{name}.{fmt}")
         write_table(df, path, fmt)
-        multiline = False if fmt == "json" else None
-        return read_table(spark, path, fmt, schema=df.schema, multiline=multiline)
+        return read_table(spark, path, fmt, schema=df.schema)
 
     return Query(build, f"SELECT * FROM {name}")
 
@@ -169,7 +168,7 @@ def _reencoded(spark, sf_dir):
     files = spread_table(spark, sf_dir, "documents").select(
         "doc_id", encode_text(F.col("text"), "utf-16").alias("content")
     )
-    done = convert_encoding(files, target_encoding="utf-8", sample_size=None)
+    done = convert_encoding(files, target_encoding="utf-8")
     return done.select("doc_id", "source_encoding", F.decode("converted", "UTF-8").alias("text"))
 
 
@@ -178,7 +177,7 @@ def _detected(spark, sf_dir):
     charsets = F.array(*map(F.lit, ["utf-8", "utf-16", "utf-32"]))
     chosen = F.get(charsets, (F.col("n_chars") % 3).cast("int"))
     files = spread_table(spark, sf_dir, "documents").withColumn("content", encode_text(F.col("text"), chosen))
-    return files.select("doc_id", detect_charset(F.col("content"), None).alias("found"))
+    return files.select("doc_id", detect_charset(F.col("content")).alias("found"))
 
 
 def _sniffed(spark, sf_dir):
@@ -236,6 +235,94 @@ def _expanded_files(spark, sf_dir):
     return _members(members)
 
 
+def _json_document(spark, sf_dir):
+    """Orders by customer, each customer's as one array document of several lines."""
+    path = scratch_path(spark, "orders-json")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    rows = F.sort_array(F.collect_list(F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderpriority"))))
+    text = F.concat(F.lit(" \n[\n"), F.array_join(rows, ",\n"), F.lit("\n]"))
+    files = orders.groupBy((F.col("o_custkey") % 20).alias("part")).agg(text.alias("content"))
+    write_files(files.select(F.concat("part", F.lit(".json")).alias("path"), "content"), path)
+    return read_table(spark, path, "json")
+
+
+def _json_kinds(spark, sf_dir):
+    """A folder that holds both array documents and files with a record per line."""
+    path = scratch_path(spark, "customers-json")
+    one = F.to_json(F.struct("c_custkey", "c_name"))
+    rows = F.collect_list(one)
+    customers = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 6).alias("part"))
+    files = customers.agg(
+        F.when(F.first(F.col("c_custkey") % 2) == 0, F.concat(F.lit("["), F.array_join(rows, "\n,"), F.lit("]")))
+        .otherwise(F.array_join(rows, "\n")).alias("content")
+    )
+    write_files(files.select(F.concat("part", F.lit(".json")).alias("path"), "content"), path)
+    return read_table(spark, path, "json")
+
+
+def _late_characters(spark, sf_dir):
+    """Documents behind more than 10,000 plain characters: no prefix shows their charset."""
+    text = F.concat(F.repeat(F.lit("plain "), 1700), F.col("text"), F.lit(" é 日本"))
+    files = spread_table(spark, sf_dir, "documents").select("doc_id", F.encode(text, "UTF-8").alias("content"))
+    done = convert_encoding(files)
+    return done.select("doc_id", "source_encoding", F.substring(F.decode("converted", "UTF-8"), 10_201, 1 << 30).alias("text"))
+
+
+_LEGACY_TEXTS = {
+    "cp932": "顧客の注文は次のとおりです。",
+    "euc_jp": "顧客の注文は次のとおりです。",
+    "latin-1": "L'été à Genève, où déjà tout est prêt.",
+}
+
+
+def _legacy_charsets(spark, sf_dir):
+    """A sentence with each customer's name, in a charset without any mark."""
+    names = list(_LEGACY_TEXTS)
+    number = (F.col("c_custkey") % len(names)).cast("int")
+    text = F.concat(F.col("c_name"), F.lit(" "), F.get(F.array(*map(F.lit, _LEGACY_TEXTS.values())), number))
+    files = table(spark, sf_dir, "customer").select(
+        "c_custkey", encode_text(text, F.get(F.array(*map(F.lit, names)), number)).alias("content")
+    )
+    done = convert_encoding(files)
+    return done.select("c_custkey", "source_encoding", "text")
+
+
+def _legacy_sql():
+    cases = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(_LEGACY_TEXTS))
+    texts = " ".join(
+        "WHEN {} THEN '{}'".format(i, text.replace("'", "''")) for i, text in enumerate(_LEGACY_TEXTS.values())
+    )
+    number = f"c_custkey % {len(_LEGACY_TEXTS)}"
+    return f"""SELECT c_custkey, CASE {number} {cases} END AS source_encoding,
+        c_name || ' ' || CASE {number} {texts} END AS text FROM customer"""
+
+
+def _renamed_tars(spark, sf_dir):
+    """Pages in tar files whose names don't say so, far larger than a part."""
+    path = scratch_path(spark, "renamed-tars")
+
+    def packed(batches):
+        for pages in batches:
+            for name, group in pages.groupby("archive"):
+                buffer = io.BytesIO()
+                with tarfile.open(fileobj=buffer, mode="w:bz2") as archive:
+                    for page, html in zip(group["page_id"], group["html"]):
+                        raw = html.encode()
+                        info = tarfile.TarInfo(f"{page}.html")
+                        info.size = len(raw)
+                        archive.addfile(info, io.BytesIO(raw))
+                yield pd.DataFrame({"path": [name], "content": [buffer.getvalue()]})
+
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("pages"), F.col("page_id") % 4, F.lit(".dat")).alias("archive"), "page_id", "html"
+    )
+    tars = pages.groupBy("archive").applyInPandas(lambda df: next(packed([df])), "path string, content binary")
+    write_files(tars, path)
+    members = expand_archive_files(file_catalog(spark, path), part_bytes=1000, strict=True)
+    page = F.regexp_extract("member", r"(\d+)\.html$", 1).cast("long").alias("page_id")
+    return members.select(page, F.decode("content", "UTF-8").alias("html"))
+
+
 def _inspected(spark, sf_dir):
     """Pages as JSON files, most of them longer than the bytes that are looked at."""
     path = scratch_path(spark, "page-json")
@@ -333,6 +420,15 @@ QUERIES = {
     ),
     "expand_archives": Query(_expanded, MEMBERS_SQL),
     "expand_archive_files": Query(_expanded_files, MEMBERS_SQL),
+    "read_json_document": Query(
+        _json_document, "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders"
+    ),
+    "json_kinds_by_content": Query(_json_kinds, "SELECT c_custkey, c_name FROM customer"),
+    "convert_encoding_default": Query(
+        _late_characters, "SELECT doc_id, 'utf-8' AS source_encoding, text || ' é 日本' AS text FROM documents"
+    ),
+    "detect_legacy_charset": Query(_legacy_charsets, _legacy_sql()),
+    "expand_renamed_tars": Query(_renamed_tars, "SELECT page_id, html FROM pages"),
     "inspect_files": Query(_inspected, "SELECT page_id, 'json' AS detected_format FROM pages"),
     "write_files": Query(
         _written_files, "SELECT page_id, md5(html) AS digest, strlen(html) AS length FROM pages"

@@ -99,13 +99,22 @@ def _infer_csv_types(texts: DataFrame) -> dict[str, str]:
 
 
 def _typed(name: str, dtype: str | T.DataType) -> Column:
-    cell = column(name)
+    return _as_type(column(name), dtype).alias(name)
+
+
+def _as_type(cell: Column, dtype: str | T.DataType) -> Column:
     kind = dtype.simpleString() if isinstance(dtype, T.DataType) else dtype
     if kind == "boolean":
         cell = F.when(cell.isin(*_BOOLEAN_TEXT["true"]), True).when(
             cell.isin(*_BOOLEAN_TEXT["false"]), False
         )
-    return cell.cast(dtype).alias(name)
+    return cell.cast(dtype)
+
+
+def csv_cell(name: str, dtype: str | T.DataType) -> Column:
+    """A CSV cell, read as text, in its column's type; null where it is missing."""
+    text = _missing_to_null(name)
+    return _as_type(text, dtype)
 
 
 def _read_csv(spark, path, schema, encoding, multiline, row_order, options) -> DataFrame:
@@ -115,7 +124,7 @@ def _read_csv(spark, path, schema, encoding, multiline, row_order, options) -> D
         multiline = wide or _has_multiline_cells(spark, path)
     reader = spark.read.options(
         header=True, quote='"', escape='"', encoding=charset, multiLine=multiline,
-        enforceSchema=False,
+        enforceSchema=False, mode="FAILFAST",
     ).options(**options)
     raw = reader.csv(path)
     if schema is not None:
@@ -176,32 +185,71 @@ def read_table(
 
     CSV has a header line, ``""`` as the escaped quote, and the usual texts for missing values;
     a file whose quoted cells hold line ends is read whole by one task, all others in splits.
-    With ``schema`` no scan is spent on types. ``.json`` is one document of records, ``.jsonl``
-    one record per line. ``row_order`` adds the hidden column that ``keep="first"``, ``ffill``
+    With ``schema`` no scan is spent on types. A row with more or fewer cells than the header
+    fails the job. ``.jsonl`` has one record per line; a ``.json`` file whose first character is
+    ``[`` is one document, an array of records, any other one has a record per line. To tell them
+    apart costs a scan, unless ``multiline`` says which they are. ``row_order`` adds the hidden column that ``keep="first"``, ``ffill``
     and the like use as the order of rows.
     """
     chosen = table_format(path, fmt)
     if chosen == "csv":
         df = _read_csv(spark, path, schema, encoding, multiline, row_order, options)
         return nan_to_null(df) if nan_as_null else df
-    reader = spark.read.options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
     if chosen == "parquet":
-        df = reader.parquet(path)
+        reader = spark.read.options(**options)
+        df = (reader if schema is None else reader.schema(schema)).parquet(path)
+        df = with_file_order(df) if row_order else df
     else:
-        whole_document = (chosen == "json") if multiline is None else multiline
-        df = reader.options(
-            multiLine=whole_document, mode="FAILFAST", encoding=java_charset(spark, encoding)
-        ).json(path)
-        if schema is None and not whole_document:
-            df = _in_written_order(df, path)
-    if row_order:
-        df = with_file_order(df)
+        options["encoding"] = java_charset(spark, encoding)
+        if multiline is None and chosen == "json":
+            documents, others = _json_documents(spark, path)
+        else:
+            documents, others = ([path], []) if multiline else ([], [path])
+        parts = [
+            _read_json(spark, paths, schema, whole, row_order, options)
+            for paths, whole in ((documents, True), (others, False))
+            if paths
+        ]
+        df = parts[0]
+        if len(parts) > 1:
+            df = df.unionByName(parts[1], allowMissingColumns=True)
     return nan_to_null(df) if nan_as_null else df
 
 
-def _in_written_order(df: DataFrame, path: str) -> DataFrame:
+def _json_documents(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The paths of array documents, and of files with a record per line.
+
+    Where all files are of one kind, their common path stands for them. Else the files are
+    named one by one, which is what Spark's own listing of them holds as well.
+    """
+    lines = spark.read.text(path)
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    text = F.ltrim(F.regexp_replace("value", "^[\ufeff\\s\\x00]+", ""))
+    found = (
+        lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), text.alias("text"))
+        .filter("text != ''")
+        .groupBy("file")
+        .agg(F.min_by(F.substring("text", 1, 1), "place").alias("first"))
+        .withColumn("document", F.col("first") == "[")
+    )
+    kinds = dict(found.groupBy("document").count().collect())
+    if len(kinds) < 2:
+        return ([path], []) if True in kinds else ([], [path])
+    files = found.select("file", "document").collect()
+    return [f for f, document in files if document], [f for f, document in files if not document]
+
+
+def _read_json(spark, paths, schema, whole_document, row_order, options) -> DataFrame:
+    reader = spark.read.options(**options)
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.options(multiLine=whole_document, mode="FAILFAST").json(paths)
+    if schema is None and not whole_document:
+        df = _in_written_order(df, paths)
+    return with_file_order(df) if row_order else df
+
+
+def _in_written_order(df: DataFrame, path: str | list[str]) -> DataFrame:
     """Columns in the order of the first record; inference alone sorts them by name."""
     first = df.sparkSession.read.text(path).limit(1).select(F.json_object_keys("value")).first()
     written = [name for name in (first[0] if first else None) or [] if name in df.columns]
