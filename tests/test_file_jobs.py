@@ -47,17 +47,19 @@ def test_charset_per_file(spark):
 
 
 def test_detect_charset(spark):
-    text = "これは日本語の文章です。文字コードを判定します。" * 20
-    df = files(
-        spark,
-        {
-            "ascii": b"plain", "utf-8": text.encode(), "utf-8-sig": text.encode("utf-8-sig"),
-            "utf-16": text.encode("utf-16"), "cp932": text.encode("cp932"),
-        },
-    )
-    found = dict(rows(df.select("path", detect_charset(F.col("content"), 100))))
-    assert found.pop("cp932") in ("cp932", "shift_jis", "shift_jis_2004", "shift_jisx0213")
-    assert all(name == guess for name, guess in found.items())
+    text = "これは日本語の文章です。文字コードを判定します。"
+    contents = {"ascii": b"plain", "latin-1": "café crème, déjà vu; Größe".encode("latin-1")}
+    for name in ("utf-8", "utf-8-sig", "utf-16", "cp932", "euc_jp", "iso2022_jp"):
+        contents[name] = text.encode(name)
+    contents["euc_kr"] = "대한민국의 모든 권력은 국민으로부터 나온다.".encode("euc_kr")
+    found = dict(rows(files(spark, contents).select("path", detect_charset(F.col("content")))))
+    assert all(name == guess for name, guess in found.items()), found
+
+
+def test_charset_of_a_late_character(spark):
+    late = {"utf": b"a" * 20_000 + "café 日本".encode(), "sjis": b"a" * 20_000 + "こんにちは世界".encode("cp932")}
+    found = {r.path: (r.source_encoding, r.text[20_000:]) for r in convert_encoding(files(spark, late)).collect()}
+    assert found == {"utf": ("utf-8", "café 日本"), "sjis": ("cp932", "こんにちは世界")}
 
 
 def test_convert_encoding(spark):
@@ -167,8 +169,8 @@ def test_bad_archives(spark):
     assert found[("empty", None)] == found[("empty.tar", None)] == "No files extracted from archive."
     assert found[("none", None)] == "Unsupported archive format (not zip or tar)."
     assert ("cut", None) in found and ("gz", None) in found
-    with pytest.raises(DataQualityError, match="none"):
-        archive_gate(expand_archives(df.where("path = 'none'")))
+    with pytest.raises(Exception, match="none: Unsupported"):
+        archive_gate(expand_archives(df.where("path = 'none'"))).collect()
     with pytest.raises(Exception, match="Unsupported archive"):
         expand_archives(df.where("path = 'none'"), strict=True).collect()
 
@@ -183,6 +185,8 @@ def test_archive_files_in_parts(spark, tmp_path):
     (tmp_path / "b.tar.gz").write_bytes(tar_bytes(many, "w:gz"))
     (tmp_path / "c.tar").write_bytes(tar_bytes(many))
     (tmp_path / "e.zip").write_bytes(zip_bytes({}))
+    (tmp_path / "f.tbz2").write_bytes(tar_bytes(many, "w:bz2"))
+    (tmp_path / "no_extension").write_bytes(tar_bytes(many))
     catalog = file_catalog(spark, str(tmp_path))
     found = expand_archive_files(catalog, strip_components=1, part_bytes=1000)
     by_archive = {}
@@ -190,7 +194,8 @@ def test_archive_files_in_parts(spark, tmp_path):
         by_archive.setdefault(archive.rsplit("/", 1)[-1], {})[member] = content
     expected = {name[2:]: content for name, content in many.items()}
     assert by_archive.pop("e.zip") == {None: "No files extracted from archive."}
-    assert by_archive == dict.fromkeys(("a.zip", "b.tar.gz", "c.tar"), expected)
+    assert by_archive == dict.fromkeys(("a.zip", "b.tar.gz", "c.tar", "f.tbz2", "no_extension"), expected)
+    assert len(found.collect()) == 5 * len(many) + 1
 
 
 def test_batches_stay_small(monkeypatch):

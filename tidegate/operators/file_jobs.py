@@ -5,6 +5,7 @@ spreads the files over tasks, and the helpers below look at one file each.
 """
 
 import codecs
+import contextlib
 import csv
 import io
 import json
@@ -20,43 +21,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegate.errors import DataQualityError
 from tidegate.sources.files import file_system, leaves_folder, read_heads
 
-# Charsets, most specific first, for content that is not UTF-8 when no detector is installed.
-_GUESSES = ("cp932", "euc_jp")
+# Byte-order marks and the charsets that they stand for, longer marks first.
+_MARKS = (
+    (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"),
+    (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"),
+)
+# Charsets for content that is not UTF-8, besides latin-1, which fits any bytes.
+_LEGACY = ("euc_jp", "cp932", "euc_kr", "gb18030")
+_KANA = re.compile("[\u3041-\u30ff]")
+_HANGUL = re.compile("[\uac00-\ud7a3]")
+_WIDE = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff01-\uff5e]")
+# A single wide character within a Latin word comes from two accented letters.
+_LONE = re.compile("(?<=[A-Za-z])[\u3000-\u9fff\uac00-\ud7a3](?=[A-Za-z\\s]|$)")
 _DELIMITERS = ",;\t|"
 
 
 # Charsets.
 
 
+def _plausible(text: str, charset: str) -> float:
+    """How well a text in a legacy charset reads: the share of its characters that belong there."""
+    odd = [c for c in text if c > "\x7f"]
+    if not odd:
+        return 0.0
+    joined = "".join(odd)
+    own = len((_HANGUL if charset == "euc_kr" else _WIDE).findall(joined))
+    # Kana is what tells Japanese from other readings of the same bytes.
+    kana = 0.0
+    if charset in ("euc_jp", "cp932"):
+        kana, own = len(_KANA.findall(joined)), own * 0.7
+    return (own + kana - 3 * len(_LONE.findall(text))) / len(odd)
+
+
 def _guess_charset(raw: bytes) -> str:
-    for mark, name in (
-        (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"),
-        (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"),
-        (codecs.BOM_UTF16_BE, "utf-16"),
-    ):
+    """The charset of a whole content; one that is named decodes every byte of it."""
+    for mark, name in _MARKS:
         if raw.startswith(mark):
             return name
+    if b"\x1b$" in raw and raw.isascii():
+        with contextlib.suppress(UnicodeDecodeError):
+            raw.decode("iso2022_jp")
+            return "iso2022_jp"
     try:
-        # An incomplete character at the end of a sample is no error.
-        codecs.getincrementaldecoder("utf-8")().decode(raw)
+        raw.decode("utf-8")
         return "ascii" if raw.isascii() else "utf-8"
     except UnicodeDecodeError:
         pass
-    try:
-        import charset_normalizer
-    except ImportError:
-        for name in _GUESSES:
-            try:
-                codecs.getincrementaldecoder(name)().decode(raw)
-                return name
-            except UnicodeDecodeError:
-                continue
-        return "latin-1"
-    best = charset_normalizer.from_bytes(raw).best()
-    return best.encoding if best else "latin-1"
+    best, name = 0.5, "latin-1"
+    for charset in _LEGACY:
+        try:
+            score = _plausible(raw.decode(charset), charset)
+        except UnicodeDecodeError:
+            continue
+        if score > best:
+            best, name = score, charset
+    return name
 
 
 @F.pandas_udf(T.StringType())
@@ -80,12 +101,14 @@ def _encoded(text: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([encode(value, name) for value, name in zip(text, encoding)], dtype=object)
 
 
-def detect_charset(content: Column, sample_size: int | None = 10_000) -> Column:
-    """The charset of each content, judged by its first bytes (all with ``sample_size=None``).
+def detect_charset(content: Column) -> Column:
+    """The charset of each content, judged by all of it.
 
-    Byte-order marks and valid UTF-8 decide; else a detector guesses, with latin-1 if unsure.
+    Byte-order marks and valid UTF-8 decide. Else the Japanese, Korean or Chinese charset that
+    decodes every byte and reads best is taken, and latin-1 if none reads well. The same bytes
+    have the same charset on every machine.
     """
-    return _charset_of(content if sample_size is None else F.substring(content, 1, sample_size))
+    return _charset_of(content)
 
 
 def decode_text(content: Column, encoding: str | Column) -> Column:
@@ -113,13 +136,12 @@ def convert_encoding(
     files: DataFrame,
     source_encoding: str | None = None,
     target_encoding: str = "utf-8",
-    sample_size: int | None = 10_000,
 ) -> DataFrame:
     """Add ``source_encoding``, ``text`` and, re-encoded, ``converted`` to files with content."""
     if source_encoding:
         encoding, text = F.lit(source_encoding), decode_text(F.col("content"), source_encoding)
     else:
-        encoding = detect_charset(F.col("content"), sample_size)
+        encoding = detect_charset(F.col("content"))
         text = decode_text(F.col("content"), F.col("source_encoding"))
     marked = files.withColumn("source_encoding", encoding).withColumn("text", text)
     # Line ends are unified, as reading a text file does.
@@ -190,9 +212,11 @@ def detect_format(content: Column, chunk_size: int | None = 4096) -> Column:
 def inspect_files(
     catalog: DataFrame, chunk_size: int = 4096, sample_size: int = 10_000, tasks: int | None = None
 ) -> DataFrame:
-    """``(path, detected_format, detected_charset)`` of the files of a catalog, by their first bytes.
+    """``(path, detected_format, detected_charset, cut)`` of the files of a catalog.
 
-    Reads nothing but these bytes, however large the files are.
+    Reads nothing but the first bytes of each file, however large it is; where ``cut`` is true
+    there are more, and the whole file may be of another format or charset. Bytes that end
+    within a character are cut before it.
     """
     heads = read_heads(catalog, max(chunk_size, sample_size), tasks)
     chunk = F.substring("head", 1, chunk_size)
@@ -200,10 +224,27 @@ def inspect_files(
     return heads.select(
         "path",
         _sniffed(chunk, short).alias("detected_format"),
-        detect_charset(F.col("head"), sample_size).alias("detected_charset"),
+        detect_charset(_whole_characters(F.substring("head", 1, sample_size))).alias("detected_charset"),
+        (short | (F.octet_length("head") > sample_size)).alias("cut"),
     )
 
 
+@F.pandas_udf(T.BinaryType())
+def _whole_characters(content: pd.Series) -> pd.Series:
+    """Bytes without a UTF-8 character that the end cuts; others as they are."""
+
+    def trimmed(raw):
+        for length in range(1, min(4, len(raw) + 1)):
+            if raw[-length] >= 0xC0:
+                whole = 2 + (raw[-length] >= 0xE0) + (raw[-length] >= 0xF0)
+                return raw[:-length] if whole > length else raw
+            if raw[-length] < 0x80:
+                break
+        return raw
+
+    return content.map(trimmed, na_action="ignore")
+
+
 # Archives.
 
 _MEMBERS = "archive string, member string, content binary, error string"
@@ -237,6 +278,8 @@ def _read_archive(name: str, handle, strip: int, part: int, parts: int):
             archive = zipfile.ZipFile(handle)
             empty = all(member.endswith("/") for member in archive.namelist())
             members = _zip_members(archive, part, parts)
+        elif part:
+            return  # the first part reads all of an archive that has no parts
         else:
             handle.seek(0)
             archive = tarfile.open(fileobj=handle, mode="r:*")
@@ -329,8 +372,7 @@ def expand_archive_files(
 
         yield from _arrow_rows(rows())
 
-    whole = F.col("path").rlike(r"(?i)\.(tar|tgz|tar\.\w+)$")
-    parts = F.when(whole, 1).otherwise(F.ceil(F.greatest(F.col("length"), F.lit(1)) / part_bytes))
+    parts = F.ceil(F.greatest(F.col("length"), F.lit(1)) / part_bytes)
     work = catalog.select("path", parts.cast("int").alias("parts")).select(
         "path", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
@@ -348,8 +390,5 @@ def _checked(members: DataFrame) -> DataFrame:
 
 
 def archive_gate(members: DataFrame) -> DataFrame:
-    """Raise if any archive could not be expanded, else return the members."""
-    bad = members.where(F.col("error").isNotNull()).select("archive", "error").limit(20).collect()
-    if bad:
-        raise DataQualityError("; ".join(f"{row.archive}: {row.error}" for row in bad))
-    return members
+    """The members; the job that uses them fails at the first archive that could not be expanded."""
+    return _checked(members)
