@@ -45,7 +45,11 @@ def test_each_payload_is_sent_once(spark, tmp_path):
     assert {f.name: f.read_text().split() for f in log.iterdir()} == {
         "0": ["one"], "1": ["two"], "2": ["bad", "bad"], "3": ["two"],
     }
-    assert again.count() == 5
+    assert rows(again.select("key", "status", "attempt")) == [("0", 200, 1), ("1", 200, 1), ("2", 422, 2), ("3", 200, 2)]
+    with pytest.raises(DeliveryError, match="1 requests failed"):
+        delivery_gate(again)
+    healed = deliver(more, "value", lambda payload, key: 200, str(tmp_path / "s"), key="i", resume=True)
+    assert tuple(delivery_summary(delivery_gate(healed)).first()) == (4, 4, 0)
     with pytest.raises(ValueError, match="key"):
         deliver(df, "value", record, str(tmp_path / "s"), resume=True)
 

@@ -1,7 +1,7 @@
 """Delivery of rows, one request each, from the tasks that hold them."""
 
-import urllib.error
-import urllib.request
+import http.client
+import urllib.parse
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,18 +31,35 @@ class HttpSender:
         if self.method not in ("POST", "PUT"):
             raise ValueError(f"method must be POST or PUT, not '{self.method}'.")
 
+    def __getstate__(self):
+        return {name: value for name, value in vars(self).items() if name != "_connection"}
+
+    def _connected(self) -> http.client.HTTPConnection:
+        """The connection that this task's requests share."""
+        if "_connection" not in vars(self):
+            parts = urllib.parse.urlsplit(self.url)
+            secure = parts.scheme == "https"
+            kind = http.client.HTTPSConnection if secure else http.client.HTTPConnection
+            self._connection = kind(parts.hostname, parts.port, timeout=self.timeout)
+        return self._connection
+
     def __call__(self, payload: str, key: str) -> int:
         headers = {"Content-Type": "application/json", **self.headers}
         if key:
             headers.setdefault("Idempotency-Key", key)
-        request = urllib.request.Request(
-            self.url, data=payload.encode("utf-8"), headers=headers, method=self.method
-        )
+        parts = urllib.parse.urlsplit(self.url)
+        target = urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, ""))
+        connection = self._connected()
         try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as response:
-                return response.status
-        except urllib.error.HTTPError as error:
-            return error.code
+            connection.request(self.method, target, payload.encode("utf-8"), headers)
+            response = connection.getresponse()
+            response.read()
+        except Exception:
+            # The next request opens a new one.
+            connection.close()
+            del self._connection
+            raise
+        return response.status
 
 
 def deliver(
@@ -55,13 +72,14 @@ def deliver(
     key: str | None = None,
     resume: bool = False,
 ) -> DataFrame:
-    """Send each non-blank payload once and return ``(*keep, key, status, error)``.
+    """Send each non-blank payload once and return ``(*keep, key, status, error, attempt)``.
 
     The table is spread over ``concurrency`` tasks, each of which has one request in flight.
     The outcome is written below ``status_path`` and read back, so using the result again does
     not send again. A task that is run again repeats its requests; name a column that identifies
     rows as ``key``, and receivers can drop such repeats by it. With ``resume``, rows that an
     earlier run delivered are left out; this needs a ``key``, as equal payloads are not one row.
+    Of a key that was sent in several runs only the rows of the latest one are returned.
     """
     if resume and key is None:
         raise ValueError("To resume, rows must be identified by a key column.")
@@ -75,10 +93,13 @@ def deliver(
         T.StructField("key", T.StringType()),
         T.StructField("status", T.IntegerType()),
         T.StructField("error", T.StringType()),
+        T.StructField("attempt", T.IntegerType()),
     ]
+    number = 1
     if resume:
         earlier = _statuses(spark, status_path, fields)
         if earlier is not None:
+            number += earlier.agg(F.max("attempt")).first()[0] or 0
             done = earlier.where(F.col("error").isNull()).select("key").distinct()
             rows = rows.join(done, "key", "left_anti").select(*map(column, keep), "key", "_payload")
 
@@ -94,11 +115,15 @@ def deliver(
             outcomes = [attempt(p, k) for p, k in zip(batch["_payload"], batch["key"])]
             status = pd.array([s for s, _ in outcomes], dtype="Int32")
             error = pd.Series([e for _, e in outcomes], index=batch.index, dtype=object)
-            yield batch.drop(columns="_payload").assign(status=status, error=error)
+            yield batch.drop(columns="_payload").assign(status=status, error=error, attempt=number)
 
     sent = rows.repartition(concurrency).mapInPandas(run, T.StructType(fields))
     sent.write.mode("append" if resume else "overwrite").parquet(status_path)
-    return _statuses(spark, status_path, fields)
+    statuses = _statuses(spark, status_path, fields)
+    if number == 1:
+        return statuses
+    latest = statuses.groupBy("key").agg(F.max("attempt").alias("attempt"))
+    return statuses.join(latest, ["key", "attempt"]).select(*[f.name for f in fields])
 
 
 def _statuses(spark, path: str, fields: list) -> DataFrame | None:
