@@ -91,27 +91,48 @@ def _report_row(index: int, rule: dict, violations: Column) -> Column:
     )
 
 
+def _as_key(df: DataFrame, name: str) -> Column:
+    """A text that equal values of a column share, and no others."""
+    value, dtype = without_nan(df, name), df.schema[name].dataType
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        value = value + F.lit(0.0).cast(dtype)  # one zero
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(value)
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(value.isNotNull(), F.to_json(value, {"ignoreNullFields": "false"}))
+    return value.cast("string")
+
+
 def quality_report(df: DataFrame, rules: list[dict]) -> DataFrame:
     """``(rule_idx, column, type, violations, passed)`` for rules of the types not_null,
     is_unique, in_range, matches_regex and in_set.
 
-    All row rules share one scan of the columns they name. Each ``is_unique`` rule is a
-    grouped count of its column, reduced before the shuffle; its violations are the rows whose
+    All row rules share one scan of the columns they name, and so do all ``is_unique`` rules:
+    those are counts by rule and value, reduced before the shuffle; their violations are the rows whose
     value occurs more than once, with missing values counting as one value. A rule of unknown
     type is a violation.
     """
     _check_rules(df, rules)
-    parts, row_rules, unknown = [], [], []
+    parts, row_rules, unique, unknown = [], [], [], []
     for i, rule in enumerate(rules):
         if rule["type"] in ROW_RULES:
             row_rules.append((i, rule))
         elif rule["type"] == "is_unique":
-            counts = df.groupBy(without_nan(df, rule["column"])).agg(F.count("*").alias("_n"))
-            repeated = F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0))
-            total = counts.agg(repeated.alias("_v"))
-            parts.append(total.select(F.inline(F.array(_report_row(i, rule, F.col("_v"))))))
+            unique.append((i, rule))
         else:
             unknown.append((i, rule))
+    if unique:
+        cells = [
+            F.struct(F.lit(i).alias("_rule"), _as_key(df, rule["column"]).alias("_key")) for i, rule in unique
+        ]
+        counts = df.select(F.inline(F.array(*cells))).groupBy("_rule", "_key").agg(F.count("*").alias("_n"))
+        repeated = F.col("_n") > 1
+        sums = [
+            F.coalesce(F.sum(F.when(repeated & (F.col("_rule") == i), F.col("_n"))), F.lit(0)).alias(f"_v{i}")
+            for i, _ in unique
+        ]
+        rows = [_report_row(i, rule, F.col(f"_v{i}")) for i, rule in unique]
+        parts.append(counts.agg(*sums).select(F.inline(F.array(*rows))))
     if row_rules:
         counts = df.agg(*[F.count_if(_violates(df, rule)).alias(f"_v{i}") for i, rule in row_rules])
         rows = [_report_row(i, rule, F.col(f"_v{i}")) for i, rule in row_rules]
@@ -194,6 +215,7 @@ def rule_message(row) -> str:
         return (
             f"Rule '{row.name}' failed for {row.violations} rows. (Expression: '{row.expression}')."
         )
+    # The texts of failed rules.
     texts = {
         "not_null": f"Column '{row.column}' has nulls.",
         "is_unique": f"Column '{row.column}' has duplicates.",
