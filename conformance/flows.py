@@ -2,18 +2,22 @@
 
 import re
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conformance import Query, spread_table, table
 from conformance.cleansing import GAPPY, _gappy
 from conformance.json_queries import ENTITY, ENTITY_SQL
+from tidegate.errors import DataQualityError
 from tidegate.functions.masking import mask_sensitive
 from tidegate.operators.deliver import deliver, delivery_gate
 from tidegate.operators.nulls import drop_nulls, fill_nulls
+from tidegate.operators.quality import gate, quality_report
 from tidegate.plans.metrics import observed, observed_report, run_report
 from tidegate.plans.steps import run_graph, run_steps
 from tidegate.scratch import scratch_path
 from tidegate.sources.named import clear_named, get_named, put_named
+from tidegate.sources.tables import write_table
 from tidegate.streaming.ingest import ingest, ingest_batches, read_landing
 
 CHAIN = [
@@ -126,6 +130,69 @@ def _stream_report(spark, sf_dir):
     return reports.groupBy("status").agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"))
 
 
+def _skipped(spark, sf_dir):
+    """Batches of one event type each; the gate refuses some, and their message says why."""
+    landing, target = scratch_path(spark, "typed-landing"), scratch_path(spark, "skip-out")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events.withColumn("kind", F.col("event_type")).repartition("kind").write.partitionBy("kind").json(landing)
+    schema = "event_id long, user_id long, value double, event_type string"
+    stream = read_landing(spark, landing, "jsonl", schema, max_bytes_per_batch=1)
+    rule = {"column": "event_type", "type": "in_set", "values": ["click", "view", "purchase"]}
+    steps = [{"plugin": "data_quality", "params": {"rules": [rule]}}]
+    log = scratch_path(spark, "skip-log")
+    ingest_batches(stream, steps, target, log, on_error="skip").awaitTermination()
+    reports = spark.read.parquet(target + ".reports")
+    reason = F.element_at(F.split("message", "\n"), -1).alias("reason")
+    return reports.groupBy("status", reason).agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"))
+
+
+def _gate_fails(spark, sf_dir):
+    """What a gate says about the rules that fail."""
+    lines = table(spark, sf_dir, "lineitem")
+    rules = [
+        {"column": "l_orderkey", "type": "not_null"},
+        {"column": "l_orderkey", "type": "is_unique"},
+        {"column": "l_quantity", "type": "in_range", "max": 10},
+    ]
+    try:
+        gate(lines, quality_report(lines, rules))
+        message = "passed"
+    except DataQualityError as error:
+        message = str(error)
+    return lines.agg(F.count("*").alias("rows"), F.lit(message).alias("message"))
+
+
+def _bad_cells(spark, sf_dir):
+    """Whether a stream of tables refuses a cell that is no number; the good files arrive."""
+    outcomes = []
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    for bad in (False, True):
+        landing, target = scratch_path(spark, "cells"), scratch_path(spark, "cells-out")
+        number = F.col("c_custkey").cast("string")
+        cell = F.when(F.col("c_custkey") % 100 == 7, F.lit("seven")).otherwise(number) if bad else number
+        write_table(customers.select(cell.alias("c_custkey"), "c_mktsegment"), landing, "csv")
+        stream = read_landing(spark, landing, "csv", "c_custkey long, c_mktsegment string")
+        keep = [{"plugin": "with_spark", "params": {"query": "SELECT * FROM source_data"}}]
+        query = ingest(stream, keep, target, scratch_path(spark, "cells-log"))
+        try:
+            query.awaitTermination()
+            found = spark.read.parquet(target).agg(F.sum("c_custkey").alias("total"))
+            outcomes.append(found.select(F.lit("read").alias("outcome"), "total"))
+        except StreamingQueryException:
+            outcomes.append(spark.range(1).select(F.lit("refused").alias("outcome"), F.lit(None).cast("long").alias("total")))
+    return outcomes[0].union(outcomes[1])
+
+
+def _resumed(spark, sf_dir):
+    """Requests that failed are sent again, and the gate is content then."""
+    payload = F.to_json(F.struct("event_id", "event_type")).alias("payload")
+    events = table(spark, sf_dir, "events").select("event_id", payload)
+    path = scratch_path(spark, "resumed")
+    deliver(events, "payload", _send, path, keep=["event_id"], key="event_id")
+    healed = deliver(events, "payload", lambda payload, key: 200, path, keep=["event_id"], key="event_id", resume=True)
+    return delivery_gate(healed).select("event_id", "status", "attempt")
+
+
 def _send(payload: str, key: str) -> int:
     """A receiver that refuses errors and cannot be reached for views."""
     kind = re.search(r'"event_type":"(\w+)"', payload).group(1)
@@ -184,6 +251,29 @@ QUERIES = {
     "stream_report": Query(
         _stream_report, "SELECT 'ok' AS status, count(*) AS rows_in, count(*) AS rows_out FROM events"
     ),
+    "stream_skip_gate": Query(
+        _skipped,
+        """SELECT CASE WHEN good THEN 'ok' ELSE 'error' END AS status,
+               CASE WHEN NOT good THEN '- Column ''event_type'' has values not in allowed set.' END AS reason,
+               count(*) AS rows_in, count(*) FILTER (good) AS rows_out
+           FROM (SELECT event_type IN ('click', 'view', 'purchase') AS good FROM events) GROUP BY good""",
+    ),
+    "stream_bad_cells": Query(
+        _bad_cells,
+        """SELECT 'read' AS outcome, sum(c_custkey)::BIGINT AS total FROM customer
+           UNION ALL SELECT 'refused', NULL""",
+    ),
+    "dq_gate_fails": Query(
+        _gate_fails,
+        """SELECT count(*) AS rows, 'Data quality validation failed:' || chr(10)
+               || '- Column ''l_orderkey'' has duplicates.' || chr(10)
+               || '- Column ''l_quantity'' has values out of range.' AS message FROM lineitem""",
+    ),
+    "deliver_resume": Query(
+        _resumed,
+        """SELECT event_id, CASE WHEN event_type IN ('view', 'error') THEN 200 ELSE 201 END AS status,
+               CASE WHEN event_type IN ('view', 'error') THEN 2 ELSE 1 END AS attempt FROM events""",
+    ),
     "deliver_status": Query(
         _delivered,
         """SELECT event_id, CASE event_type WHEN 'view' THEN NULL WHEN 'error' THEN 422 ELSE 201 END AS status,

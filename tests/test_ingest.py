@@ -45,3 +45,24 @@ def test_batches_with_gate(spark, tmp_path):
     )
     with pytest.raises(Exception, match="out of range"):
         failing.awaitTermination(120)
+
+
+@pytest.mark.parametrize("name, text", [("a.csv", "k,v\nx,foo\n"), ("a.csv", "k,v\nx,1,2\n"), ("a.jsonl", '{"k":"x","v":\n')])
+def test_bad_input_fails_the_stream(spark, tmp_path, name, text):
+    land(tmp_path / "in", name, text)
+    stream = read_landing(spark, str(tmp_path / "in"), name.split(".")[1], SCHEMA)
+    steps = [{"plugin": "with_spark", "params": {"query": "SELECT * FROM source_data"}}]
+    with pytest.raises(Exception, match="(?i)malformed|cast|FAILED_READ_FILE"):
+        ingest(stream, steps, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination(120)
+
+
+def test_skip_is_for_gates_only(spark, tmp_path):
+    land(tmp_path / "in", "a.jsonl", '{"k":"x","v":1}\n')
+
+    def broken(df):
+        raise RuntimeError("disk full")
+
+    stream = read_landing(spark, str(tmp_path / "in"), "jsonl", SCHEMA)
+    query = ingest_batches(stream, [{"plugin": broken}], str(tmp_path / "o"), str(tmp_path / "l"), on_error="skip")
+    with pytest.raises(Exception, match="disk full"):
+        query.awaitTermination(120)

@@ -10,21 +10,19 @@ from tidegate.operators.sql import sql_transform
 from tidegate.plans.metrics import observed, observed_report, run_report
 from tidegate.plans.steps import check_graph, run_graph, run_steps
 
-CSV = """station,celsius,spot,taken_at
-ST-07,11.5,"52.52,13.405",2024-03-01T06:00:00Z
-ST-08,12.25,"48.137,11.575",2024-03-01T06:05:00Z
-ST-09,-3.75,"-33.45,-70.667",2024-03-01T06:10:00Z
-ST-10,30.0,"52.52,13.405",2024-03-01T06:15:00Z
+CSV = """ref,amount,route
+7001,80,HAM>OSL
+7002,1250,"HAM>GOT>OSL"
+7003,15,ROT>HAM>GOT>BGO
 """
-QUERY = """-- one row per reading
-SELECT station, celsius, taken_at, CAST(split_part(spot, ',', 1) AS DOUBLE) AS north,
-    CAST(split_part(spot, ',', 2) AS DOUBLE) AS east
-FROM readings;"""
-TEMPLATE = """{# one entity per reading #}
-{ "id": "urn:station:{{ station }}", "type": "Station",
-  "warmth": {"type": "Property", "value": {{ celsius }}, "observedAt": "{{ taken_at }}"},
-  "place": {"type": "GeoProperty", "value": {"type": "Point", "coordinates": [ {{ east }}, {{ north }} ]}},
-  "@context": ["https://context.example/ld"] }"""
+QUERY = """-- where a parcel starts and ends
+SELECT ref, amount, split_part(route, '>', 1) AS origin, split_part(route, '>', -1) AS target
+FROM parcels;"""
+TEMPLATE = """{# one parcel per row #}
+{"type": "Parcel", "id": "urn:parcel:{{ ref }}",
+ "weight": {"value": {{ amount }}, "unitCode": "GRM", "type": "Property"},
+ "carriedTo": {"type": "Relationship", "object": "urn:port:{{ target | lower }}"},
+ "@context": "https://context.example/parcels"}"""
 
 
 @pytest.fixture
@@ -35,7 +33,7 @@ def chain(tmp_path):
     return [
         {"plugin": "with_duckdb", "params": {
             "input_path": at("in.csv"), "input_encoding": "utf-8", "output_path": at("mid.parquet"),
-            "query_file": at("q.sql"), "table_name": "readings"}},
+            "query_file": at("q.sql"), "table_name": "parcels"}},
         {"plugin": "with_jinja2", "params": {
             "input_path": at("mid.parquet"), "output_path": at("out.json"), "template_path": at("t.j2")}},
         {"plugin": "ngsi_validator", "params": {
@@ -43,40 +41,35 @@ def chain(tmp_path):
     ]
 
 
-def entity(station, celsius, north, east, at):
+def parcel(ref, grams, port):
     return {
-        "id": f"urn:station:{station}",
-        "type": "Station",
-        "warmth": {"type": "Property", "value": celsius, "observedAt": at},
-        "place": {"type": "GeoProperty", "value": {"type": "Point", "coordinates": [east, north]}},
-        "@context": ["https://context.example/ld"],
+        "id": f"urn:parcel:{ref}",
+        "type": "Parcel",
+        "weight": {"type": "Property", "value": grams, "unitCode": "GRM"},
+        "carriedTo": {"type": "Relationship", "object": f"urn:port:{port}"},
+        "@context": "https://context.example/parcels",
     }
 
 
-ENTITIES = [
-    entity("ST-07", 11.5, 52.52, 13.405, "2024-03-01T06:00:00Z"),
-    entity("ST-08", 12.25, 48.137, 11.575, "2024-03-01T06:05:00Z"),
-    entity("ST-09", -3.75, -33.45, -70.667, "2024-03-01T06:10:00Z"),
-    entity("ST-10", 30.0, 52.52, 13.405, "2024-03-01T06:15:00Z"),
-]
+PARCELS = [parcel(7001, 80, "osl"), parcel(7002, 1250, "osl"), parcel(7003, 15, "bgo")]
 
 
 def test_chain(spark, chain, tmp_path):
     run = run_steps(spark, chain)
-    assert list(run.written) == ["step_2"]
+    assert list(run.written) == ["step_0", "step_1", "step_2"]
     lines = [r.value for r in spark.read.text(str(tmp_path / "checked.json")).collect()]
-    assert sorted(map(json.loads, lines), key=str) == sorted(ENTITIES, key=str)
+    assert sorted(map(json.loads, lines), key=str) == sorted(PARCELS, key=str)
     assert run.history == [("step_0", "with_duckdb"), ("step_1", "with_jinja2"), ("step_2", "ngsi_validator")]
-    run_steps(spark, chain, write="all")
-    assert spark.read.parquet(str(tmp_path / "mid.parquet")).columns[3] == "north"
+    assert spark.read.parquet(str(tmp_path / "mid.parquet")).columns[3] == "target"
+    assert list(run_steps(spark, chain, write="last").written) == ["step_2"]
 
 
 def test_lines_become_columns_for_a_table_step(spark, chain, tmp_path):
     count = {"plugin": "with_spark", "params": {
         "input_path": chain[1]["params"]["output_path"], "output_path": str(tmp_path / "n.csv"),
-        "query": "SELECT type AS value FROM source_data WHERE warmth.value > 12"}}
+        "query": "SELECT type AS value FROM source_data WHERE weight.value > 20"}}
     run = run_steps(spark, [*chain[:2], count])
-    assert rows(run.result) == [("Station",), ("Station",)]
+    assert rows(run.result) == [("Parcel",), ("Parcel",)]
     assert spark.read.csv(run.written["step_2"], header=True).columns == ["value"]
 
 
@@ -92,19 +85,20 @@ def test_graph(spark, chain, tmp_path):
         {"id": "d", "plugin": "data_quality", "params": {
             "rules": [{"column": "n", "type": "in_range", "min": 1}], "output_path": str(tmp_path / "d.csv")}},
         {"id": "c", "plugin": "count_rows", "params": {"output_path": str(tmp_path / "c.parquet")}},
-        {"id": "b", "plugin": "with_spark", "params": {"query": "SELECT north, count(*) AS n FROM t GROUP BY 1", "table_name": "t"}},
+        {"id": "b", "plugin": "with_spark", "params": {"query": "SELECT target, count(*) AS n FROM t GROUP BY 1", "table_name": "t"}},
         {"id": "a", **chain[0]},
     ]
     spec = {"nodes": nodes, "edges": [{"source_node_id": s, "target_node_id": t} for s, t in edges]}
     own = {"count_rows": lambda df: df.agg(F.count("*").alias("rows"))}
     run = run_graph(spark, spec, own=own)
-    assert set(run.written) == {"c", "d"}
-    assert rows(spark.read.parquet(run.written["c"])) == [(4,)]
-    assert spark.read.csv(run.written["d"], header=True).count() == 3
+    assert set(run.written) == {"a", "c", "d"}
+    assert rows(spark.read.parquet(run.written["c"])) == [(3,)]
+    assert spark.read.csv(run.written["d"], header=True).count() == 2
+    assert set(run_graph(spark, spec, own=own, write="sinks").written) == {"c", "d"}
     assert [step for step, _ in run.history][0] == "a"
     for share in ("write", "recompute"):
         again = run_graph(spark, spec, own=own, share=share)
-        assert rows(spark.read.parquet(again.written["c"])) == [(4,)]
+        assert rows(spark.read.parquet(again.written["c"])) == [(3,)]
 
 
 def test_graph_checks():
@@ -134,8 +128,8 @@ def test_step_errors(spark, chain):
         run_steps(spark, [{"plugin": "with_spark", "params": {"query": "SELECT 1"}}])
     with pytest.raises(TypeError, match="not a DataFrame"):
         run_steps(spark, [{"plugin": lambda df: 5}], spark.range(1))
-    gate = {"plugin": "business_rules", "params": {"rules": [{"name": "hot", "expression": "celsius > 25"}]}}
-    with pytest.raises(DataQualityError, match="Rule 'hot' failed for 1 rows"):
+    gate = {"plugin": "business_rules", "params": {"rules": [{"name": "heavy", "expression": "amount > 1000"}]}}
+    with pytest.raises(DataQualityError, match="Rule 'heavy' failed for 1 rows"):
         run_steps(spark, [chain[0], gate])
 
 
@@ -165,6 +159,9 @@ def test_json_steps(spark, tmp_path):
     step["params"]["stop_on_first_error"] = False
     with pytest.raises(DataQualityError, match="for 2 records"):
         run_steps(spark, [step])
+    unordered = {"plugin": "ngsi_validator", "params": {"stop_on_first_error": True}}
+    with pytest.raises(ValueError, match="no order"):
+        run_steps(spark, [unordered], spark.createDataFrame([("{}",)], "value string"))
 
 
 def test_http_step(spark, tmp_path):
@@ -192,15 +189,33 @@ def test_file_steps(spark, tmp_path):
         archive.writestr("top/x/y.txt", "inside")
     run_steps(spark, [{"plugin": "archive_extractor", "params": {
         "input_path": folder + "/z.zip", "output_path": str(out), "strip_components": 1}}])
-    assert (out / "x" / "y.txt").read_text() == "inside"
+    assert (out / "z.zip" / "x" / "y.txt").read_text() == "inside"
+
+
+def test_files_of_one_name(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "a.txt").write_text(name)
+        with zipfile.ZipFile(tmp_path / "in" / name / "z.zip", "w") as archive:
+            archive.writestr("b.txt", name)
+    zips, texts = tmp_path / "zips", tmp_path / "texts"
+    for plugin, pattern, out in (("archive_extractor", "*.zip", zips), ("encoding_converter", "*.txt", texts)):
+        folder = tmp_path / plugin
+        for name in ("one", "two"):
+            (folder / name).mkdir(parents=True)
+            for file in (tmp_path / "in" / name).glob(pattern):
+                (folder / name / file.name).write_bytes(file.read_bytes())
+        run_steps(spark, [{"plugin": plugin, "params": {"input_path": str(folder), "output_path": str(out)}}])
+    assert [(zips / n / "z.zip" / "b.txt").read_text() for n in ("one", "two")] == ["one", "two"]
+    assert [(texts / n / "a.txt").read_text() for n in ("one", "two")] == ["one", "two"]
 
 
 def test_memory_tables_between_runs(spark, chain):
     chain[0]["params"]["output_path"] = "memory://run/mid.parquet"
     run_steps(spark, chain[:1])
     step = {"plugin": "with_spark", "params": {
-        "input_path": "memory://run/mid.parquet", "query": "SELECT max(celsius) AS t FROM source_data"}}
-    assert run_steps(spark, [step]).result.first().t == 30.0
+        "input_path": "memory://run/mid.parquet", "query": "SELECT max(amount) AS t FROM source_data"}}
+    assert run_steps(spark, [step]).result.first().t == 1250
 
 
 def test_metrics(spark):

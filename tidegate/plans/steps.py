@@ -10,7 +10,7 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.errors import DataQualityError
@@ -20,7 +20,7 @@ from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.operators import dedupe, deliver, file_jobs, nulls, quality, sql, validate_json
 from tidegate.scratch import scratch_path
 from tidegate.sources import named, tables, text
-from tidegate.sources.files import read_files, write_files
+from tidegate.sources.files import file_catalog, read_files, write_files
 
 Step = Callable[..., DataFrame]
 
@@ -60,9 +60,16 @@ def _schema_step(df, target_column, schema_path=None, schema=None):
     return validate_json.gate_rows(df, bad, "JSON Schema validation failed")
 
 
-def _ngsi_step(df, ngsi_version="ld", stop_on_first_error=True, line_column="value"):
+def _ngsi_step(df, ngsi_version="ld", stop_on_first_error=None, line_column="value"):
+    """Reports the first error only, where rows have an order, unless all are asked for."""
     bad = validate_json.ngsi_violations(df, line_column, ngsi_version)
-    if stop_on_first_error and ORDER_COLUMN in df.columns:
+    ordered = ORDER_COLUMN in df.columns
+    if stop_on_first_error or (stop_on_first_error is None and ordered):
+        if not ordered:
+            raise ValueError(
+                "There is no order of rows to tell the first error by; read the lines from a file,"
+                " or set stop_on_first_error to false to see all errors."
+            )
         first = validate_json.first_violation(bad).collect()
         if first:
             raise DataQualityError("\n".join(first[0][validate_json.ERRORS]))
@@ -82,8 +89,9 @@ def _dedupe_step(df, subset=None, keep="first", order_by=None):
     return dedupe.drop_duplicates(df, subset, keep, order_by)
 
 
-def _encoding_step(df, source_encoding=None, target_encoding="utf-8", encoding_detection_sample_size=10_000):
-    return file_jobs.convert_encoding(df, source_encoding, target_encoding, encoding_detection_sample_size)
+def _encoding_step(df, source_encoding=None, target_encoding="utf-8", encoding_detection_sample_size=None):
+    """The sample size is taken and not needed: the charset is judged by the whole content."""
+    return file_jobs.convert_encoding(df, source_encoding, target_encoding)
 
 
 def _format_step(df, read_chunk_size=4096):
@@ -91,7 +99,8 @@ def _format_step(df, read_chunk_size=4096):
 
 
 def _archive_step(df, strip_components=0):
-    return file_jobs.archive_gate(file_jobs.expand_archives(df, strip_components))
+    """Members of the archives of a catalog; a bad archive fails the job that writes them."""
+    return file_jobs.expand_archive_files(df, strip_components, strict=True)
 
 
 # Step name -> operator.
@@ -129,6 +138,8 @@ def _read_input(spark: SparkSession, plugin: str, params: dict) -> DataFrame:
         return named.get_named(spark, path)
     if plugin in _LINE_READERS:
         return text.read_lines(spark, path)
+    if plugin == "archive_extractor":
+        return file_catalog(spark, path)
     if plugin in _FILE_READERS:
         return read_files(spark, path)
     # Steps that depend on the order of rows get it from the file.
@@ -155,10 +166,24 @@ def _hand_over(df: DataFrame, producer: str, plugin, path: str) -> DataFrame:
     return tables.read_table(df.sparkSession, path, "jsonl")
 
 
-def _write_output(df: DataFrame, plugin: str, path: str) -> None:
+def _below(folder: str | None, path: str) -> Column:
+    """A path relative to the folder that was read; the file's name if it was that file."""
+    # Paths carry a scheme that the folder may lack, so the folder is looked for within them.
+    root = (folder or "").rstrip("/").split("://")[-1]
+    name = F.substring_index(path, "/", -1)
+    if not root or root.startswith("file:"):
+        root = root.removeprefix("file:")
+    inside = F.instr(F.col(path), root + "/") if root else F.lit(0)
+    return F.when(inside > 0, F.substring(F.col(path), inside + len(root) + 1, F.length(path))).otherwise(name)
+
+
+def _write_output(df: DataFrame, plugin: str, path: str, source: str | None = None) -> None:
     if plugin in _FILE_READERS:
-        # Files stay files: members by their path, other files by their name.
-        name = F.substring_index("path", "/", -1) if "path" in df.columns else F.col("member")
+        # Files stay files: by their path below the folder that was read, members below the
+        # path of their archive, so that files of one name do not meet.
+        name = _below(source, "path" if "path" in df.columns else "archive")
+        if "member" in df.columns:
+            name = F.concat_ws("/", name, "member")
         content = "converted" if "converted" in df.columns else "content"
         write_files(df.select(name.alias("name"), content), path, "name", content)
     elif path.startswith(named.MEMORY_SCHEME):
@@ -188,7 +213,10 @@ def _apply(spark, run: Run, step_id: str, step: dict, upstream: DataFrame | None
     df = upstream
     source = params.get("input_path")
     if source in paths:
-        df = _hand_over(run.outputs[paths[source]], dict(run.history)[paths[source]], plugin, source)
+        made = run.outputs[paths[source]]
+        df = _hand_over(made, dict(run.history)[paths[source]], plugin, source)
+        if df is not made:
+            run.written[paths[source]] = source
     elif source is not None:
         df = _read_input(spark, plugin, params)
     if df is None:
@@ -209,11 +237,11 @@ def run_steps(
     steps: list[dict],
     df: DataFrame | None = None,
     own: dict[str, Step] | None = None,
-    write: str = "last",
+    write: str = "all",
 ) -> Run:
     """Chain ``[{"plugin": ..., "params": {...}}]``: each step gets the output of the one before.
 
-    ``write`` says which ``output_path`` are written: ``last``, ``all`` or ``none``.
+    ``write`` says which ``output_path`` are written: ``all``, ``last`` or ``none``.
     """
     if not steps:
         raise ValueError("steps is empty. At least one step is required.")
@@ -256,14 +284,15 @@ def run_graph(
     spec: dict,
     df: DataFrame | None = None,
     own: dict[str, Step] | None = None,
-    write: str = "sinks",
+    write: str = "all",
     share: str = "persist",
 ) -> Run:
     """Run ``{"nodes": [{id, plugin, params}], "edges": [{source_node_id, target_node_id}]}``.
 
     Each node is planned once and has at most one upstream node; ``df`` is the input of nodes
     without upstream and ``input_path``. ``write`` says which ``output_path`` are written:
-    ``sinks``, ``all`` or ``none``.
+    ``all``, ``sinks`` or ``none``. A node that is written and used is shared as well, so that
+    it is computed once.
 
     ``share`` says what becomes of an output that several nodes use: ``persist`` keeps it in
     the executors while the sinks are written, ``write`` puts it in a table in the checkpoint
@@ -278,6 +307,9 @@ def run_graph(
     order = check_graph(spec["nodes"], edges)
     upstream = {edge["target_node_id"]: edge["source_node_id"] for edge in edges}
     uses = Counter(upstream.values())
+    if write == "all":
+        named_outputs = [n for n in nodes if (nodes[n].get("params") or {}).get("output_path")]
+        uses.update(n for n in named_outputs if uses[n])
     run, paths, kept = Run(), {}, []
     try:
         for node_id in order:
@@ -291,8 +323,10 @@ def run_graph(
                 kept.append(output.persist())
         for node_id in order:
             path = (nodes[node_id].get("params") or {}).get("output_path")
-            if path and (write == "all" or (write == "sinks" and not uses[node_id])):
-                _write_output(run.outputs[node_id], nodes[node_id]["plugin"], path)
+            wanted = write == "all" or (write == "sinks" and not uses[node_id])
+            if path and wanted and node_id not in run.written:
+                source = (nodes[node_id].get("params") or {}).get("input_path")
+                _write_output(run.outputs[node_id], nodes[node_id]["plugin"], path, source)
                 run.written[node_id] = path
     finally:
         for output in kept:

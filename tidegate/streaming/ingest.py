@@ -2,13 +2,15 @@
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidegate.errors import DataQualityError, DeliveryError
 from tidegate.plans.steps import Step, run_steps
-from tidegate.sources.tables import CSV_MISSING, table_format
+from tidegate.sources.tables import csv_cell, table_format
 
 BODY = "_body"
 
@@ -22,25 +24,42 @@ def read_landing(
     max_bytes_per_batch: int | None = None,
     **options,
 ) -> DataFrame:
-    """A stream of the files that arrive in a folder; ``_body`` names the file of each row."""
+    """A stream of the files that arrive in a folder; ``_body`` names the file of each row.
+
+    A cell that is not of its column's type, a row of more or fewer cells than columns, and a
+    malformed JSON record fail the stream, as they fail the reading of a table. A ``.json`` file
+    is one document here; name the format ``jsonl`` for records by line.
+    """
     chosen = table_format(folder, fmt)
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    # CSV cells are read as texts: one that is not of its column's type fails the stream.
+    cells = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    reader = spark.readStream.schema(cells if chosen == "csv" else schema)
+    reader = reader.option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     elif max_bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_batch)
     if chosen == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=True)
+        reader = reader.options(header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST")
     elif chosen == "json":
-        reader = reader.options(multiLine=True)
+        reader = reader.options(multiLine=True, mode="FAILFAST")
+    elif chosen == "jsonl":
+        reader = reader.options(mode="FAILFAST")
     source = "json" if chosen == "jsonl" else chosen
     rows = reader.options(**options).format(source).load(folder)
     if chosen == "csv":
-        texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
-        rows = rows.withColumns({n: F.when(~F.col(n).isin(*CSV_MISSING), F.col(n)) for n in texts})
+        rows = rows.withColumns({f.name: csv_cell(f.name, f.dataType) for f in schema.fields})
     return rows.withColumn(BODY, F.col("_metadata.file_path"))
 
 
+def rejected(error: Exception) -> bool:
+    """Whether a gate raised the error, in the driver or inside of a plan."""
+    if isinstance(error, (DataQualityError, DeliveryError)):
+        return True
+    return isinstance(error, PySparkException) and "USER_RAISED_EXCEPTION" in str(error)
+
+
 def _start(writer, available_now: bool, interval: str | None) -> StreamingQuery:
     if available_now:
         return writer.trigger(availableNow=True).start()
@@ -84,7 +103,7 @@ def ingest_batches(
 
     Batch *n* is written to ``target/batch=n`` and its report to ``target.reports/batch=n``,
     both replaced if the batch is run again. With ``on_error="skip"`` a batch that a gate
-    rejects is reported with status ``error`` and the stream goes on. To treat each landed
+    rejects is reported with status ``error`` and the stream goes on; any other error fails it. To treat each landed
     file by itself, read the stream with ``files_per_batch=1``, or keep ``_body`` in the keys.
     """
     if on_error not in ("fail", "skip"):
@@ -101,9 +120,9 @@ def ingest_batches(
                     "overwrite"
                 ).parquet(path)
             except Exception as error:
-                if on_error == "fail":
+                if on_error == "fail" or not rejected(error):
                     raise
-                status, message = "error", str(error)[:2000]
+                status, message = "error", str(error)
             counts = kept.agg(F.count("*").alias("rows_in"), F.count_distinct(BODY).alias("bodies"))
             if status == "ok":
                 rows_out = spark.read.parquet(path).count()
