@@ -17,11 +17,12 @@ ENTITY = """{# one reading #}
     "props": {{ props }},
     "@context": ["https://uri.etsi.org/ngsi-ld/v1/ngsi-ld-core-context.jsonld"]
 }"""
-ENTITY_SQL = """CAST(to_json({'id': 'urn:ngsi-ld:Event:' || event_id, 'type': 'Event',
+ENTITY_SQL = """replace(CAST(to_json({'id': 'urn:ngsi-ld:Event:' || event_id, 'type': 'Event',
     'kind': {'type': 'Property', 'value': event_type},
     'reading': {'type': 'Property', 'value': value, 'user': user_id},
-    'props': {'k': CAST(json_extract_string(props, '$.k') AS INT)},
-    '@context': ['https://uri.etsi.org/ngsi-ld/v1/ngsi-ld-core-context.jsonld']}) AS VARCHAR)"""
+    'props': '@props@',
+    '@context': ['https://uri.etsi.org/ngsi-ld/v1/ngsi-ld-core-context.jsonld']}) AS VARCHAR),
+    '"@props@"', props)"""
 
 MESSAGE = '{"conversation": {{ conv_id }}, "role": "{{ role }}", "text": {{ text | tojson }}}'
 
@@ -30,6 +31,17 @@ def _render(spark, sf_dir):
     return render_json(spread_table(spark, sf_dir, "events"), ENTITY, "entity", keep=["event_id"])
 
 
+def _render_filters(spark, sf_dir):
+    template = """{"id": {{ event_id }}, "kind": "{{ event_type | replace('e', '3') | upper }}",
+        "value": {{ value | round(1) }}, "whole": {{ value | int }}, "far": "{{ far.kind | default('near') }}"}"""
+    events = spread_table(spark, sf_dir, "events").withColumn(
+        "far", F.struct(F.when(F.col("value") > 50, F.col("event_type")).alias("kind"))
+    )
+    made = render_json(events, template, "entity")
+    fields = "id long, kind string, value double, whole long, far string"
+    return made.select(F.from_json("entity", fields).alias("e")).select("e.*")
+
+
 def _render_text(spark, sf_dir):
     df = render_json(spread_table(spark, sf_dir, "conversations"), MESSAGE, "message", keep=["conv_id", "turn"])
     # Read back, so that the texts are compared and not the way their characters are escaped.
@@ -137,6 +149,12 @@ def _ngsi_first(spark, sf_dir):
 
 QUERIES = {
     "render_json": Query(_render, f"SELECT event_id, {ENTITY_SQL} AS entity FROM events"),
+    "render_json_filters": Query(
+        _render_filters,
+        """SELECT event_id AS id, upper(replace(event_type, 'e', '3')) AS kind, round(value, 1) AS value,
+               trunc(value)::BIGINT AS whole, CASE WHEN value > 50 THEN event_type ELSE 'near' END AS far
+           FROM events""",
+    ),
     "render_json_text": Query(
         _render_text, "SELECT conv_id, turn, conv_id AS conversation, role, text FROM conversations"
     ),

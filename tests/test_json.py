@@ -278,3 +278,20 @@ def test_mask(spark):
         "headers": {"Authorization": MASK, "plain": "y"},
         "numbers": {"private-key": MASK, "size": "2"}, "gone": None,
     }
+
+
+def test_render_filters(spark):
+    df = spark.createDataFrame(
+        [(2.345, "5.9", None, ("x-y", 7), '{"b":1.50, "a":2}'), (None, "no", "t", ("p", None), "[ ]")],
+        "d double, s string, n string, r struct<a:string,k:int>, j string",
+    )
+    template = """{"d": {{ d | default(0) | round(1) }}, "i": {{ s | int }}, "f": {{ s | float }}, "j": {{ j }},
+        "t": "{{ n | default('none') | upper }}/{{ r.a | replace('-', '+') }}", "k": {{ r.k | default(-1) }}}"""
+    found = [r.json for r in render_json(df, template).collect()]
+    assert found == [
+        '{"d":2.3,"i":5,"f":5.9,"j":{"b":1.50, "a":2},"t":"NONE/x+y","k":7}',
+        '{"d":0.0,"i":0,"f":0.0,"j":[ ],"t":"T/p","k":-1}',
+    ]
+    for wrong in ("{{ d | nothing }}", "{{ d | round(x) }}", "{{ d + 1 }}"):
+        with pytest.raises((ValueError, KeyError)):
+            render_json(df, wrong)

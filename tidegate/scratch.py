@@ -1,5 +1,8 @@
 """Shared scratch space for checkpoints and written intermediate tables."""
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,14 +13,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     All executors must see this folder, so a local temporary folder stands in only
-    when the session runs in local mode.
+    when the session runs in local mode; it goes when the driver ends.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = tempfile.mkdtemp(prefix="tidegate-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
