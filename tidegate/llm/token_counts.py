@@ -24,7 +24,7 @@ from tidegate.llm.trie import Memory, walk
 #: Marks the start of a pre-token.
 START = "▁"
 #: Distinct pre-tokens whose counts a task remembers; about 150 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 class Pieces:

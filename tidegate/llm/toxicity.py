@@ -25,15 +25,15 @@ from tidegate.llm.process import kept
 from tidegate.llm.shared import texts
 from tidegate.llm.trie import Memory
 
-#: Bytes of either dictionary.
-DICTIONARY = 262_144
+#: Bytes of either dictionary; references that reach further back cost more than they save.
+DICTIONARY = 65_536
 #: How often a window repeats its word, and the most bytes of it; longer words are several windows.
-TIMES, LONGEST = 3, 64
+TIMES, LONGEST = 5, 64
 #: Differences are counted one by one from LOW to HIGH; others count with the nearest.
 LOW, HIGH = -4, 8
 LEVEL = 19
 #: Distinct words whose differences a task remembers; about 120 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -161,34 +161,38 @@ def remainder(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
 
 
-def fit_toxicity(labelled: DataFrame, most: int = 2000) -> ToxicityModel:
+def fit_toxicity(labelled: DataFrame, most: int = 1000) -> ToxicityModel:
     """A model from rows ``(doc_id, text, toxic)``; those without id, text or label are left out.
 
-    At most ``most`` texts of either label train the dictionaries, and as many others, a third of
-    all, the logistic model: those with the smallest hashes of their ids. They are the only texts
-    that reach the driver. The share of label 1 is that of all rows. Without texts of both labels
-    there is nothing to tell apart: an error.
+    A third of the rows is set aside for the logistic model, at most ``2 * most`` of either label.
+    At most ``most`` of the others train each dictionary; with that many of both labels both know
+    ordinary words equally well. Chosen are those with the smallest hashes of their ids; they are
+    the only texts that reach the driver. The share of label 1 is that of all rows.
+    Without texts of both labels there is nothing to tell apart: an error.
     """
+    calibrates = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(3)) == 0
     rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter(
         "doc_id IS NOT NULL AND text IS NOT NULL AND toxic IN (0, 1)"
     )
-    counts = dict(rows.groupBy("toxic").count().collect())
-    if len(counts) < 2:
+    rows = rows.withColumn("aside", calibrates)
+    counts = {(r.toxic, r.aside): r["count"] for r in rows.groupBy("toxic", "aside").count().collect()}
+    if len({label for label, _ in counts}) < 2:
         raise ValueError("Toxic and ordinary texts are needed to tell them apart.")
-    calibrates = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(3)) == 0
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    dictionaries = []
-    for label in (1, 0):
-        some = rows.filter((F.col("toxic") == label) & ~calibrates).orderBy(order, "doc_id")
-        dictionaries.append(trained(r.text.encode() for r in some.select("text").limit(most).collect()))
-    samples = [
-        rows.filter((F.col("toxic") == label) & calibrates).orderBy(order, "doc_id").limit(most)
+
+    def some(label: int, aside: bool, number: int) -> DataFrame:
+        chosen = rows.filter((F.col("toxic") == label) & (F.col("aside") == aside))
+        return chosen.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(number)
+
+    dictionaries = [
+        trained(r.text.encode() for r in some(label, False, most).select("text").collect())
         for label in (1, 0)
     ]
-    sample = window_counts(samples[0].union(samples[1]), *dictionaries, ["toxic"]).collect()
+    samples = some(1, True, 2 * most).union(some(0, True, 2 * most))
+    sample = window_counts(samples, *dictionaries, ["toxic"]).collect()
     x = features(np.array([r.counts for r in sample]))
     y = np.array([r.toxic for r in sample])
-    return ToxicityModel(*dictionaries, *fitted(x, y, counts[1] / sum(counts.values())))
+    share = sum(n for (label, _), n in counts.items() if label) / sum(counts.values())
+    return ToxicityModel(*dictionaries, *fitted(x, y, share))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
