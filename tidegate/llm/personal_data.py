@@ -25,8 +25,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: A token that may be an identifier, and the words beside it.
-_TOKEN = re.compile(r"[^\s\"'<>(),;]*[0-9][^\s\"'<>(),;]*")
+#: A whole token that may be an identifier, and the words beside it.
+_INNER = r"\s\"'<>(),;"
+_TOKEN = re.compile(rf"(?<![^{_INNER}])[^{_INNER}0-9]*+[0-9][^{_INNER}]*+")
 _WORD = re.compile(r"\S+")
 #: Characters looked at on either side for the words of a pattern.
 _BESIDE = 64
