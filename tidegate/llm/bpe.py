@@ -23,10 +23,10 @@ from tidegate.llm.process import kept
 from tidegate.llm.shared import texts
 from tidegate.llm.trie import Memory, walk
 
-#: Distinct words whose encodings a task remembers; about 200 bytes each.
-REMEMBERED = 600_000
-#: Characters of the documents that are encoded together.
-GROUP = 16_000_000
+#: Distinct words, and pairs of tokens, that a process remembers; about 250 bytes each.
+REMEMBERED = 200_000
+#: Bytes of the documents that are encoded together; their words take some ten times as much.
+GROUP = 3_000_000
 
 
 def packed_id(i: int) -> bytes:
@@ -107,6 +107,8 @@ class BytePairs:
                         return token, length
             raise ValueError(f"No token ends {prefix[:i]!r}")
 
+        if len(fits) > REMEMBERED:
+            fits.clear()
         states: list[tuple[str, int]] = [("", 0)]
         for word in walk(words, states):
             # The last character of a word occurs with the mark only, unless another word goes on.
@@ -155,6 +157,9 @@ class BytePairs:
         """What the file's decoder makes of the ids: it has none, so tokens with spaces between."""
         return " ".join([self.tokens[i] for i in ids])
 
+    def decoded(self, packed: bytes) -> str:
+        return self.text(np.frombuffer(packed, "<u4").tolist())
+
 
 def _model(content) -> BytePairs:
     return kept(("byte pairs", hash(content.value)), lambda: BytePairs(content.value))
@@ -177,15 +182,18 @@ def groups(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """Per row of ``docs`` ``(doc_id, n_tokens, ids)``: ids as little-endian unsigned 32-bit numbers.
 
     The ids are those of the tokenizers library for the file at ``path`` (read on the driver),
     without added special tokens; special tokens that a text spells out are theirs. Null texts are
     like empty ones: no ids. Rows are encoded one by one, whatever their doc_id; other columns are
-    not read. There is no shuffle: each task walks the trie of its own words.
+    not read. There is no shuffle: each task walks the trie of its own words. ``decoded`` adds
+    what ``decode`` makes of the ids, in the same pass.
     """
     content = _shared_file(docs, path)
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def encoded(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(content)
@@ -196,17 +204,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 known = memory.of({x for one in cut for x in one if type(x) is str})
                 known |= {i: packed_id(i) for i in model.special.values()}
                 ids = [b"".join(map(known.__getitem__, one)) for one in cut]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+                del cut
+                columns = [
+                    part.column("doc_id"),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array(ids, pa.binary()),
+                ]
+                if decoded:
+                    columns.append(pa.array(map(model.decoded, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(encoded, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -221,10 +229,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def decoded(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(content)
         for batch in incoming:
-            found = [
-                None if ids is None else model.text(np.frombuffer(ids, "<u4").tolist())
-                for ids in batch.column("ids").to_pylist()
-            ]
+            ids = batch.column("ids").to_pylist()
+            found = [None if one is None else model.decoded(one) for one in ids]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.string())],
                 names=[*batch.schema.names, "decoded"],

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm.bpe import decode, encode
+from tidegate.llm.bpe import encode
 from tidegate.llm.decontamination import contaminated
 from tidegate.llm.hash_tree import assign_shards, layout, number_slots
 from tidegate.llm.line_dedup import remove_near_lines
@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    found = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    found = encode(_table(spark, sf_dir, "documents"), path, decoded=True)
     return found.select(
         "doc_id",
         "n_tokens",
