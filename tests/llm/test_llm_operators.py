@@ -103,6 +103,7 @@ def test_bpe_is_that_of_the_library(spark, docs, texts):
     found = decode(encode(docs.union(more), path), path).collect()
     library = Tokenizer.from_file(path)
     assert len(found) == len(known)
+    assert sorted(found) == sorted(encode(docs.union(more), path, decoded=True).collect())
     for row in found:
         expected = library.encode(known[row.doc_id], add_special_tokens=False).ids
         assert np.frombuffer(row.ids, "<u4").tolist() == expected, known[row.doc_id][:80]
@@ -292,18 +293,17 @@ def test_near_lines(spark):
     known = {i: "\n".join(rnd.choices(lines, k=rnd.randint(1, 6))) for i in range(80)}
 
     def normal(line):
-        line = line.lower().translate(str.maketrans("123456789", "000000000"))
-        return re.sub(r"[\s!-/:-@\[-`{-~]+", " ", line).strip(" ")
+        return re.sub(r"[\s!-/:-@\[-`{-~]+", " ", line.lower()).strip(" ")
 
     distinct = sorted({normal(x) for t in known.values() for x in t.split("\n")} - {""})
     df = spark.createDataFrame([(x, w) for x in distinct for w in x.split(" ")], "line string, word string")
-    hashed = df.selectExpr("line", "xxhash64(word) AS h").collect()
+    hashed = df.selectExpr("line", "xxhash64(word) AS h", "length(word) AS weight").collect()
     bits = defaultdict(lambda: [0] * 64)
     number = Counter()
     for r in hashed:
-        number[r.line] += 1
+        number[r.line] += r.weight
         for b in range(64):
-            bits[r.line][b] += r.h >> b & 1
+            bits[r.line][b] += (r.h >> b & 1) * r.weight
     simhash = {x: sum((2 * n > number[x]) << b for b, n in enumerate(bits[x])) for x in distinct}
     groups = Groups(distinct)
     for i, x in enumerate(distinct):
