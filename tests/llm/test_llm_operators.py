@@ -289,7 +289,9 @@ def edit_distance(x, y):
 
 def test_near_lines(spark):
     rnd = random.Random(8)
-    lines = noisy_copies(9, 90, 25) + ["", "  ", "--", "W1  w2, W3!", "w1 w2 w3"]
+    long = [" ".join(rnd.choices([f"word{i}" for i in range(200)], k=60)) for _ in range(12)]
+    lines = [" ".join(w for k, w in enumerate(x.split()) if k != at) for x in long for at in (5, 99, 20)]
+    lines += noisy_copies(9, 60, 25) + ["", "  ", "--", "W1  w2, W3!", "w1 w2 w3"]
     known = {i: "\n".join(rnd.choices(lines, k=rnd.randint(1, 6))) for i in range(80)}
 
     def normal(line):
