@@ -80,7 +80,7 @@ def contaminated(
     benchmark: DataFrame,
     width: int = 8,
     coverage: float = 0.5,
-    agreement: float = 0.8,
+    agreement: float = 0.85,
     shortest: int = 5,
     literals: int = 3,
 ) -> DataFrame:
