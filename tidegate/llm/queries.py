@@ -37,7 +37,7 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_near_lines(docs, distance=None).select(
+    return remove_near_lines(docs, distance=None, fold_digits=True).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256")
     )
 
