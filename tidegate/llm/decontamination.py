@@ -5,14 +5,16 @@ placeholder of its type, all else a lower-case word. Windows of template tokens
 items are joined by their hashes with those of the documents. A document is contaminated by an item
 if the windows that it shares cover enough of the item, and if the values behind the placeholders
 agree: equal values of the item stand for equal values of the document, and different ones for
-different ones, with few exceptions. Items are also looked for with their capitalised words as
-plain words, as a document may have them in capitals or in lower case throughout.
+different ones, with few exceptions. That is judged for each occurrence of the item, as a document
+may hold it several times with other values. Items are also looked for with their capitalised words
+as plain words, as a document may have them in capitals or in lower case throughout, and by windows
+of their tokens as they stand, which find copies of items that are mostly numbers or names.
 
 Only column functions are used. Windows of documents meet those of the benchmark without a shuffle
 while the benchmark is small (its windows are counted); beyond that they are a sorted join.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.shared import BROADCAST_ROWS, NO_ID, broadcast_if_small, stored
@@ -49,18 +51,27 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def _windows(tokens: str, width: int) -> Column:
+def literal(text: Column) -> Column:
+    """The tokens of a text as they are, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def _windows(tokens: str, width: int, salt: str = "") -> Column:
     """``(at, hash)`` of each window of so many tokens; none for fewer tokens."""
     return F.expr(f"""IF(size({tokens}) >= {width},
         transform(sequence(0, greatest(size({tokens}) - {width}, 0)),
-            i -> xxhash64(slice({tokens}, i + 1, {width}))),
+            i -> xxhash64(slice({tokens}, i + 1, {width}){salt})),
         CAST(array() AS array<bigint>))""")
 
 
+#: Keeps the hashes of literal windows apart from those of templates.
+LITERAL = ", 'literal'"
+
+
 def _items(benchmark: DataFrame, width: int, shortest: int, literals: int) -> DataFrame:
-    """``(item, at, hash, width)``: the windows of the items, of either form."""
+    """``(item, at, hash, width)``: the windows of the items, of either form and of literal tokens."""
     forms = F.array(template(F.col("text")), plain(F.col("text")))
-    rows = benchmark.select(F.col("item_id").alias("item"), F.explode(forms).alias("tokens"))
+    rows = benchmark.select(F.col("item_id").alias("item"), F.posexplode(forms).alias("form", "tokens"))
     rows = rows.filter(F.size("tokens") >= shortest).withColumn(
         "width", F.least(F.size("tokens"), F.lit(width))
     )
@@ -68,13 +79,41 @@ def _items(benchmark: DataFrame, width: int, shortest: int, literals: int) -> Da
     rows = rows.select("*", F.explode(starts).alias("at"))
     window = F.expr("slice(tokens, at + 1, width)")
     words = F.size(F.filter(window, lambda x: ~x.isin(NUMBER, NAME, UNIT)))
+    exact = F.col("form") == 2
+    hashed = F.when(exact, F.expr(f"xxhash64(slice(tokens, at + 1, width){LITERAL})")).otherwise(F.xxhash64(window))
     return (
-        rows.filter(words >= F.least(F.lit(literals), F.col("width")))
-        .select("item", "at", F.xxhash64(window).alias("hash"), "width")
+        rows.filter(exact | (words >= F.least(F.lit(literals), F.col("width"))))
+        .select("item", "at", hashed.alias("hash"), "width")
         .distinct()
     )
 
 
+def _occurrences(shared: DataFrame) -> DataFrame:
+    """``(doc, version, item, covered, runs)`` of what may be one occurrence of an item.
+
+    These are the runs of one alignment (the place in the text less that in the item), those of
+    neighbouring alignments, as a text may have words more or less, and all runs of the text.
+    """
+    own = ["doc", "version", "item"]
+    runs = shared.select(*own, F.size("kinds").alias("length"), F.explode("runs").alias("run"))
+    runs = runs.withColumn("place", F.col("run.q") - F.col("run.p"))
+    by_place = Window.partitionBy(*own).orderBy("place")
+    apart = F.col("place") - F.lag("place").over(by_place) > F.ceil(F.col("length") / 4)
+    runs = runs.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    runs = runs.withColumn("near", F.sum("apart").over(by_place))
+    ways = F.array(
+        *(F.struct(F.lit(i).alias("way"), c.cast("long").alias("at"))
+          for i, c in enumerate((F.col("place"), F.col("near"), F.lit(0))))
+    )
+    runs = runs.select(*own, "run", F.explode(ways).alias("way"))
+    spans = F.expr("flatten(collect_set(sequence(run.p, run.p + run.width - 1)))")
+    return (
+        runs.groupBy(*own, "way")
+        .agg(F.size(F.array_distinct(spans)).alias("covered"), F.collect_set("run").alias("runs"))
+        .drop("way")
+    )
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -86,11 +125,12 @@ def contaminated(
 ) -> DataFrame:
     """``(doc_id, item_id, coverage, n_slots, agreement, verbatim)`` of each contaminated document.
 
-    Windows have ``width`` tokens, or all of a shorter item, and at least ``literals`` words that
-    are no placeholders. ``coverage`` is the share of the item's tokens in shared windows. Of the
-    different pairs of values that stand for each other, ``agreement`` is the least share that one
-    of each value makes. ``verbatim``: all values are the same but for case. One row per document
-    and item, for whole texts. Items of fewer than ``shortest`` tokens or without an id, null and
+    Windows have ``width`` tokens, or all of a shorter item; those of templates have at least
+    ``literals`` words that are no placeholders. ``coverage`` is the share of the item's tokens in
+    shared windows. Of the different pairs of values that stand for each other, ``agreement`` is the
+    least share that one of each value makes. Both are judged for each occurrence of the item, of
+    which one has to pass; the row has the greatest values. ``verbatim``: all values of an
+    occurrence are the same but for case. One row per document and item, for whole texts. Items of fewer than ``shortest`` tokens or without an id, null and
     empty texts match nothing. A null doc_id is a document like any other; rows that repeat a document
     or an item give no further rows. Other columns are not read.
     """
@@ -105,11 +145,15 @@ def contaminated(
         F.xxhash64("text").alias("version"),
         "text",
     ).filter("text IS NOT NULL")
-    tokens = rows.select("doc", "version", template(F.col("text")).alias("tokens"))
+    tokens = rows.select(
+        "doc", "version", template(F.col("text")).alias("tokens"), literal(F.col("text")).alias("words")
+    )
     hits = None
     for one in widths:
         wanted = windows.filter(F.col("width") == one)
-        found = tokens.select("doc", "version", F.posexplode(_windows("tokens", one)).alias("q", "hash"))
+        both = F.array(_windows("tokens", one))
+        found = tokens.select("doc", "version", F.explode(both).alias("hashes"))
+        found = found.select("doc", "version", F.posexplode("hashes").alias("q", "hash"))
         found = found.join(F.broadcast(wanted) if small else wanted, "hash")
         hits = found if hits is None else hits.union(found)
     if hits is None:
@@ -128,6 +172,9 @@ def contaminated(
         "coverage", F.col("covered") / F.size("kinds")
     )
     shared = stored(shared.filter(F.col("coverage") >= coverage), "shared_windows")
+    shared = _occurrences(shared).join(broadcast_if_small(stored(lengths, "item_values")), "item")
+    shared = shared.withColumn("coverage", F.col("covered") / F.size("kinds"))
+    shared = stored(shared.filter(F.col("coverage") >= coverage), "occurrences")
 
     ids = stored(shared.select("doc", "version").distinct(), "shared_documents")
     texts = rows.join(broadcast_if_small(ids), ["doc", "version"], "left_semi").distinct()
@@ -137,9 +184,9 @@ def contaminated(
     # Which values stand for each other, where the item has a placeholder.
     slots = F.expr(f"""array_distinct(flatten(transform(runs, r ->
         transform(filter(sequence(0, r.width - 1),
-                         o -> kinds[r.p + o] IN ('{NUMBER}', '{NAME}', '{UNIT}')),
-            o -> struct(kinds[r.p + o] AS kind, lower(values[r.p + o]) AS mine,
-                        lower(tokens[r.q + o]) AS theirs)))))""")
+                         o -> get(kinds, r.p + o) IN ('{NUMBER}', '{NAME}', '{UNIT}')),
+            o -> struct(get(kinds, r.p + o) AS kind, lower(get(values, r.p + o)) AS mine,
+                        lower(get(tokens, r.q + o)) AS theirs)))))""")
     found = shared.join(texts, ["doc", "version"]).withColumn("slots", slots)
     number = F.size("slots")
     mine = F.size(F.expr("array_distinct(transform(slots, s -> struct(s.kind, s.mine)))"))
