@@ -28,3 +28,10 @@ def found(spark, text):
 )
 def test_an_item_with_several_values(spark, text, verbatim):
     assert found(spark, text) == {1: (1.0, 1.0, verbatim)}
+
+
+@pytest.mark.parametrize("item, text", [(2, TITLE), (3, SUM)])
+def test_copies_of_names_and_numbers(spark, item, text):
+    for copy in (text, f"It says: {text}, and more.", text.lower(), text.upper()):
+        assert found(spark, copy) == {item: (1.0, 1.0, True)}
+    assert found(spark, "The Young Sailor Or The Loud Wind. Compute 13 + 31 - 9 * 5 / 3") == {}

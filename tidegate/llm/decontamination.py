@@ -70,7 +70,7 @@ LITERAL = ", 'literal'"
 
 def _items(benchmark: DataFrame, width: int, shortest: int, literals: int) -> DataFrame:
     """``(item, at, hash, width)``: the windows of the items, of either form and of literal tokens."""
-    forms = F.array(template(F.col("text")), plain(F.col("text")))
+    forms = F.array(template(F.col("text")), plain(F.col("text")), literal(F.col("text")))
     rows = benchmark.select(F.col("item_id").alias("item"), F.posexplode(forms).alias("form", "tokens"))
     rows = rows.filter(F.size("tokens") >= shortest).withColumn(
         "width", F.least(F.size("tokens"), F.lit(width))
@@ -151,7 +151,7 @@ def contaminated(
     hits = None
     for one in widths:
         wanted = windows.filter(F.col("width") == one)
-        both = F.array(_windows("tokens", one))
+        both = F.array(_windows("tokens", one), _windows("words", one, LITERAL))
         found = tokens.select("doc", "version", F.explode(both).alias("hashes"))
         found = found.select("doc", "version", F.posexplode("hashes").alias("q", "hash"))
         found = found.join(F.broadcast(wanted) if small else wanted, "hash")
