@@ -235,13 +235,18 @@ def _expanded_files(spark, sf_dir):
     return _members(members)
 
 
+def _group(ids, number):
+    """A group of so many ids: files stay small, and there are more of them for more rows."""
+    return F.floor(F.col(ids) / number)
+
+
 def _json_document(spark, sf_dir):
-    """Orders by customer, each customer's as one array document of several lines."""
+    """Orders by customer, those of 50 customers as one array document of several lines."""
     path = scratch_path(spark, "orders-json")
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     rows = F.sort_array(F.collect_list(F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderpriority"))))
     text = F.concat(F.lit(" \n[\n"), F.array_join(rows, ",\n"), F.lit("\n]"))
-    files = orders.groupBy((F.col("o_custkey") % 20).alias("part")).agg(text.alias("content"))
+    files = orders.groupBy(_group("o_custkey", 50).alias("part")).agg(text.alias("content"))
     write_files(files.select(F.concat("part", F.lit(".json")).alias("path"), "content"), path)
     return read_table(spark, path, "json")
 
@@ -251,9 +256,9 @@ def _json_kinds(spark, sf_dir):
     path = scratch_path(spark, "customers-json")
     one = F.to_json(F.struct("c_custkey", "c_name"))
     rows = F.collect_list(one)
-    customers = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 6).alias("part"))
+    customers = table(spark, sf_dir, "customer").groupBy(_group("c_custkey", 100).alias("part"))
     files = customers.agg(
-        F.when(F.first(F.col("c_custkey") % 2) == 0, F.concat(F.lit("["), F.array_join(rows, "\n,"), F.lit("]")))
+        F.when(F.first(_group("c_custkey", 100) % 2) == 0, F.concat(F.lit("["), F.array_join(rows, "\n,"), F.lit("]")))
         .otherwise(F.array_join(rows, "\n")).alias("content")
     )
     write_files(files.select(F.concat("part", F.lit(".json")).alias("path"), "content"), path)
@@ -314,7 +319,7 @@ def _renamed_tars(spark, sf_dir):
                 yield pd.DataFrame({"path": [name], "content": [buffer.getvalue()]})
 
     pages = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("pages"), F.col("page_id") % 4, F.lit(".dat")).alias("archive"), "page_id", "html"
+        F.concat(F.lit("pages"), _group("page_id", 100), F.lit(".dat")).alias("archive"), "page_id", "html"
     )
     tars = pages.groupBy("archive").applyInPandas(lambda df: next(packed([df])), "path string, content binary")
     write_files(tars, path)
