@@ -10,6 +10,7 @@ from tidegate.llm.hash_tree import assign_shards, layout, number_slots
 from tidegate.llm.line_dedup import remove_near_lines
 from tidegate.llm.near_vectors import near_vectors
 from tidegate.llm.ngram_join import jaccard_components
+from tidegate.llm.packing import pack_documents
 from tidegate.llm.personal_data import KINDS, personal_data
 from tidegate.llm.substring_dedup import remove_repeats
 from tidegate.llm.token_counts import token_counts
@@ -116,6 +117,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(_table(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_line_dedup": op2_line_dedup,
@@ -127,5 +133,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_personal_data": op10_personal_data,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
