@@ -12,6 +12,7 @@ from tidegate.llm.near_vectors import near_vectors
 from tidegate.llm.ngram_join import jaccard_components
 from tidegate.llm.packing import pack_documents
 from tidegate.llm.personal_data import KINDS, personal_data
+from tidegate.llm.spelling import spelling_variants
 from tidegate.llm.substring_dedup import remove_repeats
 from tidegate.llm.token_counts import token_counts
 from tidegate.llm.toxicity import fit_toxicity, remainder, score_toxicity
@@ -117,6 +118,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(_table(spark, sf_dir, "documents"), path)
@@ -133,6 +138,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_personal_data": op10_personal_data,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
