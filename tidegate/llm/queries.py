@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm.bpe import encode
+from tidegate.llm.collocations import collocations
 from tidegate.llm.decontamination import contaminated
 from tidegate.llm.hash_tree import assign_shards, layout, number_slots
 from tidegate.llm.line_dedup import remove_near_lines
@@ -118,6 +119,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -138,7 +143,48 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_personal_data": op10_personal_data,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+
+#: Every phrase of every piece is counted, without any pruning.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+words AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+    SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+    FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+counted AS (SELECT lang, g, len(g) AS k, count(*) AS f FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counted WHERE f >= 100),
+cuts AS (
+    SELECT c.lang, c.g, c.f AS a, unnest(range(1, c.k)) AS cut FROM frequent c WHERE c.k > 1),
+scored AS (
+    SELECT cuts.lang, cuts.g, cuts.a, cut, x.f AS l, y.f AS r, n,
+        (1000::HUGEINT * cuts.a * n) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts JOIN totals USING (lang)
+    JOIN frequent x ON x.lang = cuts.lang AND x.g = cuts.g[1:cut]
+    JOIN frequent y ON y.lang = cuts.lang AND y.g = cuts.g[cut + 1:]),
+lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_phrases AS (
+    SELECT DISTINCT lang, f AS a, unnest(list_transform(
+        list_filter(flatten(list_transform(range(1, k + 1), lambda i: list_transform(
+            range(i, k + 1), lambda j: {'low': i, 'high': j}))), lambda s: s.high - s.low + 1 < k),
+        lambda s: g[s.low:s.high])) AS g
+    FROM frequent WHERE k > 2),
+ranked AS (
+    SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+        row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+    FROM lowest WHERE NOT EXISTS (
+        SELECT 1 FROM inner_phrases i WHERE i.lang = lowest.lang AND i.g = lowest.g AND i.a >= lowest.a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op11_phrase_collocations": COLLOCATIONS_SQL}
