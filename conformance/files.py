@@ -251,6 +251,41 @@ def _json_document(spark, sf_dir):
     return read_table(spark, path, "json")
 
 
+def _quoted_lines(spark, sf_dir):
+    """Documents with line ends in their cells, read in splits, by their order in the files."""
+    path = scratch_path(spark, "document-cells")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    write_table(docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id"), path, "csv")
+    read = read_table(spark, path, "csv", row_order=True)
+    first = F.min_by("doc_id", ORDER_COLUMN) == F.min("doc_id")
+    in_order = read.groupBy(F.col(ORDER_COLUMN)["file"].alias("file")).agg(first.alias("in_order"))
+    return read.join(in_order, F.col(ORDER_COLUMN)["file"] == F.col("file")).select(*docs.columns, "in_order")
+
+
+def _legacy_cells(spark, sf_dir):
+    """Documents in CSV files of a Chinese charset: cells with line ends, no switch of the session."""
+    path = scratch_path(spark, "legacy-cells")
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", F.col("doc_id").cast("string"), cell)
+    docs = table(spark, sf_dir, "documents").groupBy(_group("doc_id", 100).alias("part"))
+    text = F.concat(F.lit("doc_id,text\r\n"), F.array_join(F.collect_list(row), "\r\n"))
+    files = docs.agg(encode_text(text, "gb18030").alias("content"))
+    write_files(files.select(F.concat("part", F.lit(".csv")).alias("path"), "content"), path)
+    return read_table(spark, path, "csv", schema="doc_id long, text string", encoding="gb18030")
+
+
+def _large_document(spark, sf_dir):
+    """Documents as indented JSON arrays of some megabytes, with objects inside of the records."""
+    path = scratch_path(spark, "documents-json")
+    inner = F.struct("lang", "source", F.array(F.struct("n_chars")).alias("sizes"))
+    one = F.to_json(F.struct("doc_id", "text", inner.alias("about")), {"pretty": "true"})
+    docs = table(spark, sf_dir, "documents").groupBy(_group("doc_id", 1000).alias("part"))
+    text = F.concat(F.lit("[\n"), F.array_join(F.collect_list(one), ",\n"), F.lit("\n]\n"))
+    write_files(docs.agg(text.alias("content")).select(F.concat("part", F.lit(".json")).alias("path"), "content"), path)
+    read = read_table(spark, path, "json")
+    return read.select("doc_id", "text", "about.lang", "about.source", F.col("about.sizes")[0]["n_chars"].alias("n_chars"))
+
+
 def _json_kinds(spark, sf_dir):
     """A folder that holds both array documents and files with a record per line."""
     path = scratch_path(spark, "customers-json")
@@ -428,6 +463,9 @@ QUERIES = {
     "read_json_document": Query(
         _json_document, "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders"
     ),
+    "csv_quoted_lines": Query(_quoted_lines, "SELECT doc_id, text, source, n_chars, true AS in_order FROM documents"),
+    "csv_legacy_charset": Query(_legacy_cells, "SELECT doc_id, text FROM documents"),
+    "json_large_document": Query(_large_document, "SELECT doc_id, text, lang, source, n_chars FROM documents"),
     "json_kinds_by_content": Query(_json_kinds, "SELECT c_custkey, c_name FROM customer"),
     "convert_encoding_default": Query(
         _late_characters, "SELECT doc_id, 'utf-8' AS source_encoding, text || ' é 日本' AS text FROM documents"

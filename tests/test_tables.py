@@ -62,22 +62,28 @@ def test_csv_header_only(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "encoding", ["utf-8", "utf-16", "utf-8-sig", "shift_jis", "cp932", "latin-1"]
+    "encoding", ["utf-8", "utf-16", "utf-8-sig", "shift_jis", "cp932", "latin-1", "cp1251", "gb18030", "big5"]
 )
 def test_encodings(spark, tmp_path, encoding):
-    word = "Zürich" if encoding == "latin-1" else "日本語"
-    path = write_text(tmp_path / "t.csv", f"name,n\n{word},1\n", encoding)
-    if encoding in ("shift_jis", "cp932"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    word = {"latin-1": "Zürich", "cp1251": "Москва"}.get(encoding, "日本語")
+    path = write_text(tmp_path / "t.csv", f'name,n\n{word},1\n"two\nlines, {word}",2\n', encoding)
+    df = read_table(spark, path, encoding=encoding)
+    assert df.columns == ["name", "n"]
+    assert rows(df, "n") == [(word, 1), (f"two\nlines, {word}", 2)]
+    if encoding == "utf-16":  # Spark reads JSON lines of wide characters only with a line separator
+        return
+    lines = write_text(tmp_path / "t.jsonl", f'{{"name":"{word}","n":1}}\n{{"name":null,"n":2}}\n', encoding)
+    assert rows(read_table(spark, lines, encoding=encoding).select("n", "name"), "n") == [(1, word), (2, None)]
+
+
+def test_charsets_that_need_the_switch(spark, tmp_path):
+    df = spark.range(1)
+    for use in (
+        lambda: write_table(df, str(tmp_path / "t.csv"), encoding="cp932"),
+        lambda: read_table(spark, write_text(tmp_path / "j.csv", "日本\n1\n", "iso2022_jp"), encoding="iso2022_jp"),
+    ):
         with pytest.raises(ValueError, match="javaCharsets"):
-            read_table(spark, path, encoding=encoding)
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        df = read_table(spark, path, encoding=encoding)
-        assert df.columns == ["name", "n"]
-        assert rows(df) == [(word, 1)]
-    finally:
-        spark.conf.unset("spark.sql.legacy.javaCharsets")
+            use()
 
 
 def test_json_document_and_lines(spark, tmp_path):

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions.formats import format_from_name, format_from_path
-from tidegate.functions.missing import ORDER_COLUMN, column, data_columns, nan_to_null
+from tidegate.functions.missing import ORDER_COLUMN, column, data_columns, nan_to_null, quoted
+from tidegate.sources.files import read_heads
+from tidegate.sources.records import (
+    Grammar, csv_grammar, json_grammar, lines_grammar, opens_any_cell, read_records,
+)
 
 TABLE_FORMATS = ("csv", "parquet", "json", "jsonl")
 
@@ -49,7 +53,7 @@ def java_charset(spark: SparkSession, encoding: str) -> str:
     legacy = spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
     if charset.lower() not in _SPARK_CHARSETS and not legacy:
         raise ValueError(
-            f"To read or write '{encoding}', set spark.sql.legacy.javaCharsets=true on the session."
+            f"To use '{encoding}' here, set spark.sql.legacy.javaCharsets=true on the session."
         )
     return charset
 
@@ -61,17 +65,66 @@ def table_format(path: str, fmt: str | None) -> str:
     return chosen
 
 
-def _has_multiline_cells(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes, so that a cell goes on in the next line.
+# Options that say which files are read, and those that records can be parsed with one by one.
+_FILE_OPTIONS = {"pathGlobFilter", "recursiveFileLookup", "modifiedBefore", "modifiedAfter"}
+_CELL_OPTIONS = {"sep", "delimiter", "nullValue", "emptyValue"}
+_CSV = {"quote": '"', "escape": '"'}
+
+
+def _bytewise(encoding: str) -> str | None:
+    """The charset's name if no byte below 0x40 is part of another character than its own.
 
-    The lines are read in splits, also for one huge file, and the scan ends at the first hit.
+    So line ends, quotes and separators can be found before the text is decoded.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    name = codecs.lookup(encoding).name
+    if name.startswith(("utf-16", "utf-32", "utf-7", "iso2022", "hz")):
+        return None
+    ascii_bytes = bytes(range(128))
+    same = ascii_bytes.decode(name, "replace") == ascii_bytes.decode("ascii")
+    return name.replace("utf-8-sig", "utf-8") if same else None
+
+
+def _is_own(charset: str) -> bool:
+    """Whether Spark reads the charset without the legacy switch for other Java charsets."""
+    return JAVA_CHARSETS.get(charset, charset).lower() in _SPARK_CHARSETS
+
+
+def _file_options(options: dict) -> dict:
+    return {k: v for k, v in options.items() if k in _FILE_OPTIONS}
+
+
+def _order_of(records: DataFrame) -> Column:
+    """The place of a record as :func:`with_file_order` gives it for rows."""
+    return F.struct("file", "block", "row").alias(ORDER_COLUMN)
+
+
+def _csv_records(spark, path, charset, sep, options) -> DataFrame | None:
+    """The cells of a CSV file as texts and the order of its rows, read in splits.
+
+    The first record of each file is its header, and has to be the same in all of them.
+    """
+    files = _file_options(options)
+    records = read_records(spark, path, csv_grammar(sep), charset, **files)
+    first = (F.col("block") == 0) & (F.col("row") == 0)
+    header = records.filter(first).select("record").first()
+    if header is None:
+        return None
+    cells = {k: v for k, v in options.items() if k in _CELL_OPTIONS} | _CSV
+    names = spark.read.options(header=True, **cells).csv(spark.sparkContext.parallelize([header.record], 1)).columns
+    schema = ", ".join(f"{quoted(name)} string" for name in names)
+    parsed = F.from_csv("record", schema, cells | {"mode": "FAILFAST"}).alias("cells")
+    other = F.concat(F.col("file"), F.lit(" has another header than the first file."))
+    is_row = F.when(~first, True).otherwise(
+        F.when(F.col("record") == header.record, False).otherwise(F.raise_error(other).cast("boolean"))
+    )
+    rows = records.filter(is_row).select(parsed, _order_of(records))
+    return rows.select("cells.*", ORDER_COLUMN)
 
 
 def _missing_to_null(name: str) -> Column:
-    return F.when(~column(name).isin(*CSV_MISSING), column(name))
+    # Columns that come from the path may have other types.
+    text = column(name).cast("string")
+    return F.when(~text.isin(*CSV_MISSING), text)
 
 
 def _infer_csv_types(texts: DataFrame) -> dict[str, str]:
@@ -118,15 +171,23 @@ def csv_cell(name: str, dtype: str | T.DataType) -> Column:
 
 
 def _read_csv(spark, path, schema, encoding, multiline, row_order, options) -> DataFrame:
-    charset = java_charset(spark, encoding)
+    sep, charset = options.get("sep", options.get("delimiter", ",")), _bytewise(encoding)
+    files = _file_options(options)
+    usual = charset and len(sep) == 1 and set(options) <= _FILE_OPTIONS | _CELL_OPTIONS
     if multiline is None:
-        wide = charset.upper().startswith(("UTF-16", "UTF-32"))
-        multiline = wide or _has_multiline_cells(spark, path)
-    reader = spark.read.options(
-        header=True, quote='"', escape='"', encoding=charset, multiLine=multiline,
-        enforceSchema=False, mode="FAILFAST",
-    ).options(**options)
-    raw = reader.csv(path)
+        multiline = opens_any_cell(spark, path, sep, files) if usual else True
+    # Partition columns come from the path, which records know nothing of.
+    apart = usual and (multiline or not _is_own(charset)) and spark.read.options(**files).text(path).columns == ["value"]
+    ordered = _csv_records(spark, path, charset, sep, options) if apart else None
+    if ordered is not None:
+        raw = ordered.drop(ORDER_COLUMN)
+    else:
+        reader = spark.read.options(
+            header=True, **_CSV, encoding=java_charset(spark, encoding), multiLine=multiline,
+            enforceSchema=False, mode="FAILFAST",
+        ).options(**options)
+        raw = reader.csv(path)
+        ordered = with_file_order(raw) if row_order else raw
     if schema is not None:
         schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         types = {field.name: field.dataType for field in schema.fields}
@@ -135,11 +196,8 @@ def _read_csv(spark, path, schema, encoding, multiline, row_order, options) -> D
     texts = raw.select(*[_missing_to_null(name).alias(name) for name in raw.columns])
     if schema is None:
         types = _infer_csv_types(texts)
-    if row_order:
-        texts = with_file_order(raw).select(
-            *[_missing_to_null(name).alias(name) for name in raw.columns], ORDER_COLUMN
-        )
     keep = [ORDER_COLUMN] if row_order else []
+    texts = ordered.select(*[_missing_to_null(name).alias(name) for name in raw.columns], *keep)
     return texts.select(*[_typed(name, types[name]) for name in raw.columns], *keep)
 
 
@@ -184,12 +242,13 @@ def read_table(
     """Read a table; its format follows from the extension unless ``fmt`` is given.
 
     CSV has a header line, ``""`` as the escaped quote, and the usual texts for missing values;
-    a file whose quoted cells hold line ends is read whole by one task, all others in splits.
-    With ``schema`` no scan is spent on types. A row with more or fewer cells than the header
+    files are read in splits, also if quoted cells hold line ends, in UTF-8 and in charsets in which
+    ASCII bytes stand for themselves. With ``schema`` no scan is spent on types. A row with more or fewer cells than the header
     fails the job. ``.jsonl`` has one record per line; a ``.json`` file whose first character is
     ``[`` is one document, an array of records, any other one has a record per line. To tell them
-    apart costs a scan, unless ``multiline`` says which they are. ``row_order`` adds the hidden column that ``keep="first"``, ``ffill``
-    and the like use as the order of rows.
+    apart the first bytes of all files are read, unless ``multiline`` says which they are. Documents
+    in UTF-8 are read in splits as well. ``row_order`` adds the hidden column that ``keep="first"``,
+    ``ffill`` and the like use as the order of rows.
     """
     chosen = table_format(path, fmt)
     if chosen == "csv":
@@ -200,13 +259,12 @@ def read_table(
         df = (reader if schema is None else reader.schema(schema)).parquet(path)
         df = with_file_order(df) if row_order else df
     else:
-        options["encoding"] = java_charset(spark, encoding)
         if multiline is None and chosen == "json":
             documents, others = _json_documents(spark, path)
         else:
             documents, others = ([path], []) if multiline else ([], [path])
         parts = [
-            _read_json(spark, paths, schema, whole, row_order, options)
+            _read_json(spark, paths, schema, whole, row_order, encoding, options)
             for paths, whole in ((documents, True), (others, False))
             if paths
         ]
@@ -217,30 +275,32 @@ def read_table(
 
 
 def _json_documents(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """The paths of array documents, and of files with a record per line.
+    """The paths of array documents, and of files with a record per line, by their first bytes.
 
     Where all files are of one kind, their common path stands for them. Else the files are
     named one by one, which is what Spark's own listing of them holds as well.
     """
-    lines = spark.read.text(path)
-    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    text = F.ltrim(F.regexp_replace("value", "^[\ufeff\\s\\x00]+", ""))
-    found = (
-        lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), text.alias("text"))
-        .filter("text != ''")
-        .groupBy("file")
-        .agg(F.min_by(F.substring("text", 1, 1), "place").alias("first"))
-        .withColumn("document", F.col("first") == "[")
-    )
+    catalog = spark.read.format("binaryFile").load(path).select("path", "length")
+    heads = read_heads(catalog, 4096).select("path", F.decode("head", "UTF-8").alias("text"))
+    text = F.ltrim(F.regexp_replace("text", "^[\ufeff\ufffd\\s\\x00]+", ""))
+    found = heads.select("path", text.startswith("[").alias("document"))
     kinds = dict(found.groupBy("document").count().collect())
     if len(kinds) < 2:
         return ([path], []) if True in kinds else ([], [path])
-    files = found.select("file", "document").collect()
+    files = found.collect()
     return [f for f, document in files if document], [f for f, document in files if not document]
 
 
-def _read_json(spark, paths, schema, whole_document, row_order, options) -> DataFrame:
-    reader = spark.read.options(**options)
+def _read_json(spark, paths, schema, whole_document, row_order, encoding, options) -> DataFrame:
+    charset = _bytewise(encoding)
+    cut = None
+    if whole_document and charset == "utf-8":
+        cut = _json_records(spark, paths, json_grammar(), charset, schema, options)
+    elif charset not in (None, "utf-8") and not whole_document:
+        cut = _json_records(spark, paths, lines_grammar(), charset, schema, options)
+    if cut is not None:
+        return cut if row_order else cut.drop(ORDER_COLUMN)
+    reader = spark.read.options(**options, encoding=java_charset(spark, encoding))
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.options(multiLine=whole_document, mode="FAILFAST").json(paths)
@@ -249,6 +309,27 @@ def _read_json(spark, paths, schema, whole_document, row_order, options) -> Data
     return with_file_order(df) if row_order else df
 
 
+def _json_records(
+    spark: SparkSession, paths: list[str], grammar: Grammar, charset: str, schema, options: dict
+) -> DataFrame | None:
+    """JSON records of some form and their order, read in splits; None where that can't be done."""
+    files = _file_options(options)
+    if spark.read.options(**files).text(paths).columns != ["value"]:
+        return None
+    records = read_records(spark, paths, grammar, charset, **files)
+    options = {k: v for k, v in options.items() if k not in _FILE_OPTIONS}
+    if schema is None:
+        # Types are inferred by Spark's reader, which takes texts from an RDD only.
+        texts = records.select("record").rdd.map(lambda row: row.record)
+        schema = spark.read.options(**options, mode="FAILFAST").json(texts).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if not schema.fields:
+        return None
+    parsed = F.from_json("record", schema, options | {"mode": "FAILFAST"}).alias("cells")
+    return records.select(parsed, _order_of(records)).select("cells.*", ORDER_COLUMN)
+
+
 def _in_written_order(df: DataFrame, path: str | list[str]) -> DataFrame:
     """Columns in the order of the first record; inference alone sorts them by name."""
     first = df.sparkSession.read.text(path).limit(1).select(F.json_object_keys("value")).first()
