@@ -16,9 +16,11 @@ from tidegate.operators.quality import gate, quality_report
 from tidegate.plans.metrics import observed, observed_report, run_report
 from tidegate.plans.steps import run_graph, run_steps
 from tidegate.scratch import scratch_path
+from tidegate.sources.files import write_files
 from tidegate.sources.named import clear_named, get_named, put_named
 from tidegate.sources.tables import write_table
-from tidegate.streaming.ingest import ingest, ingest_batches, read_landing
+from tidegate.streaming.bodies import ingest_bodies
+from tidegate.streaming.ingest import BODY, ingest, ingest_batches, read_landing
 
 CHAIN = [
     {"plugin": "with_duckdb", "params": {
@@ -146,6 +148,45 @@ def _skipped(spark, sf_dir):
     return reports.groupBy("status", reason).agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"))
 
 
+def _bodies(spark, sf_dir):
+    """Landed files of 500 events each in one batch; two gates judge each file by itself."""
+    landing, target = scratch_path(spark, "bodies-landing"), scratch_path(spark, "bodies-out")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    one = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    files = events.groupBy(F.floor(F.col("event_id") / 500).alias("part")).agg(
+        F.encode(F.array_join(F.collect_list(one), "\n"), "UTF-8").alias("content")
+    )
+    write_files(files.select(F.concat("part", F.lit(".jsonl")).alias("path"), "content"), landing)
+    steps = [
+        {"plugin": "duplicate_remover", "params": {"subset": ["user_id"], "order_by": "event_id"}},
+        {"plugin": "data_quality", "params": {"rules": [
+            {"column": "event_id", "type": "is_unique"}, {"column": "value", "type": "in_range", "max": 300}]}},
+        {"plugin": "business_rules", "params": {"rules": [{"name": "late", "expression": "event_id % 1000 = 999"}]}},
+    ]
+    stream = read_landing(spark, landing, "jsonl", events.schema, on_malformed="mark")
+    ingest_bodies(stream, steps, target, scratch_path(spark, "bodies-log")).awaitTermination()
+    part = F.regexp_extract(BODY, r"(\d+)\.jsonl$", 1).cast("long").alias("part")
+    reports = spark.read.parquet(target + ".reports")
+    return reports.select(part, "status", "step", "message", "rows_in", "rows_out")
+
+
+BODIES_SQL = """
+WITH e AS (SELECT *, event_id // 500 AS part FROM events),
+first AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY part, user_id ORDER BY event_id) = 1),
+judged AS (
+    SELECT part, count(*) AS kept, count(*) FILTER (value > 300) AS high,
+        count(*) FILTER (event_id % 1000 = 999) AS late FROM first GROUP BY part),
+landed AS (SELECT part, count(*) AS rows_in FROM e GROUP BY part)
+SELECT part, CASE WHEN high + late > 0 THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN high > 0 THEN 'data_quality' WHEN late > 0 THEN 'business_rules' END AS step,
+    CASE WHEN high > 0 THEN 'Data quality validation failed:' || chr(10) || '- Column ''value'' has values out of range.'
+         WHEN late > 0 THEN 'Business rule validation failed:' || chr(10) || '- Rule ''late'' failed for ' || late
+             || ' rows. (Expression: ''event_id % 1000 = 999'').' END AS message,
+    rows_in, CASE WHEN high + late > 0 THEN 0 ELSE kept END AS rows_out
+FROM judged JOIN landed USING (part)
+"""
+
+
 def _gate_fails(spark, sf_dir):
     """What a gate says about the rules that fail."""
     lines = table(spark, sf_dir, "lineitem")
@@ -258,6 +299,7 @@ QUERIES = {
                count(*) AS rows_in, count(*) FILTER (good) AS rows_out
            FROM (SELECT event_type IN ('click', 'view', 'purchase') AS good FROM events) GROUP BY good""",
     ),
+    "stream_bodies": Query(_bodies, BODIES_SQL),
     "stream_bad_cells": Query(
         _bad_cells,
         """SELECT 'read' AS outcome, sum(c_custkey)::BIGINT AS total FROM customer

@@ -25,7 +25,7 @@ from tidegate.sources.files import file_catalog, read_files, write_files
 Step = Callable[..., DataFrame]
 
 # Parameters that say where a step reads and writes; the run handles them.
-_PATHS = ("input_path", "output_path", "input_encoding", "large_dataset")
+PATHS = ("input_path", "output_path", "input_encoding", "large_dataset")
 _LINE_READERS = ("ngsi_validator", "to_http")
 _FILE_READERS = ("encoding_converter", "format_detector", "archive_extractor")
 
@@ -36,11 +36,15 @@ def _sql_step(df, query_file=None, query=None, table_name="source_data"):
     return sql.sql_transform(df, query, table_name)
 
 
-def _template_step(df, template_path=None, template=None):
+def template_rows(df, template_path=None, template=None, keep=None):
     if template is None:
         with open(template_path, encoding="utf-8") as file:
             template = file.read()
-    return render_json(df, template, "value")
+    return render_json(df, template, "value", keep)
+
+
+def _template_step(df, template_path=None, template=None):
+    return template_rows(df, template_path, template)
 
 
 def _quality_step(df, rules):
@@ -52,11 +56,15 @@ def _business_step(df, rules):
     return quality.gate(df, report, "Business rule validation failed")
 
 
-def _schema_step(df, target_column, schema_path=None, schema=None):
+def loaded_schema(schema_path=None, schema=None):
     if schema is None:
         with open(schema_path, encoding="utf-8") as file:
             schema = json.load(file)
-    bad = validate_json.schema_violations(df, target_column, schema)
+    return schema
+
+
+def _schema_step(df, target_column, schema_path=None, schema=None):
+    bad = validate_json.schema_violations(df, target_column, loaded_schema(schema_path, schema))
     return validate_json.gate_rows(df, bad, "JSON Schema validation failed")
 
 
@@ -221,7 +229,7 @@ def _apply(spark, run: Run, step_id: str, step: dict, upstream: DataFrame | None
         df = _read_input(spark, plugin, params)
     if df is None:
         raise ValueError(f"Step '{step_id}' has no input: give it an upstream step or input_path.")
-    arguments = {name: value for name, value in params.items() if name not in _PATHS}
+    arguments = {name: value for name, value in params.items() if name not in PATHS}
     output = function(df, **arguments)
     if not isinstance(output, DataFrame):
         raise TypeError(f"Step '{step_id}' returned {type(output).__name__}, not a DataFrame.")

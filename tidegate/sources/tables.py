@@ -155,19 +155,26 @@ def _typed(name: str, dtype: str | T.DataType) -> Column:
     return _as_type(column(name), dtype).alias(name)
 
 
-def _as_type(cell: Column, dtype: str | T.DataType) -> Column:
+def _as_type(cell: Column, dtype: str | T.DataType, strict: bool = True) -> Column:
     kind = dtype.simpleString() if isinstance(dtype, T.DataType) else dtype
     if kind == "boolean":
         cell = F.when(cell.isin(*_BOOLEAN_TEXT["true"]), True).when(
             cell.isin(*_BOOLEAN_TEXT["false"]), False
         )
-    return cell.cast(dtype)
+    return cell.cast(dtype) if strict else cell.try_cast(dtype)
 
 
-def csv_cell(name: str, dtype: str | T.DataType) -> Column:
-    """A CSV cell, read as text, in its column's type; null where it is missing."""
-    text = _missing_to_null(name)
-    return _as_type(text, dtype)
+def csv_cell(name: str, dtype: str | T.DataType, strict: bool = True) -> Column:
+    """A CSV cell, read as text, in its column's type; null where it is missing.
+
+    One that is not of the type fails the job, or is null as well if not ``strict``.
+    """
+    return _as_type(_missing_to_null(name), dtype, strict)
+
+
+def csv_cell_unread(name: str, dtype: str | T.DataType) -> Column:
+    """Whether a CSV cell, read as text, holds something that is not of its column's type."""
+    return _missing_to_null(name).isNotNull() & csv_cell(name, dtype, strict=False).isNull()
 
 
 def _read_csv(spark, path, schema, encoding, multiline, row_order, options) -> DataFrame:
