@@ -337,6 +337,41 @@ def _legacy_sql():
         c_name || ' ' || CASE {number} {texts} END AS text FROM customer"""
 
 
+#: Sentences that the models of the charsets were not made of.
+_SINGLE_BYTE = {
+    "cp1251": "Вчера вечером наша соседка рассказала интересную историю о путешествии через горы.",
+    "koi8-r": "Никто не знал, где находится ключ от этой двери, но мы решили подождать до утра.",
+    "cp866": "Ответ на письмо пришёл только через две недели, когда погода стала совсем тёплой.",
+    "iso8859-7": "Χθες το βράδυ η γειτόνισσά μας διηγήθηκε μια ενδιαφέρουσα ιστορία για ένα ταξίδι.",
+    "iso8859-2": "Včera večer nám naše sousedka vyprávěla zajímavý příběh o cestě přes vysoké hory.",
+    "cp1250": "Nikt nie wiedział, gdzie leży klucz, więc poszliśmy jeszcze wcześniej spać, śniąc o lecie.",
+    "iso8859-9": "Dün akşam komşumuz dağlardan geçen uzun bir yolculuk hakkında ilginç şeyler anlattı.",
+    "latin-1": "Gestern Abend erzählte unsere Nachbarin eine schöne Geschichte über große Wälder.",
+    "big5": "昨天晚上我們的鄰居講了一個關於穿越山脈旅行的有趣故事。",
+    "gb18030": "昨天晚上我们的邻居讲了一个关于穿越山脉旅行的有趣故事。",
+}
+
+
+def _single_byte(spark, sf_dir):
+    """Orders as files, each with a sentence in a charset that nothing marks."""
+    names = list(_SINGLE_BYTE)
+    number = (F.col("o_orderkey") % len(names)).cast("int")
+    sentence = F.get(F.array(*map(F.lit, _SINGLE_BYTE.values())), number)
+    text = F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderpriority", sentence)
+    files = spread_table(spark, sf_dir, "orders").select(
+        "o_orderkey", encode_text(text, F.get(F.array(*map(F.lit, names)), number)).alias("content")
+    )
+    return convert_encoding(files).select("o_orderkey", "source_encoding", "text")
+
+
+def _single_byte_sql():
+    names = ", ".join(f"'{name}'" for name in _SINGLE_BYTE)
+    texts = ", ".join(f"'{text}'" for text in _SINGLE_BYTE.values())
+    number = f"CAST(o_orderkey % {len(_SINGLE_BYTE)} AS INT) + 1"
+    return f"""SELECT o_orderkey, [{names}][{number}] AS source_encoding,
+        o_orderkey || ';' || o_orderpriority || ';' || [{texts}][{number}] AS text FROM orders"""
+
+
 def _renamed_tars(spark, sf_dir):
     """Pages in tar files whose names don't say so, far larger than a part."""
     path = scratch_path(spark, "renamed-tars")
@@ -471,6 +506,7 @@ QUERIES = {
         _late_characters, "SELECT doc_id, 'utf-8' AS source_encoding, text || ' é 日本' AS text FROM documents"
     ),
     "detect_legacy_charset": Query(_legacy_charsets, _legacy_sql()),
+    "detect_single_byte_charset": Query(_single_byte, _single_byte_sql()),
     "expand_renamed_tars": Query(_renamed_tars, "SELECT page_id, html FROM pages"),
     "inspect_files": Query(_inspected, "SELECT page_id, 'json' AS detected_format FROM pages"),
     "write_files": Query(

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegate.functions.charset_models import common_share, decodes, single_byte
 from tidegate.sources.files import file_system, leaves_folder, read_heads
 
 # Byte-order marks and the charsets that they stand for, longer marks first.
@@ -69,7 +70,10 @@ def _guess_charset(raw: bytes) -> str:
         return "ascii" if raw.isascii() else "utf-8"
     except UnicodeDecodeError:
         pass
-    best, name = 0.5, "latin-1"
+    single, reads_well = single_byte(raw)
+    if reads_well and single not in ("latin-1", "cp1252"):
+        return single
+    best, name = 0.5, single
     for charset in _LEGACY:
         try:
             score = _plausible(raw.decode(charset), charset)
@@ -77,6 +81,11 @@ def _guess_charset(raw: bytes) -> str:
             continue
         if score > best:
             best, name = score, charset
+    # Both charsets of Chinese decode most bytes of the other one, to rare characters.
+    if name in ("gb18030", single) and not (reads_well and name == single) and decodes(raw, "big5"):
+        share = common_share(raw.decode("big5"), "big5")
+        if share >= 0.1 and share > common_share(raw.decode("gb18030", "replace"), "gb18030"):
+            return "big5"
     return name
 
 
@@ -104,9 +113,10 @@ def _encoded(text: pd.Series, encoding: pd.Series) -> pd.Series:
 def detect_charset(content: Column) -> Column:
     """The charset of each content, judged by all of it.
 
-    Byte-order marks and valid UTF-8 decide. Else the Japanese, Korean or Chinese charset that
-    decodes every byte and reads best is taken, and latin-1 if none reads well. The same bytes
-    have the same charset on every machine.
+    Byte-order marks and valid UTF-8 decide. Else it is the single-byte charset of Cyrillic, Greek,
+    Central European or Turkish letters in which the words with such bytes read well and best, or the
+    Japanese, Korean or Chinese charset that decodes every byte and reads best, and latin-1 (cp1252
+    with its punctuation) if none does. The same bytes have the same charset on every machine.
     """
     return _charset_of(content)
 
