@@ -16,7 +16,7 @@ from tidegate.operators.file_jobs import (
     expand_archive_files, expand_archives, inspect_files,
 )
 from tidegate.scratch import scratch_path
-from tidegate.sources.files import file_catalog, read_files, write_files
+from tidegate.sources.files import file_catalog, list_files, read_files, write_files
 from tidegate.sources.tables import convert, read_table, write_table
 from tidegate.sources.text import number_lines, read_lines, write_lines
 
@@ -92,6 +92,19 @@ def _catalog(spark, sf_dir):
     return files.groupBy(kind, "format").agg(F.sum("length").alias("bytes"))
 
 
+def _folder_tree(spark, sf_dir):
+    """Documents as files of a deep tree, found level by level; every tenth one is empty."""
+    path = scratch_path(spark, "tree")
+    digits = F.transform(F.split(F.col("doc_id").cast("string"), ""), lambda d: F.concat(F.lit("d"), d))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", "lang", F.array_join(digits, "/"), F.concat("doc_id", F.lit(".txt"))).alias("path"),
+        F.when(F.col("doc_id") % 10 == 3, "").otherwise(F.col("text")).alias("text"),
+    )
+    write_files(docs, path, "path", "text")
+    inside = F.substring_index(F.col("path"), "/tree-", -1)
+    return list_files(spark, path, "*.txt").select(F.regexp_replace(inside, "^[^/]*/", "").alias("file"), "length")
+
+
 def _contents(spark, sf_dir):
     """Read whole files back as bytes, and count the characters they hold."""
     path = scratch_path(spark, "document-files")
@@ -460,6 +473,12 @@ QUERIES = {
         """SELECT event_type, 'text' AS format, CAST(sum(strlen(props) + 1) AS BIGINT) AS bytes
            FROM events GROUP BY event_type""",
     ),
+    "list_folder_tree": Query(
+        _folder_tree,
+        """SELECT lang || '/' || array_to_string(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                   lambda d: 'd' || d), '/') || '/' || doc_id || '.txt' AS file,
+               CASE WHEN doc_id % 10 = 3 THEN 0 ELSE strlen(text) END AS length FROM documents""",
+    ),
     "file_contents": Query(
         _contents, "SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY lang"
     ),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.operators.dedupe import drop_duplicates
 from tidegate.operators.nulls import carry
-from tidegate.sources.files import file_catalog, path_info, read_files, write_files
+from tidegate.sources.files import file_catalog, list_files, path_info, read_files, write_files
 from tidegate.sources.named import clear_named, get_named, list_named, put_named
 from tidegate.sources.tables import convert, read_table, write_table
 from tidegate.sources.text import number_lines, read_lines, write_lines
@@ -186,6 +186,26 @@ def test_empty_files_are_listed(spark, tmp_path):
         file_catalog(spark, str(tmp_path / "*"))
 
 
+def test_trees_of_folders(spark, tmp_path):
+    """A deep tree, a flat folder and many folders, by path, size and name."""
+    expected = {}
+    for name in ["/".join(["d"] * depth) + f"/f{depth}.txt" for depth in range(1, 9)] + [
+        *(f"flat/{i}.csv" for i in range(300)), *(f"wide/{i}/x {i} é%.json" for i in range(40)), "top.txt",
+    ]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * (len(name) % 5))
+        expected[f"file:{tmp_path}/{name}"] = len(name) % 5
+    (tmp_path / "wide" / "_temporary" / "0").mkdir(parents=True)
+    (tmp_path / "wide" / "_temporary" / "0" / "part").write_text("x")
+    (tmp_path / "none" / "here").mkdir(parents=True)
+    found = list_files(spark, str(tmp_path))
+    assert {r.path: r.length for r in found.collect()} == expected and found.count() == len(expected)
+    assert list_files(spark, str(tmp_path), "f?.txt").count() == 8
+    assert list_files(spark, str(tmp_path / "none")).count() == 0
+    assert [r.length for r in list_files(spark, str(tmp_path / "top.txt")).collect()] == [2]
+    assert all(r.modified.year > 2000 for r in found.collect())
+
+
 def test_write_files(spark, tmp_path):
     df = spark.createDataFrame(
         [("a/b.txt", bytearray(b"1")), ("c.bin.gz", bytearray(b"\x00\xff")), ("empty", bytearray())],

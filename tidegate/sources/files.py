@@ -4,7 +4,6 @@ import fnmatch
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.formats import format_of_path
 from tidegate.functions.missing import column
+from tidegate.scratch import scratch_path
 
 
 _FILE_ROW = "path string, modificationTime timestamp, length long, content binary"
@@ -34,7 +34,23 @@ def read_files(
 
 
 def _empty_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    """The empty files below ``path``; the folders in it are searched by as many tasks."""
+    """The empty files below ``path``, as rows of files."""
+    found = list_files(spark, path, glob).filter("length = 0")
+    return found.select("path", F.col("modified").alias("modificationTime"), "length", F.lit(b"").alias("content"))
+
+
+_LISTED = "path string, length long, modified timestamp, folder boolean"
+
+
+def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``(path, length, modified)`` of the visible files below ``path``, listed level by level.
+
+    The folders of a level are dealt over tasks, each of which lists the folders it gets; what they
+    hold is written to the checkpoint folder, and the folders among it are the next level. So a deep
+    tree, a wide one and a lopsided one are all listed by many tasks, and neither names nor files pass
+    through the driver. ``glob`` is for names of files. Hidden files and folders (``_``, ``.``) are
+    left out, as by Spark's readers.
+    """
     if any(c in path for c in "*?[{"):
         raise ValueError("Give a folder and glob=, or pass with_empty=False to match paths.")
     system, root = file_system(path)
@@ -42,36 +58,51 @@ def _empty_files(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     prefix = "file:" if prefix in ("file:", "file://") else prefix
     if not root.startswith("/"):
         prefix += "/"
-    whole = system.get_file_info(root)
-    top = [whole] if whole.is_file else system.get_file_info(fs.FileSelector(root))
-    folders = [(info.path,) for info in top if info.type == fs.FileType.Directory and _is_visible(info)]
-
-    def row(info: fs.FileInfo) -> tuple:
-        return prefix + info.path, info.mtime, 0, b""
-
-    def wanted(info: fs.FileInfo) -> bool:
-        named = not glob or fnmatch.fnmatchcase(info.base_name, glob)
-        return info.is_file and info.size == 0 and named and _is_visible(info)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "modificationTime", "length", "content"]
+    names = ["path", "length", "modified", "folder"]
+
+    def rows(infos: list[fs.FileInfo]) -> pa.RecordBatch:
+        kept = [
+            i for i in infos
+            if _is_visible(i) and (not i.is_file or not glob or fnmatch.fnmatchcase(i.base_name, glob))
+        ]
+        columns = (
+            pa.array([prefix + i.path if i.is_file else i.path for i in kept], pa.string()),
+            pa.array([i.size if i.is_file else 0 for i in kept], pa.int64()),
+            pa.array([i.mtime for i in kept], pa.timestamp("us", "UTC")),
+            pa.array([not i.is_file for i in kept], pa.bool_()),
+        )
+        return pa.RecordBatch.from_arrays(list(columns), names)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for folder in batch["folder"]:
-                infos = file_system(path)[0].get_file_info(fs.FileSelector(folder, recursive=True))
-                below = [i for i in infos if wanted(i) and _is_visible(i, len(folder))]
-                yield pd.DataFrame([row(i) for i in below], columns=names)
-
-    found = spark.createDataFrame([row(info) for info in top if wanted(info)], _FILE_ROW)
-    if not folders:
-        return found
-    spread = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 1000))
-    return found.unionByName(spread.mapInPandas(search, _FILE_ROW))
-
+            own = file_system(path)[0]
+            for folder in batch["path"].to_pylist():
+                infos = own.get_file_info(fs.FileSelector(folder))
+                for at in range(0, len(infos), 10_000):
+                    yield rows(infos[at : at + 10_000])
 
-def _is_visible(info: fs.FileInfo, start: int | None = None) -> bool:
-    """Whether no part of the path (from ``start`` on; else its last) is hidden, as Spark sees it."""
-    parts = [info.base_name] if start is None else info.path[start:].split("/")
-    return not any(part.startswith(("_", ".")) for part in parts)
+    whole = system.get_file_info(root)
+    if whole.is_file:
+        one = [(prefix + whole.path, whole.size, whole.mtime)] if _is_visible(whole) else []
+        one = one if not glob or fnmatch.fnmatchcase(whole.base_name, glob) else []
+        return spark.createDataFrame(one, _LISTED.replace(", folder boolean", ""))
+    store = scratch_path(spark, "listing")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, level = spark.createDataFrame([(root,)], "path string"), 0
+    while True:
+        target = f"{store}/level={level:05d}"
+        spread = folders.repartition(min(tasks, max(1, folders.count())), "path")
+        spread.mapInArrow(listed, _LISTED).write.parquet(target)
+        folders = spark.read.schema(_LISTED).parquet(target).filter("folder").select("path")
+        if folders.isEmpty():
+            break
+        level += 1
+    return spark.read.schema(_LISTED).parquet(f"{store}/level=*").filter("NOT folder").select(*names[:3])
+
+
+def _is_visible(info: fs.FileInfo) -> bool:
+    """Whether Spark sees the file or folder."""
+    return not info.base_name.startswith(("_", "."))
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -84,13 +115,16 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 def file_catalog(
     spark: SparkSession, path: str, glob: str | None = None, with_empty: bool = True
 ) -> DataFrame:
-    """Files below ``path`` as ``(path, length, modified, format)``, without their content."""
-    return read_files(spark, path, glob, with_empty).select(
-        "path",
-        "length",
-        F.col("modificationTime").alias("modified"),
-        format_of_path(F.col("path")).alias("format"),
-    )
+    """Files below ``path`` as ``(path, length, modified, format)``, without their content.
+
+    With empty files the tasks list the folders (:func:`list_files`). Else Spark does, on the driver,
+    which also takes patterns and stores that only Spark can read.
+    """
+    if with_empty:
+        files = list_files(spark, path, glob)
+    else:
+        files = read_files(spark, path, glob, False).withColumnRenamed("modificationTime", "modified")
+    return files.select("path", "length", "modified", format_of_path(F.col("path")).alias("format"))
 
 
 def path_info(path: str) -> Row | None:
