@@ -4,7 +4,7 @@ Words are known by 64-bit ids. Each task keeps its phrases of one length in a HA
 over the ids of their first words, whose leaves are hash containers. Phrases of a slice of text are
 reduced in bulk and dealt to the containers; a container that has grown too large bursts, that is, its
 range of prefixes is divided. If the trie fills the memory it may take, its largest subtrees are passed
-on as sorted runs. Spark deals the runs by prefix, and merges and adds them up per prefix.
+on as sorted runs, cut by prefix. Spark deals the runs to partitions by prefix, where they are merged.
 
 Phrases are counted length by length: a phrase can only be frequent if what is left without its first
 and without its last word is. Frequent phrases set bits of a filter that all tasks get. A bit may be
@@ -32,8 +32,8 @@ SLICE = 4 << 20
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
 #: Bits in a row of the table that a filter is collected from.
 CHUNK = 1 << 16
-#: Words whose ids decide the partition of a phrase.
-PREFIX = 3
+#: Words whose ids decide the bucket of a phrase, and buckets in a partition; one is merged at a time.
+PREFIX, BUCKETS_EACH = 3, 2
 #: The lang of rows without one.
 UNKNOWN = "und"
 
@@ -268,8 +268,57 @@ def _word_runs(docs: DataFrame, other_ids: dict) -> DataFrame:
     return rows.repartition("lang", "w1").groupBy("lang", "w1", "w2", "word").agg(F.sum("n").alias("n"))
 
 
-def _phrase_runs(docs: DataFrame, width: int, shorter: Broadcast, other_ids: dict) -> DataFrame:
-    """``(lang, w1, ..., n)``: phrases whose two parts of one word less may be frequent."""
+def _packed_runs(lang: str, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sorted runs, one row for each prefix bucket that has phrases: their ids and counts as bytes."""
+    hashes = np.full(len(keys), word_hashes(b"x" + lang.encode())[0], np.uint64)
+    for column in keys.T[:PREFIX]:
+        hashes = mix(hashes ^ column)
+    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, counts = bucket[order], keys[order], counts[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True][: len(bucket) + 1])
+    parts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    return pa.RecordBatch.from_pydict(
+        {
+            "bucket": pa.array(bucket[edges[:-1]]),
+            "lang": pa.repeat(pa.scalar(lang, pa.string()), len(parts)),
+            "ids": pa.array([keys[low:high].tobytes() for low, high in parts], pa.binary()),
+            "counts": pa.array([counts[low:high].tobytes() for low, high in parts], pa.binary()),
+        }
+    )
+
+
+def _merged_runs(width: int, least: int):
+    """A function for tasks that merges runs, bucket by bucket, to phrases of at least ``least``."""
+
+    def merge(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            for lang, container in held.items():
+                keys, counts = container.merged()
+                enough = counts >= least
+                if enough.any():
+                    yield _run(lang, keys[enough], counts[enough])
+
+        for batch in incoming:
+            for bucket, lang, ids, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at:
+                    yield from finished()
+                    at, held = bucket, {}
+                keys = np.frombuffer(ids, np.uint64).reshape(-1, width)
+                own = held.setdefault(lang, Container(keys[:0], np.empty(0, np.int64)))
+                own.add(keys, np.frombuffer(counts, np.int64))
+                if own.size > max(2 * own.whole, BURST):
+                    own.merged()
+        yield from finished()
+
+    return merge
+
+
+def _phrases(docs: DataFrame, width: int, least: int, shorter: Broadcast, other_ids: dict) -> DataFrame:
+    """``(lang, w1, ..., n)``: the frequent phrases, among those whose two parts may be frequent."""
+    buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def counted(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
@@ -289,14 +338,14 @@ def _phrase_runs(docs: DataFrame, width: int, shorter: Broadcast, other_ids: dic
                         trie.add(np.stack([one.words[at + i] for i in range(width)], axis=1))
                 if sum(t.size for t in tries.values()) > MOST:
                     for run in _spill(tries, MOST // 2):
-                        yield _run(*run)
+                        yield _packed_runs(*run, buckets)
         for run in _spill(tries, 0):
-            yield _run(*run)
+            yield _packed_runs(*run, buckets)
 
-    ids = _ids(width)
-    schema = f"lang string, {', '.join(f'{i} long' for i in ids)}, n long"
-    dealt = docs.mapInArrow(counted, schema).repartition("lang", *ids[:PREFIX])
-    return dealt.groupBy("lang", *ids).agg(F.sum("n").alias("n"))
+    runs = docs.mapInArrow(counted, "bucket long, lang string, ids binary, counts binary")
+    schema = f"lang string, {', '.join(f'{i} long' for i in _ids(width))}, n long"
+    dealt = runs.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_merged_runs(width, least), schema)
 
 
 def _filter(phrases: DataFrame, width: int, number: int) -> Filter:
@@ -365,8 +414,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
         if not number:
             break
         shorter = docs.sparkSession.sparkContext.broadcast(_filter(phrases, width - 1, number))
-        runs = _phrase_runs(docs, width, shorter, other_ids)
-        phrases = stored(runs.filter(F.col("n") >= least), f"phrases_{width}")
+        phrases = stored(_phrases(docs, width, least, shorter, other_ids), f"phrases_{width}")
         shorter.unpersist()
         found.append(phrases)
     together = [p.select("lang", F.array(*_ids(i)).alias("ids"), F.col("n").alias("f")) for i, p in enumerate(found, 1)]
