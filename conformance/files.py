@@ -63,6 +63,17 @@ def _lines(spark, sf_dir):
     return read_lines(spark, path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
+def _wide_lines(spark, sf_dir):
+    """Documents as files of UTF-16, some hundred in a file, read line by line in splits."""
+    path = scratch_path(spark, "wide-lines")
+    text = F.concat(F.array_join(F.collect_list("text"), "\n"), F.lit("\n"))
+    files = table(spark, sf_dir, "documents").groupBy(_group("doc_id", 300).alias("part")).agg(text.alias("text"))
+    files = files.select(F.concat("part", F.lit(".txt")).alias("path"), encode_text(F.col("text"), "utf-16").alias("content"))
+    write_files(files, path)
+    lines = read_lines(spark, path, encoding="utf-16", errors="strict")
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def _numbered_lines(spark, sf_dir):
     """Within each file, the numbers run from 1 on without a gap and follow the lines."""
     path = scratch_path(spark, "event-lines")
@@ -465,6 +476,12 @@ QUERIES = {
                (SELECT unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents)
            WHERE trim(line, chr(9) || chr(32) || chr(11) || chr(12)) <> '' GROUP BY line""",
     ),
+    "read_lines_utf16": Query(
+        _wide_lines,
+        """SELECT line, count(*) AS n FROM
+               (SELECT unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents)
+           WHERE trim(line, chr(9) || chr(32) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY line""",
+    ),
     "number_lines": Query(
         _numbered_lines, "SELECT count(*) AS lines, true AS in_order FROM events"
     ),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.missing import ORDER_COLUMN
 from tidegate.sources.records import csv_grammar, json_grammar, opens_cell, read_records
 from tidegate.sources.tables import read_table
+from tidegate.sources.text import number_lines, read_lines
 
 CELLS = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
 
@@ -152,3 +153,34 @@ def test_records_of_all_parts(spark, tmp_path, splits):
     records = read_records(spark, str(tmp_path / "t.csv"), csv_grammar())
     found = [r.record for r in records.orderBy("block", "row").collect()]
     assert found == ["k", "1", '"' + "line\n" * 900 + '"', "3"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-le", "utf-16-be", "cp932", "gb18030", "latin-1", "utf-8"])
+def test_lines_of_many_splits(spark, tmp_path, splits, encoding):
+    """Also where the bytes of a line feed stand within or between other characters."""
+    r = random.Random(encoding)
+    alphabet = "aé ਊ\u010a਀\u000cଊ日本" if "utf" in encoding else "aé " if encoding == "latin-1" else "a日本 "
+    lines = [cells(r, alphabet, 20) for _ in range(300)] + ["end"]
+    path = tmp_path / "t.txt"
+    path.write_bytes(r.choice(["\n", "\r\n"]).join(lines).encode(encoding))
+    splits(1200)
+    df = read_lines(spark, str(path), keep_blank=True, encoding=encoding, errors="strict")
+    assert df.rdd.getNumPartitions() >= 3
+    assert [x.value for x in df.orderBy(ORDER_COLUMN).collect()] == lines
+    numbered = number_lines(read_lines(spark, str(path), encoding=encoding, errors="strict"), df)
+    found = {x.line_no: x.value for x in numbered.collect()}
+    assert found == {i: line for i, line in enumerate(lines, 1) if line.strip()}
+
+
+def test_lines_of_odd_files(spark, tmp_path):
+    (tmp_path / "t.txt").write_bytes("\ufeffone\n\ntwo\n".encode("utf-16-be"))
+    assert [x.value for x in read_lines(spark, str(tmp_path), encoding="utf-16").orderBy(ORDER_COLUMN).collect()] == ["one", "two"]
+    (tmp_path / "u.txt").write_bytes(b"a\xffb\n")
+    with pytest.raises(ValueError, match="byte orders"):
+        read_lines(spark, str(tmp_path), encoding="utf-16")
+    path = str(tmp_path / "u.txt")
+    assert [x.value for x in read_lines(spark, path, encoding="euc_jp").collect()] == ["a\ufffdb"]
+    with pytest.raises(Exception, match="decode"):
+        read_lines(spark, path, encoding="euc_jp", errors="strict").collect()
+    with pytest.raises(ValueError, match="cannot be told apart"):
+        read_lines(spark, path, encoding="iso2022_jp")

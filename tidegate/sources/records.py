@@ -55,6 +55,19 @@ def lines_grammar() -> Grammar:
     return Grammar("\n", lambda _: [F.lit(False), F.lit(False), F.lit(0), F.lit(0)])
 
 
+def wide_lines_grammar(little: bool) -> Grammar:
+    """Lines of UTF-16: what is inside here is a place in the midst of a character.
+
+    The bytes of a line feed only are one if an even number of bytes stands before them.
+    """
+
+    def step(piece: Column) -> list[Column]:
+        odd = F.octet_length(piece.cast("binary")) % 2 == 1
+        return [odd, ~odd, F.lit(0), F.lit(0)]
+
+    return Grammar("\n\0" if little else "\0\n", step)
+
+
 def opens_cell(line: Column, sep: str = ",") -> Column:
     """Whether a CSV line that starts a record ends within a quoted cell.
 
@@ -205,13 +218,29 @@ def _starts(splits: list, depth: int) -> dict[tuple[str, int], _Start]:
 _CUT = "file string, block long, row long, record string, part long, data binary"
 
 
-def _cutter(grammar: Grammar, charset: str, starts: Broadcast | None):
+@dataclass(frozen=True)
+class _Reading:
+    """How the bytes of records become texts, and whether blank ones stay out."""
+
+    charset: str
+    errors: str
+    skip_blank: bool
+
+    @property
+    def returns(self) -> bytes:
+        return "\r".encode(self.charset)
+
+    def blank(self, record: bytes) -> bool:
+        return self.skip_blank and record.removesuffix(self.returns) == b""
+
+
+def _cutter(grammar: Grammar, reading: _Reading, starts: Broadcast | None):
     """A function for tasks that makes records, and parts of those that go over the end of a split.
 
     A part has the place of the split in which its record began, ``part``, the split it is in itself,
     and its bytes in ``data``.
     """
-    separator, finished = grammar.separator.encode(), _finisher(grammar, charset)
+    separator, finished = grammar.separator.encode(), _finisher(grammar, reading)
     tail = None if grammar.tail is None else _compiled(grammar.tail)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -233,6 +262,7 @@ def _cutter(grammar: Grammar, charset: str, starts: Broadcast | None):
                 if not tail.fullmatch(left):
                     raise ValueError(f"{file} ends with {left[-200:]!r}.")
             elif held and start.last:
+                # What is left ends with the file, or in the midst of a character.
                 yield one(left)
             elif held:
                 yield file, block, row, None, block, left
@@ -256,7 +286,7 @@ def _cutter(grammar: Grammar, charset: str, starts: Broadcast | None):
                 if opener is not None:
                     yield here[0], opener, None, None, here[1], record
                     opener = None
-                elif tail is not None or record.rstrip(b"\r"):
+                elif tail is not None or not reading.blank(record):
                     yield one(record)
                     row += 1
             held += values[at:]
@@ -270,7 +300,7 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern.encode())
 
 
-def _finisher(grammar: Grammar, charset: str) -> Callable[[bytes, bool], str]:
+def _finisher(grammar: Grammar, reading: _Reading) -> Callable[[bytes, bool], str]:
     """The text of a record from its bytes, without what stands in front of it."""
     lead, between, closing = _compiled(grammar.lead), _compiled(grammar.between), grammar.closing.encode()
 
@@ -280,8 +310,8 @@ def _finisher(grammar: Grammar, charset: str) -> Callable[[bytes, bool], str]:
         if front is None:
             raise ValueError(f"Malformed record: {record[:200]!r}")
         if grammar.tail is None:
-            record = record.removesuffix(b"\r")
-        return record[front.end() :].decode(charset)
+            record = record.removesuffix(reading.returns)
+        return record[front.end() :].decode(reading.charset, reading.errors)
 
     return finished
 
@@ -305,15 +335,15 @@ def _as_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _joined(grammar: Grammar, charset: str):
+def _joined(grammar: Grammar, reading: _Reading):
     """A function for tasks that puts the sorted parts of records together."""
-    separator, finished = grammar.separator.encode(), _finisher(grammar, charset)
+    separator, finished = grammar.separator.encode(), _finisher(grammar, reading)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.to_pylist():
                 record = separator.join(part["data"] for part in r["parts"])
-                if record.rstrip(b"\r"):
+                if not reading.blank(record):
                     yield r["file"], r["block"], r["row"], finished(record, r["block"] == r["row"] == 0), None, None
 
     return lambda batches: _as_batches(join(batches))
@@ -326,13 +356,20 @@ def opens_any_cell(spark: SparkSession, paths: str | list[str], sep: str, option
 
 
 def read_records(
-    spark: SparkSession, paths: str | list[str], grammar: Grammar, charset: str = "utf-8", **options
+    spark: SparkSession,
+    paths: str | list[str],
+    grammar: Grammar,
+    charset: str = "utf-8",
+    skip_blank: bool = True,
+    errors: str = "strict",
+    **options,
 ) -> DataFrame:
     """``(file, block, row, record)``: the records of all files, in order by ``block`` and ``row``.
 
-    ``charset`` is one in which the bytes of ASCII characters stand for nothing else; a byte that is
-    not valid in it fails the job, as do records of another form than the grammar's. The splits are
-    those of Spark's text reader, whose options for files are taken. A record has to fit into a cell.
+    ``charset`` is one in which the bytes of ASCII characters stand for nothing else, or that of the
+    grammar; a byte that is not valid in it fails the job unless ``errors`` is ``replace``, as do records
+    of another form than the grammar's. Blank records are left out, or kept if not ``skip_blank``. The
+    splits are those of Spark's text reader, whose options for files are taken. A record has to fit into a cell.
 
     One scan is done at once, and another one if files have several splits; the rest is lazy.
     """
@@ -341,7 +378,7 @@ def read_records(
     several = splits.withColumn("splits", F.expr("count(*) OVER (PARTITION BY file)")).filter("splits > 1")
     starts = _starts(several.orderBy("file", "block").collect(), grammar.depth)
     shared = spark.sparkContext.broadcast(starts) if starts else None
-    cut = pieces.select(*_PLACE, "value", *_STEP).mapInArrow(_cutter(grammar, charset, shared), _CUT)
+    cut = pieces.select(*_PLACE, "value", *_STEP).mapInArrow(_cutter(grammar, _Reading(charset, errors, skip_blank), shared), _CUT)
     found = cut.filter("part IS NULL").select("file", "block", "row", "record")
     if not any(s.opener is not None for s in starts.values()):
         return found
@@ -351,6 +388,6 @@ def read_records(
     together = (
         parts.groupBy("file", "block")
         .agg(F.max("row").alias("row"), F.array_sort(F.collect_list(F.struct("part", "data"))).alias("parts"))
-        .mapInArrow(_joined(grammar, charset), _CUT)
+        .mapInArrow(_joined(grammar, _Reading(charset, errors, skip_blank)), _CUT)
     )
     return found.unionByName(together.select("file", "block", "row", "record"))

@@ -71,7 +71,7 @@ _CELL_OPTIONS = {"sep", "delimiter", "nullValue", "emptyValue"}
 _CSV = {"quote": '"', "escape": '"'}
 
 
-def _bytewise(encoding: str) -> str | None:
+def bytewise(encoding: str) -> str | None:
     """The charset's name if no byte below 0x40 is part of another character than its own.
 
     So line ends, quotes and separators can be found before the text is decoded.
@@ -178,7 +178,7 @@ def csv_cell_unread(name: str, dtype: str | T.DataType) -> Column:
 
 
 def _read_csv(spark, path, schema, encoding, multiline, row_order, options) -> DataFrame:
-    sep, charset = options.get("sep", options.get("delimiter", ",")), _bytewise(encoding)
+    sep, charset = options.get("sep", options.get("delimiter", ",")), bytewise(encoding)
     files = _file_options(options)
     usual = charset and len(sep) == 1 and set(options) <= _FILE_OPTIONS | _CELL_OPTIONS
     if multiline is None:
@@ -299,7 +299,7 @@ def _json_documents(spark: SparkSession, path: str) -> tuple[list[str], list[str
 
 
 def _read_json(spark, paths, schema, whole_document, row_order, encoding, options) -> DataFrame:
-    charset = _bytewise(encoding)
+    charset = bytewise(encoding)
     cut = None
     if whole_document and charset == "utf-8":
         cut = _json_records(spark, paths, json_grammar(), charset, schema, options)
