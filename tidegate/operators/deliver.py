@@ -1,8 +1,11 @@
 """Delivery of rows, one request each, from the tasks that hold them."""
 
 import http.client
+import threading
+import time
 import urllib.parse
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -32,16 +35,17 @@ class HttpSender:
             raise ValueError(f"method must be POST or PUT, not '{self.method}'.")
 
     def __getstate__(self):
-        return {name: value for name, value in vars(self).items() if name != "_connection"}
+        return {name: value for name, value in vars(self).items() if name != "_threads"}
 
     def _connected(self) -> http.client.HTTPConnection:
-        """The connection that this task's requests share."""
-        if "_connection" not in vars(self):
+        """The connection that the requests of this thread share."""
+        own = vars(self).setdefault("_threads", threading.local())
+        if not hasattr(own, "connection"):
             parts = urllib.parse.urlsplit(self.url)
             secure = parts.scheme == "https"
             kind = http.client.HTTPSConnection if secure else http.client.HTTPConnection
-            self._connection = kind(parts.hostname, parts.port, timeout=self.timeout)
-        return self._connection
+            own.connection = kind(parts.hostname, parts.port, timeout=self.timeout)
+        return own.connection
 
     def __call__(self, payload: str, key: str) -> int:
         headers = {"Content-Type": "application/json", **self.headers}
@@ -57,11 +61,66 @@ class HttpSender:
         except Exception:
             # The next request opens a new one.
             connection.close()
-            del self._connection
+            del self._threads.connection
             raise
         return response.status
 
 
+#: Statuses that a later try may change.
+BUSY = (408, 425, 429, 500, 502, 503, 504)
+_NOT_SENT = "NotSent: an earlier request of the task failed"
+
+
+class _Window:
+    """Sends the payloads of a task: so many in flight, spaced by a rate, tried again with back-off."""
+
+    def __init__(self, send: Send, size: int, gap: float, retries: int, backoff: float, stop: bool):
+        self.send, self.gap, self.retries, self.backoff, self.stop = send, gap, retries, backoff, stop
+        self.pool = ThreadPoolExecutor(size)
+        self.lock, self.free, self.failed = threading.Lock(), 0.0, threading.Event()
+
+    def _wait(self) -> None:
+        """Until the next request may start."""
+        if self.gap:
+            with self.lock:
+                start = max(self.free, time.monotonic())
+                self.free = start + self.gap
+            time.sleep(max(0.0, start - time.monotonic()))
+
+    def _one(self, payload: str, key: str) -> tuple[int | None, str | None, int]:
+        for tries in range(1, self.retries + 2):
+            if self.stop and self.failed.is_set():
+                return None, _NOT_SENT, tries - 1
+            self._wait()
+            try:
+                status = self.send(payload, key)
+                error = f"HTTP status {status}" if status >= 400 else None
+                again = status in BUSY
+            except Exception as raised:  # a failed request is a result row
+                status, error, again = None, f"{type(raised).__name__}: {raised}", True
+            if not error or not again or tries > self.retries:
+                break
+            time.sleep(self.backoff * 2 ** (tries - 1))
+        if error:
+            self.failed.set()
+        return status, error, tries
+
+    def outcomes(self, payloads, keys) -> list[tuple[int | None, str | None, int]]:
+        return list(self.pool.map(self._one, payloads, keys))
+
+
+def _shape(spark, concurrency: int, tasks: int | None) -> tuple[int, int, int]:
+    """Tasks, how many of them run at once, and the requests that each has in flight."""
+    slots = spark.sparkContext.defaultParallelism
+    if concurrency < slots:
+        # Each running task has a request in flight, so there are no more tasks than requests.
+        tasks = min(tasks or concurrency, concurrency)
+        return tasks, tasks, 1
+    tasks = tasks or max(slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    running = min(tasks, slots)
+    return tasks, running, concurrency // running
+
+
 def deliver(
     df: DataFrame,
     payload: str,
@@ -71,16 +130,30 @@ def deliver(
     keep: list[str] | None = None,
     key: str | None = None,
     resume: bool = False,
+    tasks: int | None = None,
+    retries: int = 0,
+    backoff: float = 0.5,
+    rate: float | None = None,
+    stop_on_fail: bool = False,
 ) -> DataFrame:
-    """Send each non-blank payload once and return ``(*keep, key, status, error, attempt)``.
+    """Send each non-blank payload once and return ``(*keep, key, status, error, attempt, tries)``.
+
+    At most ``concurrency`` requests are in flight: the tasks that run at once share them, each with
+    a window of its own, and a table has as many ``tasks`` as shuffles have partitions by default
+    (``concurrency`` of them if that is less than there are cores). They also share ``rate``, the requests
+    a second. A request that raises or finds the receiver busy is tried ``retries`` times more, after
+    ``backoff`` seconds, then twice as many, and so on. With ``stop_on_fail`` a task sends nothing more
+    once a request has failed; rows that were not sent say so in ``error``.
 
-    The table is spread over ``concurrency`` tasks, each of which has one request in flight.
     The outcome is written below ``status_path`` and read back, so using the result again does
     not send again. A task that is run again repeats its requests; name a column that identifies
     rows as ``key``, and receivers can drop such repeats by it. With ``resume``, rows that an
     earlier run delivered are left out; this needs a ``key``, as equal payloads are not one row.
-    Of a key that was sent in several runs only the rows of the latest one are returned.
+    Of a key that was sent in several runs only the rows of the latest one are returned. ``send`` is
+    called by several threads of a task.
     """
+    if concurrency < 1 or retries < 0 or (rate is not None and rate <= 0):
+        raise ValueError("concurrency and rate have to be positive, retries not negative.")
     if resume and key is None:
         raise ValueError("To resume, rows must be identified by a key column.")
     spark = df.sparkSession
@@ -94,6 +167,7 @@ def deliver(
         T.StructField("status", T.IntegerType()),
         T.StructField("error", T.StringType()),
         T.StructField("attempt", T.IntegerType()),
+        T.StructField("tries", T.IntegerType()),
     ]
     number = 1
     if resume:
@@ -103,21 +177,23 @@ def deliver(
             done = earlier.where(F.col("error").isNull()).select("key").distinct()
             rows = rows.join(done, "key", "left_anti").select(*map(column, keep), "key", "_payload")
 
-    def attempt(payload: str, key: str) -> tuple[int | None, str | None]:
-        try:
-            status = send(payload, key)
-        except Exception as error:  # a failed request is a result row
-            return None, f"{type(error).__name__}: {error}"
-        return status, f"HTTP status {status}" if status >= 400 else None
+    tasks, running, window = _shape(spark, concurrency, tasks)
+    gap = running / rate if rate else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            outcomes = [attempt(p, k) for p, k in zip(batch["_payload"], batch["key"])]
-            status = pd.array([s for s, _ in outcomes], dtype="Int32")
-            error = pd.Series([e for _, e in outcomes], index=batch.index, dtype=object)
-            yield batch.drop(columns="_payload").assign(status=status, error=error, attempt=number)
-
-    sent = rows.repartition(concurrency).mapInPandas(run, T.StructType(fields))
+        own = _Window(send, window, gap, retries, backoff, stop_on_fail)
+        with own.pool:
+            for batch in batches:
+                outcomes = own.outcomes(batch["_payload"], batch["key"])
+                status, error, tries = zip(*outcomes) if outcomes else ([], [], [])
+                yield batch.drop(columns="_payload").assign(
+                    status=pd.array(status, dtype="Int32"),
+                    error=pd.Series(error, index=batch.index, dtype=object),
+                    attempt=number,
+                    tries=pd.array(tries, dtype="Int32"),
+                )
+
+    sent = rows.repartition(tasks).mapInPandas(run, T.StructType(fields))
     sent.write.mode("append" if resume else "overwrite").parquet(status_path)
     statuses = _statuses(spark, status_path, fields)
     if number == 1:
