@@ -396,32 +396,45 @@ def _single_byte_sql():
         o_orderkey || ';' || o_orderpriority || ';' || [{texts}][{number}] AS text FROM orders"""
 
 
-def _renamed_tars(spark, sf_dir):
-    """Pages in tar files whose names don't say so, far larger than a part."""
-    path = scratch_path(spark, "renamed-tars")
-
-    def packed(batches):
-        for pages in batches:
-            for name, group in pages.groupby("archive"):
-                buffer = io.BytesIO()
-                with tarfile.open(fileobj=buffer, mode="w:bz2") as archive:
-                    for page, html in zip(group["page_id"], group["html"]):
-                        raw = html.encode()
-                        info = tarfile.TarInfo(f"{page}.html")
-                        info.size = len(raw)
-                        archive.addfile(info, io.BytesIO(raw))
-                yield pd.DataFrame({"path": [name], "content": [buffer.getvalue()]})
+def _page_tars(spark, sf_dir, path, mode):
+    """Pages as tar files of a hundred pages, whose names don't say so."""
+
+    def packed(pages):
+        buffer = io.BytesIO()
+        with tarfile.open(fileobj=buffer, mode=mode) as archive:
+            for page, html in zip(pages["page_id"], pages["html"]):
+                raw = html.encode()
+                info = tarfile.TarInfo(f"{page}.html")
+                info.size = len(raw)
+                archive.addfile(info, io.BytesIO(raw))
+        return pd.DataFrame({"path": [pages["archive"].iloc[0]], "content": [buffer.getvalue()]})
 
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("pages"), _group("page_id", 100), F.lit(".dat")).alias("archive"), "page_id", "html"
     )
-    tars = pages.groupBy("archive").applyInPandas(lambda df: next(packed([df])), "path string, content binary")
-    write_files(tars, path)
+    write_files(pages.groupBy("archive").applyInPandas(packed, "path string, content binary"), path)
+
+
+def _renamed_tars(spark, sf_dir):
+    """Compressed tars, far larger than a part."""
+    path = scratch_path(spark, "renamed-tars")
+    _page_tars(spark, sf_dir, path, "w:bz2")
     members = expand_archive_files(file_catalog(spark, path), part_bytes=1000, strict=True)
     page = F.regexp_extract("member", r"(\d+)\.html$", 1).cast("long").alias("page_id")
     return members.select(page, F.decode("content", "UTF-8").alias("html"))
 
 
+def _plain_tars(spark, sf_dir):
+    """Uncompressed tars, read in ranges of bytes; members come in chunks and are put together."""
+    path = scratch_path(spark, "plain-tars")
+    _page_tars(spark, sf_dir, path, "w")
+    chunks = expand_archive_files(file_catalog(spark, path), strict=True, chunk_bytes=1500)
+    page = F.regexp_extract("member", r"(\d+)\.html$", 1).cast("long").alias("page_id")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda x: F.hex(x["content"]))
+    pages = chunks.groupBy(page).agg(F.unhex(F.array_join(parts, "")).alias("content"))
+    return pages.select("page_id", F.decode("content", "UTF-8").alias("html"))
+
+
 def _inspected(spark, sf_dir):
     """Pages as JSON files, most of them longer than the bytes that are looked at."""
     path = scratch_path(spark, "page-json")
@@ -543,6 +556,7 @@ QUERIES = {
     ),
     "detect_legacy_charset": Query(_legacy_charsets, _legacy_sql()),
     "detect_single_byte_charset": Query(_single_byte, _single_byte_sql()),
+    "expand_plain_tars": Query(_plain_tars, "SELECT page_id, html FROM pages"),
     "expand_renamed_tars": Query(_renamed_tars, "SELECT page_id, html FROM pages"),
     "inspect_files": Query(_inspected, "SELECT page_id, 'json' AS detected_format FROM pages"),
     "write_files": Query(

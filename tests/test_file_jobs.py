@@ -202,3 +202,57 @@ def test_batches_stay_small(monkeypatch):
     monkeypatch.setattr(file_jobs, "_BATCH_BYTES", 1000)
     batches = list(file_jobs._arrow_rows(("a", str(i), b"x" * 400, None) for i in range(10)))
     assert [b.num_rows for b in batches] == [3, 3, 3, 1]
+
+
+def _tar_file(path, members, mode="w", form=tarfile.PAX_FORMAT):
+    with tarfile.open(path, mode, format=form) as archive:
+        for name, content in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            archive.addfile(info, io.BytesIO(content))
+
+
+@pytest.mark.parametrize("form", [tarfile.PAX_FORMAT, tarfile.GNU_FORMAT, tarfile.USTAR_FORMAT])
+def test_plain_tars_are_read_in_ranges(spark, tmp_path, form):
+    """Members of one tar come from several tasks; what is inside of a member is no member."""
+    inner = io.BytesIO()
+    with tarfile.open(fileobj=inner, mode="w") as archive:
+        archive.addfile(tarfile.TarInfo("inner.txt"))
+    long = "f/" + "n" * 90 + ".txt" if form == tarfile.USTAR_FORMAT else "f/" + "é" * 200 + ".txt"
+    members = {f"f/{i}.bin": bytes([i % 256]) * (i * 37) for i in range(60)}
+    members |= {long: b"long name", "f/inner.tar": inner.getvalue(), "f/empty": b"", "f/../../x": b"leaves"}
+    _tar_file(tmp_path / "a.tar", members, form=form)
+    _tar_file(tmp_path / "b.tar", {})
+    (tmp_path / "c.tar").write_bytes((tmp_path / "a.tar").read_bytes()[:30_000])
+    catalog = file_catalog(spark, str(tmp_path))
+    df = expand_archive_files(catalog, strip_components=1, tasks=4)
+    found = [r for r in df.filter("archive LIKE '%a.tar'").collect()]
+    errors = [r for r in found if r.error]
+    assert {r.member: bytes(r.content) for r in found if not r.error} == {
+        n.removeprefix("f/"): c for n, c in members.items() if ".." not in n
+    }
+    assert len(found) == len(members) and [r.member for r in errors] == ["f/../../x"]
+    tasks = df.filter("archive LIKE '%a.tar' AND error IS NULL").select(F.spark_partition_id()).distinct().count()
+    assert tasks > 2
+    others = df.filter("archive NOT LIKE '%a.tar'").collect()
+    assert any("No files extracted" in (r.error or "") for r in others if r.archive.endswith("b.tar"))
+    assert any("Extraction failed" in (r.error or "") for r in others if r.archive.endswith("c.tar"))
+
+
+def test_members_in_chunks(spark, tmp_path):
+    members = {"a.bin": bytes(range(256)) * 40, "b.bin": b"", "c.bin": b"x" * 1000}
+    _tar_file(tmp_path / "p.tar", members)
+    _tar_file(tmp_path / "z.tar.gz", members, "w:gz")
+    with zipfile.ZipFile(tmp_path / "q.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, content in members.items():
+            archive.writestr(name, content)
+    df = expand_archive_files(file_catalog(spark, str(tmp_path)), chunk_bytes=1000, strict=True)
+    rows = df.orderBy("archive", "member", "chunk").collect()
+    found = {}
+    for r in rows:
+        key = r.archive.rsplit("/", 1)[1], r.member
+        assert r.chunk == len(found.setdefault(key, [])) and len(r.content) <= 1000
+        found[key].append(bytes(r.content))
+    assert {k: b"".join(v) for k, v in found.items()} == {
+        (archive, n): c for archive in ("p.tar", "z.tar.gz", "q.zip") for n, c in members.items()
+    }

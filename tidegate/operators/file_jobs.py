@@ -257,7 +257,8 @@ def _whole_characters(content: pd.Series) -> pd.Series:
 
 # Archives.
 
-_MEMBERS = "archive string, member string, content binary, error string"
+_MEMBERS = "archive string, member string, chunk int, content binary, error string"
+_INDEX = "archive string, member string, start long, size long, error string"
 _BATCH_BYTES = 32 << 20
 _MEMBER_LIMIT = (1 << 31) - 1024
 
@@ -271,17 +272,31 @@ def member_target(name: str, strip_components: int) -> str:
 def _zip_members(archive: zipfile.ZipFile, part: int, parts: int):
     for info in archive.infolist()[part::parts]:
         if not info.filename.endswith("/"):
-            yield info.filename, info.file_size, lambda info=info: archive.read(info)
+            yield info.filename, info.file_size, lambda info=info: archive.open(info)
 
 
 def _tar_members(archive: tarfile.TarFile):
     for info in archive:
         if info.isfile():
-            yield info.name, info.size, lambda info=info: archive.extractfile(info).read()
+            yield info.name, info.size, lambda info=info: archive.extractfile(info)
 
 
-def _read_archive(name: str, handle, strip: int, part: int, parts: int):
-    """Rows ``(archive, member, content, error)`` of one part of an archive."""
+_NOTHING = "No files extracted from archive."
+_LEAVES = "Member path leaves the target folder."
+
+
+def _pieces(name: str, member: str, size: int, opened, chunk_bytes: int | None):
+    """Rows ``(archive, member, chunk, content, error)`` of one member."""
+    if chunk_bytes is None and size > _MEMBER_LIMIT:
+        yield name, member, 0, None, f"Member of {size} bytes does not fit a row; set chunk_bytes."
+        return
+    with opened() as file:
+        for chunk in range(max(1, -(-size // chunk_bytes)) if chunk_bytes else 1):
+            yield name, member, chunk, file.read(chunk_bytes or -1), None
+
+
+def _read_archive(name: str, handle, strip: int, part: int, parts: int, chunk_bytes: int | None = None):
+    """Rows ``(archive, member, chunk, content, error)`` of one part of an archive."""
     try:
         if zipfile.is_zipfile(handle):
             handle.seek(0)
@@ -295,27 +310,46 @@ def _read_archive(name: str, handle, strip: int, part: int, parts: int):
             archive = tarfile.open(fileobj=handle, mode="r:*")
             empty, members = None, _tar_members(archive)
         found = 0
-        for member, size, read in members:
+        for member, size, opened in members:
             found += 1
             if leaves_folder(member):
-                yield name, member, None, "Member path leaves the target folder."
-            elif size > _MEMBER_LIMIT:
-                yield name, member, None, f"Member of {size} bytes does not fit a row."
+                yield name, member, 0, None, _LEAVES
             else:
-                yield name, member_target(member, strip), read(), None
+                yield from _pieces(name, member_target(member, strip), size, opened, chunk_bytes)
         if empty or (empty is None and found == 0):
             if part == 0:
-                yield name, None, None, "No files extracted from archive."
+                yield name, None, 0, None, _NOTHING
     except tarfile.ReadError:
-        yield name, None, None, "Unsupported archive format (not zip or tar)."
+        yield name, None, 0, None, "Unsupported archive format (not zip or tar)."
     except Exception as error:  # a broken archive is a result row, not a failed job
-        yield name, None, None, f"Extraction failed: {error}"
+        yield name, None, 0, None, f"Extraction failed: {error}"
+
+
+def _tar_index(name: str, handle):
+    """Rows ``(archive, member, start, size, error)`` of an uncompressed tar, from its headers alone."""
+    found = 0
+    try:
+        for info in tarfile.open(fileobj=handle, mode="r:"):
+            if info.isfile():
+                found += 1
+                if leaves_folder(info.name):
+                    yield name, info.name, None, None, _LEAVES
+                elif info.issparse():
+                    yield name, info.name, None, None, "Sparse members are not supported."
+                elif info.offset_data + info.size > handle.size():
+                    raise tarfile.ReadError("unexpected end of data")
+                else:
+                    yield name, info.name, info.offset_data, info.size, None
+        if not found:
+            yield name, None, None, None, _NOTHING
+    except Exception as error:
+        yield name, None, None, None, f"Extraction failed: {error}"
 
 
 def _arrow_rows(rows) -> Iterator[pa.RecordBatch]:
     """Batches of bounded size, so a task holds few members at a time."""
-    names = ("archive", "member", "content", "error")
-    types = (pa.string(), pa.string(), pa.binary(), pa.string())
+    names = ("archive", "member", "chunk", "content", "error")
+    types = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string())
 
     def batch(kept):
         return pa.RecordBatch.from_arrays(
@@ -325,7 +359,7 @@ def _arrow_rows(rows) -> Iterator[pa.RecordBatch]:
     kept, held = [], 0
     for row in rows:
         kept.append(row)
-        held += len(row[2] or b"")
+        held += len(row[3] or b"")
         if held > _BATCH_BYTES or len(kept) >= 10_000:
             yield batch(kept)
             kept, held = [], 0
@@ -349,7 +383,7 @@ def expand_archives(files: DataFrame, strip_components: int = 0, strict: bool =
 
         yield from _arrow_rows(rows())
 
-    members = files.select("path", "content").mapInArrow(expand, _MEMBERS)
+    members = files.select("path", "content").mapInArrow(expand, _MEMBERS).drop("chunk")
     return _checked(members) if strict else members
 
 
@@ -359,14 +393,24 @@ def expand_archive_files(
     part_bytes: int = 256 << 20,
     tasks: int | None = None,
     strict: bool = False,
+    chunk_bytes: int | None = None,
 ) -> DataFrame:
     """:func:`expand_archives` for files opened by their path in the tasks.
 
     ``catalog`` has ``path`` and ``length``. Archives may be larger than memory: only one batch
-    of members is held at a time. A large zip file is cut into parts that several tasks read;
-    a tar file can only be read from front to back. The work is spread over ``tasks`` tasks (as
+    of members is held at a time. A large zip file is cut into parts that several tasks read. Of an
+    uncompressed tar one task reads the headers, from member to member, and all tasks read the members;
+    a compressed one can only be read from front to back. The work is spread over ``tasks`` tasks (as
     many as there are shuffle partitions by default).
+
+    A member has to fit into a row, below 2 GiB. With ``chunk_bytes`` members are cut to rows of so
+    many bytes, counted from 0 in a column ``chunk`` behind ``member``.
     """
+    # A fixed number: by their size, the few bytes of work would all be joined into one task.
+    tasks = tasks or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    magic = F.substring("head", 258, 5) == F.lit(b"ustar")
+    heads = read_heads(catalog, 512, tasks).select("path", magic.alias("plain"))
+    known = catalog.select("path", "length").join(heads, "path")
 
     def expand(batches):
         def rows():
@@ -377,22 +421,73 @@ def expand_archive_files(
                         small = file.size() <= _BATCH_BYTES
                         handle = io.BytesIO(file.read()) if small else file
                         yield from _read_archive(
-                            row["path"], handle, strip_components, row["part"], row["parts"]
+                            row["path"], handle, strip_components, row["part"], row["parts"], chunk_bytes
                         )
 
         yield from _arrow_rows(rows())
 
     parts = F.ceil(F.greatest(F.col("length"), F.lit(1)) / part_bytes)
-    work = catalog.select("path", parts.cast("int").alias("parts")).select(
+    work = known.filter(~F.col("plain")).select("path", parts.cast("int").alias("parts")).select(
         "path", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    # A fixed number: by their size, these few bytes would all be joined into one task.
-    tasks = tasks or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = work.repartition(tasks, "path", "part")
-    members = spread.mapInArrow(expand, _MEMBERS)
+    members = work.repartition(tasks, "path", "part").mapInArrow(expand, _MEMBERS)
+    plain = known.filter("plain").select("path").repartition(tasks, "path")
+    members = members.unionByName(_tar_ranges(plain, strip_components, tasks, chunk_bytes))
+    members = members if chunk_bytes else members.drop("chunk")
     return _checked(members) if strict else members
 
 
+def _tar_ranges(catalog: DataFrame, strip: int, tasks: int, chunk_bytes: int | None) -> DataFrame:
+    """The members of uncompressed tars: an index of their headers, and tasks that read ranges of bytes."""
+
+    def index(batches):
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                system, name = file_system(path)
+                with system.open_input_file(name) as file:
+                    rows = list(zip(*_tar_index(path, file)))
+                types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(rows, types)], ["archive", "member", "start", "size", "error"]
+                )
+
+    def read(batches):
+        def rows():
+            opened, file = None, None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["error"]:
+                        yield r["archive"], r["member"], 0, None, r["error"]
+                        continue
+                    if r["archive"] != opened:
+                        if file:
+                            file.close()
+                        system, path = file_system(r["archive"])
+                        opened, file = r["archive"], system.open_input_file(path)
+                    content = file.read_at(r["length"], r["start"])
+                    yield r["archive"], member_target(r["member"], strip), r["chunk"], content, None
+            if file:
+                file.close()
+
+        yield from _arrow_rows(rows())
+
+    found = catalog.mapInArrow(index, _INDEX)
+    size = F.lit(chunk_bytes or _MEMBER_LIMIT).cast("long")
+    large = F.lit(chunk_bytes is None) & (F.col("size") > size)
+    message = F.concat(F.lit("Member of "), F.col("size"), F.lit(" bytes does not fit a row; set chunk_bytes."))
+    found = found.withColumn("error", F.coalesce("error", F.when(large, message)))
+    last = F.greatest(F.ceil(F.col("size") / size) - 1, F.lit(0)).cast("int")
+    chunks = F.when(F.col("error").isNull(), F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))
+    ranges = found.select("*", F.explode(chunks).alias("chunk"))
+    begin = F.col("chunk") * size
+    ranges = ranges.select(
+        "archive", "member", "chunk", "error", (F.col("start") + begin).alias("start"),
+        F.least(size, F.col("size") - begin).alias("length"),
+    )
+    spread = ranges.repartition(tasks, "archive", "start").sortWithinPartitions("archive", "start")
+    return spread.mapInArrow(read, _MEMBERS)
+
+
 def _checked(members: DataFrame) -> DataFrame:
     message = F.concat(F.col("archive"), F.lit(": "), F.col("error"))
     good = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
