@@ -147,6 +147,30 @@ def _ngsi_first(spark, sf_dir):
     return first.select("event_id", F.array_join("_errors", "; ").alias("errors"))
 
 
+CHAIN_SCHEMA = {
+    "type": "object",
+    "properties": {"v": {"type": "integer", "maximum": 7}, "next": {"$ref": "#"}},
+}
+
+
+def _recursive_schema(spark, sf_dir):
+    """The digits of each order's key as a list of objects within objects, of any depth."""
+    digits = F.reverse(F.split(F.col("o_orderkey").cast("string"), ""))
+    text = F.aggregate(digits, F.lit("{}"), lambda rest, d: F.concat(F.lit('{"v":'), d, F.lit(',"next":'), rest, F.lit("}")))
+    orders = spread_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("chain"))
+    bad = schema_violations(orders, "chain", CHAIN_SCHEMA)
+    return bad.select("o_orderkey", F.array_join(F.sort_array("_errors"), "; ").alias("errors"))
+
+
+CHAIN_SQL = """
+WITH digits AS (SELECT o_orderkey, string_split(CAST(o_orderkey AS VARCHAR), '') AS d FROM orders),
+found AS (
+    SELECT o_orderkey, list_sort(list_transform(list_filter(range(1, len(d) + 1), lambda i: CAST(d[i] AS INT) > 7),
+        lambda i: repeat('next/', i - 1) || 'v: ' || d[i] || ' is greater than the maximum of 7')) AS errors
+    FROM digits)
+SELECT o_orderkey, array_to_string(errors, '; ') AS errors FROM found WHERE len(errors) > 0
+"""
+
 QUERIES = {
     "render_json": Query(_render, f"SELECT event_id, {ENTITY_SQL} AS entity FROM events"),
     "render_json_filters": Query(
@@ -166,6 +190,7 @@ QUERIES = {
                    'source_record': {'event_id': event_id, 'value': CAST(NULL AS DOUBLE)}}) AS VARCHAR)
                END AS entity FROM events""",
     ),
+    "jsonschema_recursive": Query(_recursive_schema, CHAIN_SQL),
     "jsonschema_violations": Query(
         _schema_props,
         """SELECT event_id, 'k: ' || k || ' is greater than the maximum of 49' AS errors

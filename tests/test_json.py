@@ -140,7 +140,7 @@ def test_schema_on_nested_and_plain_columns(spark):
 
 def test_schema_refuses_what_it_cannot_check(spark):
     df = spark.createDataFrame([("1",)], "j string")
-    loop = {"$ref": "#/definitions/a", "definitions": {"a": {"items": {"$ref": "#/definitions/a"}}}}
+    loop = {"$ref": "#/definitions/a", "definitions": {"a": {"not": {"$ref": "#/definitions/a"}}}}
     for schema in ({"sparkles": 1}, loop, {"$ref": "http://x/y"}, {"type": "int"}):
         with pytest.raises(ValueError):
             with_schema_errors(df, "j", schema)

@@ -1,6 +1,9 @@
 """JSON Schema (Draft 7) compiled to Column expressions over VARIANT values.
 
-The schema is read once on the driver; what runs on the rows are built-in functions only.
+The schema is read once on the driver; what runs on the rows are built-in functions only. A reference
+that leads back to a part that is being compiled is not compiled again: the value found there, its path
+and the reference are left as work among the errors of the row. Work is done in rounds, each a level of
+recursion deeper, until no row has any; rows that are done leave the rounds.
 """
 
 import json
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.json_text import computed_once, json_literal, variant_entries, variant_items
 from tidegate.functions.patterns import matches_anywhere
+from tidegate.scratch import scratch_path
 
 # Keywords that say nothing about validity ("format" is not checked by default).
 ANNOTATIONS = {
@@ -23,6 +27,10 @@ TYPES = {"null", "boolean", "integer", "number", "string", "array", "object"}
 
 _NO_ERRORS = "array<string>"
 
+# Work among the errors: this mark, then the number of a reference, the value as JSON (which escapes
+# the mark), and the path.
+_WORK = "\0"
+
 
 def _none() -> Column:
     return F.array().cast(_NO_ERRORS)
@@ -182,6 +190,9 @@ def _typed(value: Column, key: Column | None = None) -> Column:
 class _Compiler:
     def __init__(self, root: dict):
         self.root = root
+        self.conditions = 0
+        #: References that are left as work, by their numbers.
+        self.recursive: list[str] = []
 
     def resolve(self, ref: str):
         if not ref.startswith("#"):
@@ -198,7 +209,43 @@ class _Compiler:
         return _join([check for _, check in found])
 
     def valid(self, schema, spot: _Spot, refs: tuple) -> Column:
-        return F.size(self.errors(schema, spot, refs)) == 0
+        self.conditions += 1
+        try:
+            return F.size(self.errors(schema, spot, refs)) == 0
+        finally:
+            self.conditions -= 1
+
+    def reference(self, ref: str, spot: _Spot, refs: tuple) -> list[tuple[tuple, Column]]:
+        """The checks of a reference; ``refs`` holds those that led here and how deep they were met."""
+        depth = len(spot.sort)
+        before = dict(refs)
+        if ref not in before:
+            return self.checks(self.resolve(ref), spot, (*refs, (ref, depth)))
+        if before[ref] == depth:
+            raise ValueError(f"The reference leads to itself: {ref}")
+        if self.conditions:
+            raise ValueError(
+                "Recursive references are not supported within anyOf, oneOf, not, if and contains,"
+                f" which have to know at once whether a value is valid: {ref}"
+            )
+        if ref not in self.recursive:
+            self.recursive.append(ref)
+        number = F.lit(f"{_WORK}{self.recursive.index(ref)}{_WORK}")
+        work = F.concat(number, F.to_json(spot.value), F.lit(_WORK), spot.path)
+        return [(spot.sort, F.when(spot.value.isNotNull(), F.array(work)).otherwise(_none()))]
+
+    def worked(self, error: Column) -> Column:
+        """What becomes of an error: itself, or the errors of the work that it stands for."""
+        parts = F.split(error, _WORK, 4)
+        spot = _Spot(F.parse_json(parts[2]), parts[3], ("~work",))
+        found = F.when(~error.startswith(_WORK), F.array(error))
+        at = 0
+        while at < len(self.recursive):  # work may lead to further references
+            ref = self.recursive[at]
+            errors = self.errors(self.resolve(ref), spot, ((ref, 0),))
+            found = found.when(parts[1] == str(at), errors)
+            at += 1
+        return found
 
     def checks(self, schema, spot: _Spot, refs: tuple) -> list[tuple[tuple, Column]]:
         if schema is True or schema == {}:
@@ -206,9 +253,7 @@ class _Compiler:
         if schema is False:
             return [(spot.sort, spot.error(F.lit(True), "False schema does not allow ", spot.text()))]
         if "$ref" in schema:
-            if schema["$ref"] in refs:
-                raise ValueError(f"Recursive references are not supported: {schema['$ref']}")
-            return self.checks(self.resolve(schema["$ref"]), spot, (*refs, schema["$ref"]))
+            return self.reference(schema["$ref"], spot, refs)
         found = []
         for keyword, rule in schema.items():
             if keyword in ANNOTATIONS or keyword in ("then", "else", "additionalItems"):
@@ -463,9 +508,27 @@ class _Compiler:
 def add_schema_errors(df: DataFrame, value: str, schema: dict | bool, name: str, unless: Column) -> DataFrame:
     """Add ``array<string>`` of ``path: message`` for each violation in a VARIANT column.
 
-    ``unless`` gives the errors of rows that have no value to check, and NULL for the others.
+    ``unless`` gives the errors of rows that have no value to check, and NULL for the others. With a
+    recursive schema the rows are written to the checkpoint folder, and again for every level of
+    recursion that they have.
     """
-    stages = _Stages()
-    errors = _Compiler(schema).errors(schema, _Spot(F.col(value), F.lit(""), stages=stages))
+    stages, compiler = _Stages(), _Compiler(schema)
+    errors = compiler.errors(schema, _Spot(F.col(value), F.lit(""), stages=stages), (("#", 0),))
     checked = computed_once(stages.compute(df), name, F.coalesce(unless, errors))
-    return checked.drop(*stages.names.values())
+    checked = checked.drop(*stages.names.values())
+    return _without_work(checked.drop(value), name, compiler) if compiler.recursive else checked
+
+
+def _without_work(df: DataFrame, name: str, compiler: _Compiler) -> DataFrame:
+    """The rows when all work among their errors is done, round by round."""
+    done, left = [], df
+    has_work = F.exists(name, lambda error: error.startswith(_WORK))
+    while True:
+        path = scratch_path(df.sparkSession, "json-levels")
+        left.write.parquet(path)
+        level = df.sparkSession.read.schema(left.schema).parquet(path)
+        done.append(level.filter(~has_work))
+        rest = level.filter(has_work)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        left = rest.withColumn(name, F.flatten(F.transform(name, compiler.worked)))

@@ -41,7 +41,7 @@ def with_schema_errors(df: DataFrame, target_column: str, schema: dict | str) ->
     schema = json.loads(schema) if isinstance(schema, str) else schema
     malformed = F.when(F.col(_VALUE).isNull(), F.array(F.lit("Invalid JSON string.")))
     checked = add_schema_errors(_with_value(df, target_column), _VALUE, schema, ERRORS, malformed)
-    return checked.drop(_VALUE)
+    return checked.drop(_VALUE)  # gone already if the schema is recursive
 
 
 def schema_violations(df: DataFrame, target_column: str, schema: dict | str) -> DataFrame:
