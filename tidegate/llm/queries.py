@@ -49,7 +49,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     labels = labels.filter(remainder() != HELD_OUT)
-    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit_toxicity(docs, labels)
     return score_toxicity(docs, model, ["doc_id"]).select(
         "doc_id",
         F.coalesce(remainder() == HELD_OUT, F.lit(False)).alias("held_out"),

@@ -14,6 +14,7 @@ distinct word once; nothing is shuffled.
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.process import kept
-from tidegate.llm.shared import texts
+from tidegate.llm.shared import stored, texts
 from tidegate.llm.trie import Memory
 
 #: Bytes of either dictionary; references that reach further back cost more than they save.
@@ -130,9 +131,9 @@ def probabilities(model: ToxicityModel, counts: np.ndarray) -> np.ndarray:
 
 
 def window_counts(docs: DataFrame, toxic: bytes, ordinary: bytes, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``counts``: how many windows have which difference."""
+    """``columns`` of ``docs`` with ``__counts``: how many windows have which difference."""
     dictionaries = docs.sparkSession.sparkContext.broadcast((toxic, ordinary))
-    chosen = docs.select(*columns, F.expr("CAST(array() AS array<long>)").alias("counts"))
+    chosen = docs.select(*columns, F.expr("CAST(array() AS array<long>)").alias("__counts"))
 
     def counted(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = dictionaries.value
@@ -149,7 +150,7 @@ def window_counts(docs: DataFrame, toxic: bytes, ordinary: bytes, columns: list[
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in columns), pa.array(counts, pa.list_(pa.int64()))],
-                    names=[*columns, "counts"],
+                    names=[*columns, "__counts"],
                 )
 
     rows = docs.select(*columns, *([] if "text" in columns else ["text"]))
@@ -161,53 +162,79 @@ def remainder(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
 
 
-def fit_toxicity(labelled: DataFrame, most: int = 1000) -> ToxicityModel:
-    """A model from rows ``(doc_id, text, toxic)``; those without id, text or label are left out.
+#: Characters of a sampled text that a dictionary is trained on at most; all of a text is scored.
+SAMPLED = 65_536
+#: Scores of all texts if nothing is known of one of the labels.
+NOTHING_KNOWN = 0.0
 
-    A third of the rows is set aside for the logistic model, at most ``2 * most`` of either label.
-    At most ``most`` of the others train each dictionary; with that many of both labels both know
-    ordinary words equally well. Chosen are those with the smallest hashes of their ids; they are
-    the only texts that reach the driver. The share of label 1 is that of all rows.
-    Without texts of both labels there is nothing to tell apart: an error.
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame | None = None, most: int = 1000) -> ToxicityModel | None:
+    """A model from texts ``(doc_id, text)`` and labels ``(doc_id, toxic)``, or from one table of both.
+
+    Rows without id, text or label are left out. A third of the others is set aside for the logistic
+    model, at most ``2 * most`` of either label. At most ``most`` of the rest train each dictionary, with
+    SAMPLED characters of a text at most. With that many of both labels both know ordinary words equally
+    well. Chosen are those with the smallest hashes of their ids: ids and
+    labels are shuffled, and only the chosen texts are looked up. The share of label 1 is that of all rows.
+
+    If a label has no row for one of the two purposes, all rows serve for both. Without texts of both
+    labels there is nothing to tell apart: None.
     """
-    calibrates = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(3)) == 0
-    rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter(
-        "doc_id IS NOT NULL AND text IS NOT NULL AND toxic IN (0, 1)"
-    )
-    rows = rows.withColumn("aside", calibrates)
+    labels = docs if labels is None else labels
+    texts_of = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").distinct()
+    aside = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(3)) == 0
+    rows = stored(texts_of.select("doc_id").join(known, "doc_id").withColumn("aside", aside), "labelled_ids")
     counts = {(r.toxic, r.aside): r["count"] for r in rows.groupBy("toxic", "aside").count().collect()}
     if len({label for label, _ in counts}) < 2:
-        raise ValueError("Toxic and ordinary texts are needed to tell them apart.")
-
-    def some(label: int, aside: bool, number: int) -> DataFrame:
-        chosen = rows.filter((F.col("toxic") == label) & (F.col("aside") == aside))
-        return chosen.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(number)
-
+        return None
+    apart = len(counts) == 4
+
+    def some(label: int, purpose: bool, number: int) -> DataFrame:
+        chosen = rows.filter(F.col("toxic") == label)
+        chosen = chosen.filter(F.col("aside") == purpose) if apart else chosen
+        chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(number)
+        return chosen.select("doc_id", "toxic", F.lit(purpose).alias("purpose"))
+
+    parts = [some(label, purpose, most * (1 + purpose)) for label in (1, 0) for purpose in (False, True)]
+    # At most 6 * most rows of two numbers.
+    chosen = stored(reduce(DataFrame.unionByName, parts).distinct(), "sampled_ids")
+    sample = stored(texts_of.join(F.broadcast(chosen), "doc_id"), "sampled_texts")
+    order = (F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", F.xxhash64("text"))
+    head = F.substring("text", 1, SAMPLED).alias("text")
     dictionaries = [
-        trained(r.text.encode() for r in some(label, False, most).select("text").collect())
+        trained(
+            r.text.encode()
+            for r in sample.filter(~F.col("purpose") & (F.col("toxic") == label)).orderBy(*order).select(head).collect()
+        )
         for label in (1, 0)
     ]
-    samples = some(1, True, 2 * most).union(some(0, True, 2 * most))
-    sample = window_counts(samples, *dictionaries, ["toxic"]).collect()
-    x = features(np.array([r.counts for r in sample]))
-    y = np.array([r.toxic for r in sample])
+    found = window_counts(sample.filter("purpose"), *dictionaries, ["toxic"]).collect()
+    x = features(np.array([r["__counts"] for r in found]))
+    y = np.array([r.toxic for r in found])
     share = sum(n for (label, _), n in counts.items() if label) / sum(counts.values())
     return ToxicityModel(*dictionaries, *fitted(x, y, share))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` with ``score``, the probability that it is toxic.
+def score_toxicity(
+    docs: DataFrame, model: ToxicityModel | None, columns: list[str], name: str = "score"
+) -> DataFrame:
+    """``columns`` of every row of ``docs`` with ``name``, the probability that it is toxic.
+
+    Without a model every score is NOTHING_KNOWN.
 
     The score depends on the whole ``text`` alone. Null and empty texts have no windows and get the
     score that the model gives to such a text; a repeated row gets the same score as the first.
     """
+    if model is None:
+        return docs.select(*columns, F.lit(NOTHING_KNOWN).alias(name))
     counted = window_counts(docs, model.toxic, model.ordinary, columns)
     # The logistic model in column expressions; constants of the plan.
-    x = [F.col("counts")[i].cast("double") for i in range(HIGH - LOW + 1)]
+    x = [F.col("__counts")[i].cast("double") for i in range(HIGH - LOW + 1)]
     total = sum(x, F.lit(1.0))
     some = [c for i, c in enumerate(x) if i != -LOW]
     inputs = [*(F.log1p(c) for c in some), *(F.lit(100.0) * c / total for c in some), F.log(total)]
     margin = F.lit(float(model.weights[-1]))
     for c, centre, scale, weight in zip(inputs, model.centre, model.scale, model.weights):
         margin = margin + (c - F.lit(float(centre))) * F.lit(float(weight / scale))
-    return counted.select(*columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("score"))
+    return counted.select(*columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias(name))
