@@ -200,7 +200,7 @@ def test_archive_files_in_parts(spark, tmp_path):
 
 def test_batches_stay_small(monkeypatch):
     monkeypatch.setattr(file_jobs, "_BATCH_BYTES", 1000)
-    batches = list(file_jobs._arrow_rows(("a", str(i), b"x" * 400, None) for i in range(10)))
+    batches = list(file_jobs._arrow_rows(("a", str(i), 0, b"x" * 400, None) for i in range(10)))
     assert [b.num_rows for b in batches] == [3, 3, 3, 1]
 
 
