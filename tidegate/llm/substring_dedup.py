@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.repeats import repeated_only
-from tidegate.llm.shared import NO_ID, batches, signed, stored, texts
+from tidegate.llm.shared import batches, signed, stored, texts
 from tidegate.llm.words import mix, span_hashes, window_hashes, word_hashes
 
 #: Words of an anchor.
@@ -64,10 +64,10 @@ def anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
-    schema = "anchor long, span long, doc long, version int, first int, windows int"
+    schema = "anchor long, span long, doc long, version long, first int, windows int"
     fields = pa.schema(
-        [(n, pa.int64()) for n in ("anchor", "span", "doc")]
-        + [(n, pa.int32()) for n in ("version", "first", "windows")]
+        [(n, pa.int64()) for n in ("anchor", "span", "doc", "version")]
+        + [(n, pa.int32()) for n in ("first", "windows")]
     )
 
     def found(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                 docs, versions = batch.column("doc").to_pylist(), batch.column("version")
                 for doc, version, text in zip(docs, versions.to_pylist(), texts(batch)):
                     anchor, span, first, number = anchors(word_hashes(text), length)
-                    same = np.full(len(first), doc, np.int64), np.full(len(first), version)
+                    same = np.full(len(first), doc, np.int64), np.full(len(first), version, np.int64)
                     yield signed(anchor), signed(span), *same, first, number
 
         return batches(fields, parts())
@@ -154,13 +154,14 @@ def remove_repeats(docs: DataFrame, length: int = 35) -> DataFrame:
     Words are runs of characters other than space and U+0009 to U+000D, taken as they are; a word
     goes if a window of ``length`` words that covers it starts anywhere else, in any text. ``kept``
     joins the others by one space. Null and empty texts have no words. Rows that repeat another are
-    texts of their own, so all their windows are repeated; a null doc_id is like any other. Other
-    columns are not read. Windows count as equal if their 64-bit hashes are.
+    texts of their own, so all their windows are repeated; a null doc_id is like any other. Rows are
+    told apart by doc_id and a 64-bit hash of the text, two such hashes without a doc_id. Other columns
+    are not read. Windows count as equal if their 64-bit hashes are.
     """
     rows = docs.select(
         F.col("doc_id").cast("long"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.hash("text").alias("version"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit(1))).alias("doc"),
+        F.xxhash64("text").alias("version"),
         "text",
     )
     every = stored(_anchor_rows(rows.drop("doc_id"), length), "anchors")
