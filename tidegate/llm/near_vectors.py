@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +70,13 @@ def _with_buckets(distinct: DataFrame, bits: int, tables: int) -> DataFrame:
 
     def found(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
-            if batch.num_rows:
-                buckets = signatures(_matrix(batch.column("vector")), bits, tables)
+            sizes = pc.list_value_length(batch.column("vector"))
+            for size in pc.unique(sizes).to_pylist():
+                part = batch.filter(pc.equal(sizes, size))
+                buckets = signatures(_matrix(part.column("vector")), bits, tables)
                 arrays = pa.array(list(buckets.astype(np.int32)), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, arrays], names=[*batch.schema.names, "buckets"]
+                    [*part.columns, arrays], names=[*part.schema.names, "buckets"]
                 )
 
     return distinct.select("rep", "copies", "vector").mapInArrow(found, schema)
@@ -83,7 +86,7 @@ def _block_links(threshold: float):
     """Links within a block, or between the two blocks of a pair of blocks."""
 
     def found(key: tuple, table: pa.Table) -> pa.Table:
-        at, left, right = (x.as_py() for x in key[0:1] + key[2:4])
+        at, left, right = (x.as_py() for x in key[0:1] + key[3:5])
         table = table.combine_chunks()
         rep = table.column("rep").to_numpy()
         copies = table.column("copies").to_numpy()
@@ -118,7 +121,7 @@ def near_vectors(
 ) -> DataFrame:
     """Per row ``(vec_id, n_links, component_id, kept)``: vectors linked by their cosine.
 
-    ``embedding`` vectors, all of one dimension, link when their cosine in double precision is at
+    ``embedding`` vectors of the same dimension link when their cosine in double precision is at
     least ``threshold``; a pair at the threshold is missed with probability ``miss``, a closer one
     less often, and no other pair links. ``n_links`` counts the other vectors linked directly,
     equal ones included. Null vectors, and those that are zero or hold a null, NaN or infinity,
@@ -139,21 +142,22 @@ def near_vectors(
 
     # Each vector once per table; a large bucket is cut in blocks by a hash of the vector's id.
     listed = stored(_with_buckets(distinct, bits, tables), "vector_buckets")
-    entries = listed.select("rep", F.posexplode("buckets").alias("at", "bucket"))
-    sizes = entries.groupBy("at", "bucket").agg(F.count("*").alias("size"))
+    listed = listed.withColumn("dimension", F.size("vector"))
+    entries = listed.select("rep", "dimension", F.posexplode("buckets").alias("at", "bucket"))
+    sizes = entries.groupBy("at", "bucket", "dimension").agg(F.count("*").alias("size"))
     sizes = sizes.filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / block))
     block_of = F.expr("CAST(pmod(xxhash64(rep), blocks) AS INT)").alias("block")
     own = listed.select("*", F.posexplode("buckets").alias("at", "bucket")).join(
-        sizes.select("at", "bucket", "blocks"), ["at", "bucket"]
+        sizes.select("at", "bucket", "dimension", "blocks"), ["at", "bucket", "dimension"]
     )
     own = own.select("*", block_of)
     pairs = F.expr("""transform(sequence(0, CAST(blocks AS INT) - 1),
         o -> struct(least(o, block) AS left, greatest(o, block) AS right))""")
     placed = own.select("*", F.explode(pairs).alias("pair")).select(
-        "at", "bucket", F.col("pair.left").alias("left"), F.col("pair.right").alias("right"),
-        "block", "rep", "copies", "vector", "buckets",
+        "at", "bucket", "dimension", F.col("pair.left").alias("left"),
+        F.col("pair.right").alias("right"), "block", "rep", "copies", "vector", "buckets",
     )
-    found = placed.groupBy("at", "bucket", "left", "right").applyInArrow(
+    found = placed.groupBy("at", "bucket", "dimension", "left", "right").applyInArrow(
         _block_links(threshold), "a long, b long, links long"
     )
     found = stored(found, "vector_links")
