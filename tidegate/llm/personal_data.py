@@ -9,6 +9,7 @@ rounds until no value is added.
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,7 +135,7 @@ def _found(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(found, schema)
 
 
-def discovered(places: DataFrame, support: int, confidence: float, rounds: int) -> DataFrame:
+def discovered(places: DataFrame, support: int, confidence: float) -> DataFrame:
     """``(value, kind)`` of the values that patterns add, from ``(kind, value, patterns)``.
 
     In each round a pattern's confidence in a kind is the share of its different values that are
@@ -151,7 +152,7 @@ def discovered(places: DataFrame, support: int, confidence: float, rounds: int)
     links = edges.select("value", "pattern").distinct()
     links = stored(links, "pattern_values")
     sizes = stored(links.groupBy("pattern").agg(F.count("*").alias("values")), "pattern_sizes")
-    for turn in range(1, rounds + 1):
+    for turn in count(1):
         scores = (
             links.join(known, "value")
             .groupBy("pattern", "kind")
@@ -177,7 +178,7 @@ def discovered(places: DataFrame, support: int, confidence: float, rounds: int)
 
 
 def personal_data(
-    docs: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 5
+    docs: DataFrame, support: int = 5, confidence: float = 0.8
 ) -> DataFrame:
     """Per row of ``docs`` ``(doc_id, base, spans)``: arrays of ``(kind, start, end)``, kinds by number.
 
@@ -185,12 +186,13 @@ def personal_data(
     bootstrap adds; both are sorted by kind and start, in code points, the end exclusive. Null and
     empty texts have no spans. Each row returns, rows that repeat a text with the same spans. A
     value that its patterns announce is found wherever it stands, whatever its context there. Other
-    columns are not read. Rounds end when nothing is added, after ``rounds`` at the latest.
+    columns are not read. Rounds go on until one adds no
+    value.
     """
     rows = stored(_found(docs), "personal_places")
     places = rows.select("doc", "version", F.explode("places").alias("p"))
     places = places.select("doc", "version", "p.*")
-    values = discovered(places.select("kind", "value", "patterns"), support, confidence, rounds)
+    values = discovered(places.select("kind", "value", "patterns"), support, confidence)
     more = (
         places.filter("kind < 0")
         .join(values, "value")
