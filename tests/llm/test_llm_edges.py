@@ -109,5 +109,61 @@ def test_toxicity_of_odd_tables(spark, odd):
     found = score_toxicity(odd, model, ["doc_id", "text"]).collect()
     assert len(found) == len(ROWS) and all(0 <= r.score <= 1 for r in found)
     assert score_toxicity(odd.limit(0), model, ["doc_id"]).collect() == []
-    with pytest.raises(ValueError):
-        fit_toxicity(labelled.filter(F.col("toxic") == 0))
+
+
+@pytest.mark.parametrize("number", [0, 1, 2, 4, 7])
+def test_toxicity_with_few_labels(spark, odd, number):
+    """Scores are numbers from 0 to 1, also if a label has no row to train or to calibrate with."""
+    rows = [(i, f"plain words of text {i}" if i % 2 else f"nasty idiot words {i} moron", 1 - i % 2) for i in range(number)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for some in (labelled, labelled.filter("toxic = 0"), labelled.filter("toxic = 1")):
+        model = fit_toxicity(some)
+        assert (model is None) == (some.select("toxic").distinct().count() < 2)
+        found = score_toxicity(odd, model, ["doc_id"]).collect()
+        assert len(found) == len(ROWS) and all(0 <= r.score <= 1 for r in found)
+
+
+def test_toxicity_of_labels_apart(spark):
+    """Labels in a table of their own; one without a text, one twice, one of an unknown kind."""
+    rows = [(i, f"plain words of text {i}" if i % 2 else f"nasty idiot words {i} moron") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, 1 - i % 2) for i in range(60)] + [(100, 1), (3, 0), (4, 2), (None, 1), (5, None)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels)
+    scored = {r.doc_id: r.score for r in score_toxicity(docs, model, ["doc_id"]).collect()}
+    assert min(scored[i] for i in range(0, 60, 2)) > max(scored[i] for i in range(1, 60, 2))
+
+
+def test_vectors_of_unequal_lengths(spark):
+    """Vectors link with those of their own dimension only."""
+    vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [1.0]), (6, [2.0]), (7, []), (8, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+
+
+def test_repeats_without_ids(spark):
+    """Rows without ids, or with one id, are told apart by their texts."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(None, f"{passage} tail {i}") for i in range(40)] + [(5, f"{passage} end {i}") for i in range(40)]
+    rows += [(None, " ".join(f"own{i}x{j}" for j in range(50))) for i in range(40)]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # The passage and the word behind it.
+    assert sorted(r.n_removed for r in found) == [0] * 40 + [41] * 80
+
+
+def test_patterns_that_lead_to_patterns(spark):
+    """Eight patterns in a chain: each shares values with the next one only."""
+    texts, number = [], 0
+    for link in range(8):
+        for value in range(10):
+            # Five values of a link are those that the link before has found.
+            mine = [f"v{link}x{value}a1" if value >= 5 else f"v{link - 1}x{value + 5}a1"]
+            if link == 0 and value < 5:
+                mine = [f"user{value}@mail.example"]
+            texts.append((number, f"filler sign{link} token{link} {mine[0]} closing{number} words"))
+            number += 1
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = personal_data(docs, support=5, confidence=0.5).collect()
+    assert sum(len(r.base) for r in found) == 5
+    assert all(len(r.spans) == 1 for r in found)
