@@ -1,7 +1,10 @@
 """Charsets without a mark: sentences that no model was made of, whole and in parts."""
 
+import math
+
 import pytest
 
+from tidegate.functions import charset_models
 from tidegate.functions.charset_models import SAMPLES, single_byte
 from tidegate.operators.file_jobs import _guess_charset
 
@@ -63,3 +66,25 @@ def test_other_bytes():
     assert _guess_charset(long.encode("koi8-r")) == "koi8-r"
     late = "Она пришла домой и увидела, что никого нет. " * 3000
     assert _guess_charset(late.encode("cp1251") + b"\x98") != "cp1251"  # does not decode every byte
+
+
+def test_pairs_are_scored_once(monkeypatch):
+    text = "Вчера вечером наша соседка рассказала интересную историю о путешествии через горы."
+    contents = [f"{i}; {text} {text[i % 60 :]}".encode(charset) for i in range(60) for charset in ("koi8-r", "cp1251")]
+    expected = [single_byte(content) for content in contents]
+    assert expected == [("koi8-r", True), ("cp1251", True)] * 60
+    scored, score = [], charset_models.Model.score
+    monkeypatch.setattr(charset_models.Model, "score", lambda self, *pair: scored.append(pair) or score(self, *pair))
+    assert [single_byte(content) for content in contents] == expected
+    assert len(scored) < 1000
+
+
+def test_sums_of_words_are_those_of_the_text():
+    for texts in charset_models.SAMPLES.values():
+        for charset, name in charset_models.CHARSETS:
+            content = " ".join(texts).encode(charset, "ignore")
+            words = charset_models.excerpt(content)
+            at = charset_models.CHARSETS.index((charset, name))
+            total, number = sum(charset_models.word_readings(word)[:, at] for word in words) if words else (0, 0)
+            plain = charset_models.reading(b" ".join(words).decode(charset), name)
+            assert number == plain[1] and math.isclose(total, plain[0], rel_tol=1e-12, abs_tol=1e-12)
