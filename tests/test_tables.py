@@ -234,3 +234,14 @@ def test_named_tables(spark):
     with pytest.raises(KeyError):
         get_named(spark, "memory://stage/a.parquet")
     assert clear_named(spark, "memory://other") == 1
+
+
+def test_first_bytes_may_end_within_a_character(spark, tmp_path):
+    for name, front in (("a", "["), ("b", " ["), ("c", "  [")):
+        rows = [f'{{"id": {i}, "text": "{"né日本" * 800}"}}' for i in range(3)]
+        (tmp_path / f"{name}.json").write_text(front + ",\n".join(rows) + "]", encoding="utf-8")
+    found = read_table(spark, str(tmp_path), "json")
+    assert found.count() == 9
+    assert found.select("text").distinct().collect()[0].text == "né日本" * 800
+    (tmp_path / "lines.json").write_text(f'{{"id": 7, "text": "{"né日本" * 800}"}}\n', encoding="utf-8")
+    assert read_table(spark, str(tmp_path), "json").count() == 10

@@ -288,7 +288,8 @@ def _json_documents(spark: SparkSession, path: str) -> tuple[list[str], list[str
     named one by one, which is what Spark's own listing of them holds as well.
     """
     catalog = spark.read.format("binaryFile").load(path).select("path", "length")
-    heads = read_heads(catalog, 4096).select("path", F.decode("head", "UTF-8").alias("text"))
+    # The last character may be cut, and other charsets are not UTF-8.
+    heads = read_heads(catalog, 4096).select("path", F.make_valid_utf8(F.col("head").cast("string")).alias("text"))
     text = F.ltrim(F.regexp_replace("text", "^[\ufeff\ufffd\\s\\x00]+", ""))
     found = heads.select("path", text.startswith("[").alias("document"))
     kinds = dict(found.groupBy("document").count().collect())
