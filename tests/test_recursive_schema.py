@@ -5,7 +5,9 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from tidegate.functions import json_schema
 from tidegate.operators.validate_json import schema_violations, with_schema_errors
 
 TREE = {
@@ -116,3 +118,24 @@ def test_what_is_refused(spark):
     twice = {"definitions": {"p": {"type": "string"}}, "properties": {"a": {"$ref": "#/definitions/p"}, "b": {"$ref": "#/definitions/p"}}}
     good = spark.createDataFrame([('{"a":"x","b":1}',)], "j string")
     assert rows(with_schema_errors(good, "j", twice).select("_errors")) == [(["b: 1 is not of type 'string'"],)]
+
+
+def test_rows_are_written_once_in_some_levels(spark, monkeypatch):
+    folders = []
+    plain = json_schema.scratch_path
+    monkeypatch.setattr(json_schema, "scratch_path", lambda *a: folders.append(plain(*a)) or folders[-1])
+    x = {"v": 9}
+    for _ in range(7):
+        x = {"v": 8, "next": x}
+    df = spark.createDataFrame([(json.dumps(x),), ("{}",)], "j string")
+    schema = {"properties": {"v": {"maximum": 7}, "next": {"$ref": "#"}}}
+    (found,) = schema_violations(df, "j", schema).collect()
+    assert len(found["_errors"]) == 8
+    assert len(folders) <= 2
+
+
+def test_values_of_a_level_are_parsed_once(spark):
+    schema = {"properties": {"v": {"type": "integer", "maximum": 7, "minimum": 1, "multipleOf": 1}, "next": {"$ref": "#"}}}
+    compiler = json_schema._Compiler(schema)
+    compiler.errors(schema, json_schema._Spot(F.col("value"), F.lit("")), (("#", 0),))
+    assert str(compiler.worked(F.col("error"))).count("parse_json") == 1

@@ -2,7 +2,7 @@
 
 The schema is read once on the driver; what runs on the rows are built-in functions only. A reference
 that leads back to a part that is being compiled is not compiled again: the value found there, its path
-and the reference are left as work among the errors of the row. Work is done in rounds, each a level of
+and the reference are left as work among the errors of the row. Work is done in rounds, each LEVELS levels of
 recursion deeper, until no row has any; rows that are done leave the rounds.
 """
 
@@ -31,6 +31,9 @@ _NO_ERRORS = "array<string>"
 # the mark), and the path.
 _WORK = "\0"
 
+#: The rows are written once in so many levels of recursion.
+LEVELS = 4
+
 
 def _none() -> Column:
     return F.array().cast(_NO_ERRORS)
@@ -182,9 +185,17 @@ def _after(items: Column, start: int) -> Column:
     return F.slice(items, start + 1, F.greatest(F.size(items) - start, F.lit(0))) if start else items
 
 
+def _fields(value: Column) -> list[Column]:
+    return [value.alias("value"), F.schema_of_variant(value).alias("schema")]
+
+
 def _typed(value: Column, key: Column | None = None) -> Column:
-    fields = [value.alias("value"), F.schema_of_variant(value).alias("schema")]
-    return F.struct(*fields, *([] if key is None else [key.alias("key")]))
+    return F.struct(*_fields(value), *([] if key is None else [key.alias("key")]))
+
+
+def _once(value: Column, use) -> Column:
+    """What ``use`` makes of a value, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 class _Compiler:
@@ -237,15 +248,21 @@ class _Compiler:
     def worked(self, error: Column) -> Column:
         """What becomes of an error: itself, or the errors of the work that it stands for."""
         parts = F.split(error, _WORK, 4)
-        spot = _Spot(F.parse_json(parts[2]), parts[3], ("~work",))
-        found = F.when(~error.startswith(_WORK), F.array(error))
-        at = 0
-        while at < len(self.recursive):  # work may lead to further references
-            ref = self.recursive[at]
-            errors = self.errors(self.resolve(ref), spot, ((ref, 0),))
-            found = found.when(parts[1] == str(at), errors)
-            at += 1
-        return found
+        work = F.struct(parts[1].alias("number"), F.parse_json(parts[2]).alias("value"), parts[3].alias("path"))
+
+        def done(typed: Column) -> Column:
+            spot = _Spot(typed["value"], typed["path"], ("~work",), schema=typed["schema"])
+            found, at = F, 0
+            while at < len(self.recursive):  # work may lead to further references
+                ref = self.recursive[at]
+                found = found.when(typed["number"] == str(at), self.errors(self.resolve(ref), spot, ((ref, 0),)))
+                at += 1
+            return found
+
+        def typed(work: Column) -> Column:
+            return F.struct(work["number"].alias("number"), work["path"].alias("path"), *_fields(work["value"]))
+
+        return F.when(~error.startswith(_WORK), F.array(error)).otherwise(_once(work, lambda w: _once(typed(w), done)))
 
     def checks(self, schema, spot: _Spot, refs: tuple) -> list[tuple[tuple, Column]]:
         if schema is True or schema == {}:
@@ -379,8 +396,19 @@ class _Compiler:
         found = []
         for name, part in rule.items():
             inner = spot.child(name)
-            errors = F.when(spot.is_a("object"), self.present(part, inner, refs)).otherwise(_none())
-            found.append((inner.sort, errors))
+            if inner.stages is None:
+
+                def checked(typed):  # is called at once
+                    return self.present(part, spot.at(typed["value"], F.lit(name), name, typed["schema"]), refs)
+
+                def referred(value):  # a value left as work needs no type here
+                    return self.present(part, spot.at(value, F.lit(name), name), refs)
+
+                reference = isinstance(part, dict) and "$ref" in part
+                errors = _once(inner.value, referred if reference else lambda value: _once(_typed(value), checked))
+            else:
+                errors = self.present(part, inner, refs)
+            found.append((inner.sort, F.when(spot.is_a("object"), errors).otherwise(_none())))
         return found
 
     def kw_required(self, rule, spot, schema, refs):
@@ -509,8 +537,8 @@ def add_schema_errors(df: DataFrame, value: str, schema: dict | bool, name: str,
     """Add ``array<string>`` of ``path: message`` for each violation in a VARIANT column.
 
     ``unless`` gives the errors of rows that have no value to check, and NULL for the others. With a
-    recursive schema the rows are written to the checkpoint folder, and again for every level of
-    recursion that they have.
+    recursive schema the rows are written to the checkpoint folder, and again for every LEVELS levels
+    of recursion that they have.
     """
     stages, compiler = _Stages(), _Compiler(schema)
     errors = compiler.errors(schema, _Spot(F.col(value), F.lit(""), stages=stages), (("#", 0),))
@@ -524,11 +552,12 @@ def _without_work(df: DataFrame, name: str, compiler: _Compiler) -> DataFrame:
     done, left = [], df
     has_work = F.exists(name, lambda error: error.startswith(_WORK))
     while True:
+        for _ in range(LEVELS):
+            left = left.withColumn(name, F.flatten(F.transform(name, compiler.worked)))
         path = scratch_path(df.sparkSession, "json-levels")
         left.write.parquet(path)
         level = df.sparkSession.read.schema(left.schema).parquet(path)
         done.append(level.filter(~has_work))
-        rest = level.filter(has_work)
-        if rest.isEmpty():
+        left = level.filter(has_work)
+        if left.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        left = rest.withColumn(name, F.flatten(F.transform(name, compiler.worked)))
